@@ -5,10 +5,12 @@ cut where a rolling hash of the last 32 bytes meets a mask, so equal passages
 are cut alike wherever they stand. A document is then its *recipe*: the ordered
 list of its chunks' fingerprints.
 
-1. One scan makes every recipe. Only these lists travel, never the texts.
-2. Recipes that occur once are done. For the rest, each distinct chunk travels
-   once, and a fingerprint that stands for several contents is split into
-   identifiers by comparing the bytes: the verified identifiers.
+1. One scan makes every recipe, with a collision-resistant digest of each
+   chunk's bytes beside its 64-bit fingerprint. Only these lists travel; no text
+   is moved, however long.
+2. Recipes that occur once are done. For the rest, the distinct chunks are
+   verified: a fingerprint with several digests under it is split into numbered
+   identifiers.
 3. Documents are equal when their ordered lists of verified identifiers are.
 
 A group of copies that holds a third of all rows is pre-aggregated before the
@@ -36,8 +38,7 @@ from cladewise.session import written
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 256, 16384, 11
 _GEAR = tn._table(4242)
-#: Chunk contents that a task remembers so as to send each only once.
-MEMO = 50_000
+DIGEST_BYTES = 20
 
 
 def chunk_ends(buf: np.ndarray, offs: np.ndarray) -> list[list[int]]:
@@ -83,67 +84,39 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, buf, offs in tn.slices(batch):
             buf, offs = tn.squeezed(buf, offs)
-            counts, _, _, fps = _chunks(buf, offs)
+            counts, at, to, fps = _chunks(buf, offs)
             view = memoryview(np.ascontiguousarray(buf))
             shas = [hashlib.sha256(view[offs[i] : offs[i + 1]]).hexdigest() for i in range(len(offs) - 1)]
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(fps))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(shas), pa.array(np.diff(offs)), lists], names=["doc_id", "text_sha256", "n_bytes", "recipe"])
-
-
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
-    for batch in batches:
-        for rows, buf, offs in tn.slices(batch):
-            buf, offs = tn.squeezed(buf, offs)
-            _, at, to, fps = _chunks(buf, offs)
-            whole = buf.tobytes()
-            some_fp, some = [], []
-            for a, b, fp in zip(at.tolist(), to.tolist(), fps.tolist()):
-                c = whole[a:b]
-                key = hashlib.blake2b(c, digest_size=16).digest()
-                if key not in seen:
-                    if len(seen) >= MEMO:
-                        seen.clear()
-                    seen.add(key)
-                    some_fp.append(fp)
-                    some.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(some_fp, pa.int64()), pa.array(some, pa.binary())], names=["fp", "content"])
-
-
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for rows, buf, offs in tn.slices(batch):
-            buf, offs = tn.squeezed(buf, offs)
-            counts, at, to, fps = _chunks(buf, offs)
-            whole = buf.tobytes()
-            ids = rows.column("doc_id").take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-            order = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(order), pa.array(fps), pa.array([whole[a:b] for a, b in zip(at, to)], pa.binary())], names=["doc_id", "ord", "fp", "content"])
+            digests = [hashlib.blake2b(view[a:b], digest_size=DIGEST_BYTES).digest() for a, b in zip(at.tolist(), to.tolist())]
+            chunks = pa.StructArray.from_arrays([pa.array(fps), pa.array(digests, pa.binary())], names=["fp", "digest"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), chunks)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(shas), pa.array(np.diff(offs)), lists], names=["doc_id", "text_sha256", "n_bytes", "chunks"])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    made = written(docs.mapInArrow(_recipes, f"doc_id {id_type}, text_sha256 string, n_bytes bigint, recipe array<bigint>"), "recipes")
-    made = made.withColumn("rkey", F.xxhash64("recipe", "n_bytes"))
-    shared = made.groupBy("rkey").count().filter("count > 1").select("rkey")
+    made = written(docs.mapInArrow(_recipes, f"doc_id {id_type}, text_sha256 string, n_bytes bigint, chunks array<struct<fp:bigint,digest:binary>>"), "recipes")
+    made = made.withColumn("recipe", F.col("chunks.fp")).withColumn("rkey", F.xxhash64("recipe", "n_bytes"))
+    # Written, so that Spark can split a hot recipe when it joins.
+    shared = written(made.groupBy("rkey").count().filter("count > 1").select("rkey"), "shared-keys")
     wanted = written(made.join(shared, "rkey", "left_semi"), "shared-recipes")
-    ids = wanted.select("doc_id").distinct()
-    texts = docs.alias("d").join(ids.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
 
     # Chunk identifiers: a fingerprint, and a number where contents differ under it.
-    chunks = texts.mapInArrow(_contents, "fp bigint, content binary").distinct()
-    numbered = chunks.withColumn("number", F.row_number().over(W.partitionBy("fp").orderBy("content")))
-    several = written(numbered.withColumn("n", F.count("*").over(W.partitionBy("fp"))).filter("n > 1").select("fp", "content", "number"), "split-fingerprints")
-    wanted = wanted.withColumn("numbers", F.lit(None).cast("array<struct<ord:bigint,number:int>>"))
-    if not several.isEmpty():
-        at = texts.mapInArrow(_occurrences, f"doc_id {id_type}, ord bigint, fp bigint, content binary").join(several, ["fp", "content"])
-        resolved = at.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("ord", "number"))).alias("numbers"))
-        wanted = wanted.drop("numbers").alias("w").join(resolved.alias("r"), F.col("w.doc_id").eqNullSafe(F.col("r.doc_id")), "left").select("w.*", "r.numbers")
+    chunks = wanted.select(F.explode("chunks").alias("c")).select("c.fp", "c.digest").distinct()
+    numbered = chunks.withColumn("number", F.row_number().over(W.partitionBy("fp").orderBy("digest")))
+    several = written(numbered.withColumn("n", F.count("*").over(W.partitionBy("fp"))).filter("n > 1").select("fp", "digest", "number"), "split-fingerprints")
+    none = F.lit(None).cast("array<struct<ord:int,number:int>>")
+    if several.isEmpty():
+        wanted = wanted.withColumn("numbers", none)
+    else:
+        at = wanted.select("rkey", "chunks", F.posexplode("chunks").alias("ord", "c")).select("rkey", "chunks", "ord", "c.fp", "c.digest").distinct().join(several, ["fp", "digest"])
+        resolved = at.groupBy("rkey", "chunks").agg(F.sort_array(F.collect_set(F.struct("ord", "number"))).alias("numbers"))
+        wanted = wanted.join(resolved, ["rkey", "chunks"], "left")
 
     key = ["rkey", "n_bytes", "recipe", "numbers"]
-    groups = wanted.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = written(wanted.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     same = F.lit(True)
     for k in key:
         same &= F.col(f"w.{k}").eqNullSafe(F.col(f"g.{k}"))
