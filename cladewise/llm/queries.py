@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.llm import bpe, exact_dedup, mixing, sharding, token_files
+from cladewise.llm import bpe, exact_dedup, jaccard_join, mixing, sharding, substring_dedup, token_files
 from cladewise.session import table
 
 
@@ -29,10 +29,18 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.write_shards(table(spark, sf_dir, "documents"), word_vocabulary()))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.byte_shards(table(spark, sf_dir, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -42,7 +50,9 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
     "op3_token_output": op3_token_output,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_bpe": op6_bpe,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
 }
 ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_mixing": mixing.ORACLE}
