@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.llm import bpe, exact_dedup, jaccard_join, mixing, sharding, substring_dedup, token_files
+from cladewise.llm import bpe, exact_dedup, jaccard_join, mixing, quality, sharding, substring_dedup, tiff, token_files
 from cladewise.session import table
 
 
@@ -37,6 +37,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -46,13 +50,19 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.media_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
     "op3_token_output": op3_token_output,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_bpe": op6_bpe,
+    "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
+    "op10_tiff": op10_tiff,
 }
 ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_mixing": mixing.ORACLE}
