@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.llm import bpe, exact_dedup, jaccard_join, mixing, quality, sharding, substring_dedup, tiff, token_files
+from cladewise.llm import bpe, exact_dedup, jaccard_join, mixing, pii, quality, sharding, substring_dedup, tiff, token_files
 from cladewise.session import table
 
 
@@ -33,6 +33,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), word_vocabulary())
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_token_output": op3_token_output,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_pii": op5_pii,
     "op6_bpe": op6_bpe,
     "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,
