@@ -38,7 +38,7 @@ BITS = 16
 #: A shard is closed after the document with which it has so many tokens.
 SHARD_TOKENS = 4_000_000
 #: Words that a worker remembers; at most this many, then it starts again.
-MEMO = 500_000
+MEMO = 800_000
 
 
 class LibraryWords:
@@ -51,6 +51,7 @@ class LibraryWords:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.known: dict[bytes, bytes] = {}
         self.memo: dict[str, bytes] = {}
 
     def _encode(self, keys: list[str]) -> None:
@@ -61,10 +62,14 @@ class LibraryWords:
 
     def words(self, found: list[bytes]) -> list[bytes]:
         """Ids of each word. A last '.' or ',' after letters is a pre-token of its own."""
+        if len(self.known) > MEMO:
+            self.known.clear()
         if len(self.memo) > MEMO:
             self.memo.clear()
+        known = self.known
+        new = [w for w in found if w not in known]
         memo, keys = self.memo, []
-        for w in found:
+        for w in new:
             text = w.decode("utf-8", "replace")
             if text.isascii():
                 text = text.lower()
@@ -73,7 +78,8 @@ class LibraryWords:
                     continue
             keys.append((text, None))
         self._encode([k for k in dict.fromkeys(k for pair in keys for k in pair) if k is not None and k not in memo])
-        return [memo[a] if b is None else memo[a] + memo[b] for a, b in keys]
+        known.update(zip(new, (memo[a] if b is None else memo[a] + memo[b] for a, b in keys)))
+        return [known[w] for w in found]
 
 
 _LOADED: dict[str, LibraryWords] = {}
