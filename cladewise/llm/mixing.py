@@ -74,7 +74,8 @@ def position_of(demand: Column, target: Column, slope: Column) -> Column:
 
 def mixed(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, most_passes: int = MOST_PASSES) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, passes,
-    part (words of a last pass that stops inside the source), taken, position.
+    part (words of a last pass that stops inside the source), taken, position,
+    and slope and before (words of its source that come before it).
 
     ``position`` is that of the document's first use, null where it has none.
     """
@@ -95,10 +96,27 @@ def mixed(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, most_passes: int = MO
     taken = F.col("passes") * F.col("size") + F.col("part")
     return out.select(
         "doc_id", "source", "size", "source_size", "target", "passes", "part", taken.alias("taken"),
-        F.when(taken > 0, position_of(F.col("before").cast("double"), F.col("target"), F.col("slope"))).alias("position"),
+        F.when(taken > 0, position_of(F.col("before").cast("double"), F.col("target"), F.col("slope"))).alias("position"), "slope", "before",
     )
 
 
+def training_rows(docs: DataFrame) -> DataFrame:
+    """The documents in training order, each as often as the mix takes it.
+
+    A document is the unit here: a last pass that takes half of it or more
+    counts as one use. The columns are those of ``docs``.
+    """
+    mix = mixed(docs)
+    uses = F.col("passes") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    # Rows that share a doc_id and a size have shares of their own; they are used alike.
+    each = mix.groupBy("doc_id").agg(F.max(uses).alias("uses"), F.min_by(F.struct("before", "source_size", "target", "slope"), "before").alias("at")).filter("uses > 0")
+    spread = each.select(F.col("doc_id"), "at", F.explode(F.sequence(F.lit(0), (F.col("uses") - 1).cast("int"))).alias("pass"))
+    demand = (F.col("at.before") + F.col("pass") * F.col("at.source_size")).cast("double")
+    spread = spread.select("doc_id", position_of(demand, F.col("at.target"), F.col("at.slope")).alias("position"))
+    rows = docs.alias("d").join(spread.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")))
+    return rows.orderBy("k.position", "d.doc_id").select("d.*")
+
+
 def in_training_order(mix: DataFrame) -> DataFrame:
     """Range-sorted by position; ties by doc_id, unused documents last."""
     return mix.orderBy(F.col("position").asc_nulls_last(), "doc_id")

@@ -229,6 +229,18 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
     return docs.select(*cols).mapInArrow(run, ", ".join(f"{c} {t}" for c, t in types.items()) + ", score double")
 
 
+def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all columns, whose score reaches the threshold. One scan, no shuffle."""
+    model_b = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, buf, offs in tn.slices(batch):
+                yield rows.filter(pa.array(model_b.value.scores(buf, offs) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     return scored(docs, fitted(docs, labels)).select(

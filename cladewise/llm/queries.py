@@ -58,7 +58,14 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_digest(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
     "op3_token_output": op3_token_output,
