@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cladewise.llm import textnp as tn
+from cladewise.session import bounded_batches
 
 #: Pieces that a worker remembers; at most this many, then it starts again.
 MEMO = 400_000
@@ -88,6 +89,7 @@ class WordBpe:
                 body = text[: -len(suffix)] if ends else text
                 self.match.add_word(body + _END * ends, (i, len(body) + ends))
         self.match.make_automaton()
+        # White space of the vocabulary's pattern: fixed values.
         space = r"\t-\r\x20\x85\xa0  -     　"
         self.pieces_of = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{space}\p{{L}}\p{{N}}]+").findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
@@ -249,6 +251,7 @@ def encode_slice(bpe: WordBpe, buf: np.ndarray, offs: np.ndarray) -> Iterator[tu
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and
     with ``keep_text`` also ids (joined by spaces) and decoded."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cladewise.llm import textnp as tn
-from cladewise.session import written
+from cladewise.session import bounded_batches, written
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 256, 16384, 11
 _GEAR = tn._table(4242)
@@ -95,6 +95,7 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     made = written(docs.mapInArrow(_recipes, f"doc_id {id_type}, text_sha256 string, n_bytes bigint, chunks array<struct<fp:bigint,digest:binary>>"), "recipes")

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from cladewise.llm import textnp as tn
 from cladewise.llm.components import components
 from cladewise.llm.sketch import repeated
-from cladewise.session import written
+from cladewise.session import bounded_batches, written
 
 SHINGLE = 5
 #: 2**29 counters, one row: 64 MB, whatever the input.
@@ -254,6 +254,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     seen = spark.sparkContext.broadcast(repeated(docs.select("text"), _hashes_of, LOG2_WIDTH, DEPTH))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.llm import textnp as tn
+from cladewise.session import bounded_batches
 
 BUCKETS = 1 << 18
 #: Labelled rows that are fitted on, at most.
@@ -196,6 +197,7 @@ def fold(id_col) -> F.Column:
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """A model from the training folds' labelled rows, at most ``sample`` of them."""
+    bounded_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT_FOLD)).groupBy("doc_id").agg(F.min(label).alias("label"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -217,6 +219,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: i
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns of each document and its score."""
+    bounded_batches(docs.sparkSession)
     model_b = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +234,7 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
 
 def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns, whose score reaches the threshold. One scan, no shuffle."""
+    bounded_batches(docs.sparkSession)
     model_b = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

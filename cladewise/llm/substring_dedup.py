@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.llm import textnp as tn
+from cladewise.session import bounded_batches
 from cladewise.llm.sketch import repeated
 
 WINDOW, PART = 20, 8
@@ -235,6 +236,7 @@ def _cleaned(keep_text: bool):
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, and with ``keep_text`` the kept text."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     seen = docs.sparkSession.sparkContext.broadcast(repeated(docs.select("text"), _hashes_of, LOG2_WIDTH, DEPTH))
     sent = docs.mapInArrow(_candidates(seen), "anchor bigint, doc_id bigint, at bigint, n bigint, windows binary")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.llm import textnp as tn
-from cladewise.session import written
+from cladewise.session import bounded_batches, written
 
 # Fixed values of the format: tags, field types and compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
@@ -272,6 +272,7 @@ def _page(data: bytes, tags: dict) -> np.ndarray:
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts as TIFF files: doc_id, n_bytes, media (binary)."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,6 +295,7 @@ def tiff_pages(media: DataFrame) -> DataFrame:
     mean and deviation are those of the page's samples; pixels are its samples
     row by row.
     """
+    bounded_batches(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

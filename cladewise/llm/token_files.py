@@ -31,11 +31,11 @@ from pyspark.sql import Window as W
 from cladewise.llm import textnp as tn
 from cladewise.llm.bpe import distinct_words
 from cladewise.llm.wavelet import Wavelet, build
-from cladewise.session import written
+from cladewise.session import bounded_batches, written
 
 END_ID = 1
 BITS = 16
-#: A shard is closed after the document with which it has so many tokens.
+#: A shard is closed after the slice of documents with which it has so many tokens.
 SHARD_TOKENS = 4_000_000
 #: Words that a worker remembers; at most this many, then it starts again.
 MEMO = 800_000
@@ -101,9 +101,10 @@ def slice_tokens(lib: LibraryWords, buf: np.ndarray, offs: np.ndarray, end_id: i
     return flat[at], np.diff(upto[firsts])
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, slice_bytes: int = tn.SLICE_BYTES) -> DataFrame:
     """Write the token files and return their table:
     first_id, nth, n_docs, n_tokens, doc_ids (binary int64), lengths (binary int64), image (binary)."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _LOADED:
@@ -116,7 +117,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens:
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=names)
 
         for batch in batches:
-            for rows, buf, offs in tn.slices(batch):
+            for rows, buf, offs in tn.slices(batch, most=slice_bytes):
                 t, n = slice_tokens(lib, buf, offs, end_id)
                 ids.append(rows.column("doc_id").to_numpy(zero_copy_only=False).astype("<i8"))
                 lens.append(n.astype("<i8"))
