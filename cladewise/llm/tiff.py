@@ -339,7 +339,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return doc, n, size, sha.hexdigest(), zlib.crc32(tail), *about, f"{len(marks)} page(s): " + "; ".join(marks)
 
     for batch in batches:
-        out = []
+        out, kind = [], batch.schema.field("doc_id").type
         for doc, page, w, h, _, scheme, mean, dev, px, mb, msha, n, _ in zip(*(batch.column(c).to_pylist() for c in _PAGE)):
             if page == 0:
                 if cur:
@@ -351,14 +351,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cur[4] += len(px)
                 cur[6].append(f"{w}x{h} c{scheme} mean {mean:.6f} dev {dev:.6f}")
         if out:
-            yield done(out)
+            yield done(out, kind)
     if cur:
-        yield done([row()])
+        yield done([row()], kind)
 
 
-def done(rows: list[tuple]) -> pa.RecordBatch:
+def done(rows: list[tuple], id_kind: pa.DataType) -> pa.RecordBatch:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [id_kind, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
 
