@@ -19,7 +19,9 @@ an empty table.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cladewise.llm import textnp as tn
-from cladewise.llm.bpe import distinct_words
+from cladewise.llm.bpe import _byte_chars, distinct_words
 from cladewise.llm.wavelet import Wavelet, build
 from cladewise.session import bounded_batches, written
 
@@ -42,7 +44,12 @@ MEMO = 800_000
 
 
 class LibraryWords:
-    """Ids of words from the tokenizers library, as little-endian 16-bit bytes."""
+    """Ids of words from the tokenizers library, as 16-bit numbers in bytes.
+
+    A word of letters, with or without a '.' or ',' at its end, goes straight to
+    the library's model, as the steps before it leave nothing to split or
+    change; any other word goes through the whole library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,34 +58,40 @@ class LibraryWords:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        self.chars = dict(enumerate(_byte_chars()))
         self.known: dict[bytes, bytes] = {}
         self.memo: dict[str, bytes] = {}
 
-    def _encode(self, keys: list[str]) -> None:
-        for at in range(0, len(keys), 20_000):
-            some = keys[at : at + 20_000]
-            for k, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self.memo[k] = np.array(e.ids, "<u2").tobytes()
+    def _letters(self, low: str) -> bytes:
+        got = self.memo.get(low)
+        if got is None:
+            piece = low if low.isascii() else low.encode().decode("latin-1").translate(self.chars)
+            got = self.memo[low] = array("H", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        return got
 
     def words(self, found: list[bytes]) -> list[bytes]:
-        """Ids of each word. A last '.' or ',' after letters is a pre-token of its own."""
+        """Ids of each word."""
         if len(self.known) > MEMO:
             self.known.clear()
         if len(self.memo) > MEMO:
             self.memo.clear()
-        known = self.known
-        new = [w for w in found if w not in known]
-        memo, keys = self.memo, []
-        for w in new:
+        known, odd = self.known, []
+        for w in found:
+            if w in known:
+                continue
             text = w.decode("utf-8", "replace")
-            if text.isascii():
-                text = text.lower()
-                if text[-1] in ".," and text[:-1].isalpha():
-                    keys.append((text[:-1], text[-1]))
+            body, end = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
+            if body.isascii() or ("Σ" not in body and unicodedata.is_normalized("NFC", body)):
+                low = body.lower()
+                if body.isalpha() and low.isalpha():
+                    known[w] = self._letters(low) + self._letters(end) if end else self._letters(low)
                     continue
-            keys.append((text, None))
-        self._encode([k for k in dict.fromkeys(k for pair in keys for k in pair) if k is not None and k not in memo])
-        known.update(zip(new, (memo[a] if b is None else memo[a] + memo[b] for a, b in keys)))
+            odd.append((w, text))
+        for at in range(0, len(odd), 10_000):
+            some = odd[at : at + 10_000]
+            for (w, _), e in zip(some, self.library.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
+                known[w] = array("H", e.ids).tobytes()
         return [known[w] for w in found]
 
 
@@ -88,11 +101,11 @@ _LOADED: dict[str, LibraryWords] = {}
 def slice_tokens(lib: LibraryWords, buf: np.ndarray, offs: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all texts of a slice, one after the other, and each text's number."""
     found, which, firsts = distinct_words(buf, offs)
-    made = lib.words(found) + ([np.array([end_id], "<u2").tobytes()] if end_id is not None else [])
+    made = lib.words(found) + ([np.array([end_id], np.uint16).tobytes()] if end_id is not None else [])
     if end_id is not None:  # after the last word of each text
         which, firsts = np.insert(which, firsts[1:], len(found)), firsts + np.arange(len(firsts))
     lens = np.fromiter(map(len, made), np.int64, len(made)) // 2
-    flat = np.frombuffer(b"".join(made), "<u2")
+    flat = np.frombuffer(b"".join(made), np.uint16)
     heads = np.cumsum(lens) - lens
     n = lens[which]
     upto = np.zeros(len(which) + 1, np.int64)
