@@ -116,6 +116,8 @@ def t_tail(t: float, df: float) -> float:
     if not (math.isfinite(t) and df > 0):
         return float("nan")
     x = df / (df + t * t)
+    if x >= 1:
+        return 0.5
 
     def cf(a: float, b: float, x: float) -> float:
         c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
@@ -133,7 +135,7 @@ def t_tail(t: float, df: float) -> float:
         return h
 
     a, b = df / 2.0, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + (b * math.log1p(-x) if x < 1 else 0.0))
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
     if x < (a + 1) / (a + b + 2):
         inc = front * cf(a, b, x) / a
     else:
