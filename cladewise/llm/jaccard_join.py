@@ -6,7 +6,7 @@ are linked; the result is each document's connected component.
 
 1. A sketch of all shingles tells which ones may occur more than once. The
    global order of a set's shingles is: those that occur once first, then the
-   rest by hash. Two linked sets share a shingle among the first
+   rest, the very frequent ones last, by hash. Two linked sets share a shingle among the first
    n - ceil(0.75 n) + 1 of each, and it is not one that occurs once; so only
    documents whose prefix reaches the repeated shingles are candidates.
 2. Equal sets count once; sets with the same prefix and size form one group,
@@ -108,6 +108,9 @@ def _describe(seen):
                 prefix = np.where(n > 0, n - (3 * n + 3) // 4 + 1, 0)
                 k = np.maximum(prefix - u, 0)
                 shared, sdoc = h[often], doc[often]
+                weight = seen.value.weight(shared)
+                if weight.any():
+                    shared = shared[np.lexsort((shared, weight, sdoc))]
                 sheads = np.r_[0, np.cumsum(n - u)]
                 rank = np.arange(len(shared)) - sheads[sdoc]
                 inside = rank < k[sdoc]
@@ -257,7 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    seen = spark.sparkContext.broadcast(repeated(docs.select("text"), _hashes_of, LOG2_WIDTH, DEPTH))
+    seen = spark.sparkContext.broadcast(repeated(docs.select("text"), _hashes_of, LOG2_WIDTH, DEPTH, counted=True))
     schema = "doc_id bigint, n bigint, sig0 bigint, sig1 bigint, gkey bigint, u bigint, tokens binary, text string"
     made = written(docs.mapInArrow(_describe(seen), schema), "sets")
     cand = made.filter("tokens IS NOT NULL AND doc_id IS NOT NULL")

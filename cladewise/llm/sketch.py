@@ -22,6 +22,8 @@ BLOCK = 1 << 16
 #: Hashes that a task keeps before it sends a partial sketch.
 HELD = 4_000_000
 _DENSE = BLOCK // 8
+#: Counters of whole counts, and the hash bits that choose one.
+LOG2_COUNTS, COUNT_SHIFT = 20, 43
 
 
 def counter(hashes: np.ndarray, row: int, log2_width: int) -> np.ndarray:
@@ -47,8 +49,9 @@ def _unpack(raw: bytes) -> np.ndarray:
 class Partial:
     """The partial sketch of one task."""
 
-    def __init__(self, log2_width: int, depth: int):
+    def __init__(self, log2_width: int, depth: int, counted: bool = False):
         self.log2_width, self.depth, self.held, self.n = log2_width, depth, [], 0
+        self.counts = np.zeros(1 << LOG2_COUNTS, np.uint32) if counted else None
 
     def add(self, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append(hashes)
@@ -61,6 +64,8 @@ class Partial:
             return
         hashes = np.concatenate(self.held)
         self.held, self.n = [], 0
+        if self.counts is not None:
+            self.counts += np.bincount((hashes >> np.uint64(COUNT_SHIFT) & np.uint64(len(self.counts) - 1)).astype(np.int64), minlength=len(self.counts)).astype(np.uint32)
         per_row = 1 << (self.log2_width - 16)
         for row in range(self.depth):
             c = np.sort(counter(hashes, row, self.log2_width).astype(np.uint32))
@@ -75,11 +80,23 @@ class Partial:
             yield pa.RecordBatch.from_arrays([pa.array((full + row * per_row).astype(np.int32)), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], names=["block", "once", "twice"])
 
 
+    def totals(self) -> Iterator[pa.RecordBatch]:
+        """Whole counts, as blocks with negative numbers."""
+        if self.counts is not None and self.counts.any():
+            parts = self.counts.reshape(-1, BLOCK)
+            raw = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - i for i in range(len(raw))], pa.int32()), pa.array(raw, pa.binary()), pa.array([b""] * len(raw), pa.binary())], names=["block", "once", "twice"])
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All rows of a block are in one partition; a block's counters take 64 KB."""
     counts: dict[int, np.ndarray] = {}
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, once, twice in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if block < 0:
+                sums[block] = sums.get(block, 0) + np.frombuffer(zlib.decompress(once), "<u4").astype(np.int64)
+                continue
             c = counts.get(block)
             if c is None:
                 c = counts[block] = np.zeros(BLOCK, np.uint8)
@@ -87,14 +104,19 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c[at] = np.minimum(c[at] + 1, 2)
             c[_unpack(twice)] = 2
     rows = [(b, zlib.compress(np.packbits(c >= 2, bitorder="little").tobytes(), 1)) for b, c in counts.items() if (c >= 2).any()]
+    rows += [(b, zlib.compress(c.astype("<i8").tobytes(), 1)) for b, c in sums.items()]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "bits"])
 
 
 class Repeated:
     """The merged sketch: tells which hashes may occur more than once."""
 
-    def __init__(self, log2_width: int, depth: int, bits: np.ndarray):
-        self.log2_width, self.depth, self.bits = log2_width, depth, bits
+    def __init__(self, log2_width: int, depth: int, bits: np.ndarray, weights: np.ndarray | None = None):
+        self.log2_width, self.depth, self.bits, self.weights = log2_width, depth, bits, weights
+
+    def weight(self, hashes: np.ndarray) -> np.ndarray:
+        """0 for a hash that is not far above the mean counter, else a number that grows with its count."""
+        return self.weights[(hashes >> np.uint64(COUNT_SHIFT) & np.uint64(len(self.weights) - 1)).astype(np.int64)]
 
     def maybe(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)
@@ -105,18 +127,25 @@ class Repeated:
         return out
 
 
-def repeated(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log2_width: int, depth: int) -> Repeated:
+def repeated(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log2_width: int, depth: int, counted: bool = False) -> Repeated:
     """Sketch of all hashes that ``hashes_of`` takes from the batches of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = Partial(log2_width, depth)
+        part = Partial(log2_width, depth, counted)
         for batch in batches:
             for h in hashes_of(batch):
                 yield from part.add(h)
         yield from part.flush()
+        yield from part.totals()
 
     merged = docs.mapInArrow(run, "block int, once binary, twice binary").repartition("block").mapInArrow(_merge, "block int, bits binary")
     bits = np.zeros(depth << (log2_width - 3), np.uint8)
+    counts = np.zeros(1 << LOG2_COUNTS, np.int64)
     for block, raw in merged.toLocalIterator():
+        if block < 0:
+            counts[(-1 - block) * BLOCK : -block * BLOCK] = np.frombuffer(zlib.decompress(raw), "<i8")
+            continue
         bits[block * _DENSE : (block + 1) * _DENSE] = np.frombuffer(zlib.decompress(raw), np.uint8)
-    return Repeated(log2_width, depth, bits)
+    heavy = counts > 4 * counts.mean() + 256
+    weights = np.where(heavy, np.log2(np.maximum(counts, 1)), 0).astype(np.uint8) if counted else None
+    return Repeated(log2_width, depth, bits, weights)
