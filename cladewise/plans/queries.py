@@ -9,12 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from cladewise.operators import aln, annots, chains, clusters, hits, profiles, robust, seqs, trees
 from cladewise.plans import iterate, views
 from cladewise.plans.views import sql
-from cladewise.session import table
+from cladewise.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -386,7 +385,7 @@ kept AS (SELECT name, depth, support, pre, post, leaves, CAST(leaves AS DOUBLE)
 
 
 def _kept(spark, d):
-    return trees.supported_partition(views.tree(spark, d), 50, 0.02, 0.5)
+    return written(trees.supported_partition(views.tree(spark, d), 50, 0.02, 0.5), "kept")
 
 
 @query(sql("tree", f", {KEPT} SELECT name, depth, support, leaves, round(prop, 6) AS prop FROM kept"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cladewise.session import table
+from cladewise.session import table, written
 
 THRESHOLDS = [(f"P{k}", 20000.0 + 5000.0 * k) for k in range(7)]
 
@@ -84,7 +84,10 @@ def turn_alignments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tree(spark: SparkSession, d: str) -> DataFrame:
-    """Tree nodes in nested-set form: root, regions, nations, customers as leaves."""
+    """Tree nodes in nested-set form: root, regions, nations, customers as leaves.
+
+    Written once, as questions of a tree join it with itself level by level.
+    """
     from cladewise.operators.trees import nested_set
 
     none = F.lit(-1)
@@ -99,7 +102,7 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("L"), "c_custkey"), F.concat(F.lit("N"), "n_nationkey"), F.lit(3), F.lit(0), (F.col("c_custkey") % 16 + 0.25).cast("double"),
         F.array(F.col("n_regionkey").cast("int"), F.col("n_nationkey").cast("int"), F.col("c_custkey").cast("int")),
     )
-    return nested_set(root.union(regions).union(nations).union(leaves), leaf_depth=3)
+    return written(nested_set(root.union(regions).union(nations).union(leaves), leaf_depth=3), "tree")
 
 
 def clusters(spark: SparkSession, d: str) -> DataFrame:
