@@ -16,8 +16,11 @@ are linked; the result is each document's connected component.
    make first components. This settles groups of many near copies in a number
    of pairs that is linear in their rows.
 4. What is left are pairs in *different* components that share a prefix
-   shingle and pass the size and position filters. Groups are expanded to their
-   members here, all such pairs are verified, and components are closed again.
+   shingle and pass the size, position and bitmap filters. Groups are expanded
+   to their members here, all such pairs are verified, and components are closed
+   again. The bitmap of a set holds the parity of its shingles by hash, in about
+   two bits a shingle; the bits in which two differ are at most the shingles
+   that only one of them has, which bounds what they share from above.
 
 So no link between two components is lost, and pairs inside a component are not
 spelled out. Candidate documents' texts move once per verification, keyed by
@@ -92,6 +95,40 @@ def _sums(x: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return s[heads[1:]] - s[heads[:-1]]
 
 
+def parity_bitmaps(h: np.ndarray, n: np.ndarray, heads: np.ndarray) -> list[bytes]:
+    """Per set the parity of its hashes modulo a power of two that is at least twice its size."""
+    width = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    starts = np.r_[0, np.cumsum(width)]
+    at = np.repeat(starts[:-1], n) + (h & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64)
+    raw = np.packbits(np.bincount(at, minlength=int(starts[-1])) & 1 == 1).tobytes()
+    return [raw[a // 8 : b // 8] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+
+
+def at_most_shared(bits: list[bytes], n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper bound of the intersection of the sets a[i] and b[i].
+
+    The wider bitmap of a pair is folded to the narrower one's width.
+    """
+    size = np.fromiter(map(len, bits), np.int64, len(bits))
+    out = np.empty(len(a), np.int64)
+    narrow = np.minimum(size[a], size[b])
+    for w in np.unique(narrow):
+        mine = np.flatnonzero(narrow == w)
+        rows = np.unique(np.concatenate([a[mine], b[mine]]))
+        place = np.zeros(len(bits), np.int64)
+        place[rows] = np.arange(len(rows))
+        flat = np.empty((len(rows), w), np.uint8)
+        for i, r in enumerate(rows.tolist()):
+            flat[i] = np.bitwise_xor.reduce(np.frombuffer(bits[r], np.uint8).reshape(-1, w), axis=0)
+        words = flat.view(np.uint64)
+        step = max(1, (1 << 21) // words.shape[1])
+        for i in range(0, len(mine), step):
+            m = mine[i : i + step]
+            differ = np.bitwise_count(words[place[a[m]]] ^ words[place[b[m]]]).sum(axis=1, dtype=np.int64)
+            out[m] = (n[a[m]] + n[b[m]] - differ) // 2
+    return out
+
+
 def _describe(seen):
     """Per document: set size, set signature, group key, prefix, and the text of candidates."""
 
@@ -120,13 +157,15 @@ def _describe(seen):
                 gkey = np.where(u > 0, sig0, _sums(tn.mix64(toks + _U(1)), theads))
                 raw, whole = toks.tobytes(), tn.LOWER[buf].tobytes()
                 some = k > 0
+                maps = parity_bitmaps(h, n, heads)
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column("doc_id"), pa.array(n), _signed(sig0), _signed(sig1), _signed(gkey), pa.array(u),
                         pa.array([raw[8 * a : 8 * b] if s else None for a, b, s in zip(theads[:-1].tolist(), theads[1:].tolist(), some.tolist())], pa.binary()),
+                        pa.array([m if s else None for m, s in zip(maps, some.tolist())], pa.binary()),
                         pa.array([whole[a:b] if s else None for a, b, s in zip(offs[:-1].tolist(), offs[1:].tolist(), some.tolist())], pa.binary()).cast(pa.string()),
                     ],
-                    names=["doc_id", "n", "sig0", "sig1", "gkey", "u", "tokens", "text"],
+                    names=["doc_id", "n", "sig0", "sig1", "gkey", "u", "tokens", "bits", "text"],
                 )
 
     return run
@@ -144,20 +183,26 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             which = np.repeat(np.arange(len(k)), k)
             u, n, ids = (b.column(c).to_numpy() for c in ("u", "n", "id"))
             pos = u[which] + np.arange(len(which)) - np.repeat(np.cumsum(k) - k, k)
+            bits = b.column("bits").take(pa.array(which)) if "bits" in b.schema.names else pa.nulls(len(which), pa.binary())
             pri = ((16 * u // np.maximum(n, 1)) << 58) + (tn.mix64(ids.astype(np.uint64)) >> _U(6)).astype(np.int64)
             size = np.floor(np.log(np.maximum(n, 1)) / np.log(4 / 3)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [_signed(np.concatenate(toks)), pa.array(size[which]), pa.array(pri[which]), pa.array(ids[which]), pa.array(n[which]), pa.array(pos), pa.array(b.column("comp").to_numpy()[which])],
-                names=["token", "size", "pri", "id", "n", "pos", "comp"],
+                [_signed(np.concatenate(toks)), pa.array(size[which]), pa.array(pri[which]), pa.array(ids[which]), pa.array(n[which]), pa.array(pos), pa.array(b.column("comp").to_numpy()[which]), bits],
+                names=["token", "size", "pri", "id", "n", "pos", "comp", "bits"],
             )
 
 
-_EXPLODED = "token bigint, size bigint, pri bigint, id bigint, n bigint, pos bigint, comp bigint"
+_EXPLODED = "token bigint, size bigint, pri bigint, id bigint, n bigint, pos bigint, comp bigint, bits binary"
+
+
+def least_shared(na, nb):
+    """Shingles that two sets of these sizes share at least if they link."""
+    return (3 * (na + nb) + 6) // 7
 
 
 def may_link(na, pa_, nb, pb):
     """Size and position filters of a pair whose first common shingle is at these places."""
-    need = (3 * (na + nb) + 6) // 7
+    need = least_shared(na, nb)
     return (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (np.minimum(na - pa_, nb - pb) >= need)
 
 
@@ -193,12 +238,14 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size is within reach; the window is all that is kept of earlier batches.
     """
     kept: np.ndarray | None = None
+    bits: list[bytes] = []
     for batch in batches:
         rows = np.stack([batch.column(c).to_numpy() for c in ("token", "n", "pos", "comp", "id")])
         old = 0
         if kept is not None:
             old = kept.shape[1]
             rows = np.concatenate([kept, rows], axis=1)
+        bits = bits + batch.column("bits").to_pylist()
         t, n, p, c, i = rows
         # Earlier rows of the same token that are large enough.
         bound = np.zeros(len(t), np.int64)
@@ -212,14 +259,16 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = np.arange(at, to)[:, None], np.arange(lo, to)[None, :]
             ok = (y < x) & (y >= bound[x]) & (t[y] == t[x]) & (c[y] != c[x]) & may_link(n[y], p[y], n[x], p[x])
             r, s = np.nonzero(ok)
-            outs.append(np.stack([i[s + lo], i[r + at]]))
+            r, s = r + at, s + lo
+            ok = at_most_shared(bits, n, s, r) >= least_shared(n[s], n[r])
+            outs.append(np.stack([i[s[ok]], i[r[ok]]]))
         if outs:
             both = np.concatenate(outs, axis=1)
             yield _pairs(np.minimum(*both), np.maximum(*both))
         if len(t):
             last = int(new[-1])
             reach = last + int(np.searchsorted(n[last:], (3 * n[-1] + 3) // 4))
-            kept = rows[:, reach:]
+            kept, bits = rows[:, reach:], bits[reach:]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,12 +310,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     seen = spark.sparkContext.broadcast(repeated(docs.select("text"), _hashes_of, LOG2_WIDTH, DEPTH, counted=True))
-    schema = "doc_id bigint, n bigint, sig0 bigint, sig1 bigint, gkey bigint, u bigint, tokens binary, text string"
+    schema = "doc_id bigint, n bigint, sig0 bigint, sig1 bigint, gkey bigint, u bigint, tokens binary, bits binary, text string"
     made = written(docs.mapInArrow(_describe(seen), schema), "sets")
     cand = made.filter("tokens IS NOT NULL AND doc_id IS NOT NULL")
     sets = written(cand.groupBy("sig0", "sig1", "n").agg(F.min("doc_id").alias("id")), "equal-sets")
     own = cand.join(sets.select("sig0", "sig1", F.col("id").alias("doc_id")), ["sig0", "sig1", "doc_id"], "left_semi")
-    items = written(own.select(F.col("doc_id").alias("id"), "n", "gkey", "u", "tokens").distinct(), "items")
+    items = written(own.select(F.col("doc_id").alias("id"), "n", "gkey", "u", "tokens", "bits").distinct(), "items")
     texts = cand.select(F.col("doc_id").alias("id"), "text")
 
     groups = written(items.groupBy("gkey", "n").agg(F.min("id").alias("first")), "groups")
@@ -278,11 +327,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = verified(stars.unionByName(inside).distinct(), texts)
     comps = written(components(links, "owner", "member"), "components")
 
-    known = items.join(comps, F.col("id") == F.col("node"), "left").select("id", "n", "u", "tokens", F.coalesce("component", "id").alias("comp"))
+    known = items.join(comps, F.col("id") == F.col("node"), "left").select("id", "n", "u", "tokens", "bits", F.coalesce("component", "id").alias("comp"))
     known = written(known, "items-with-components")
-    tokens = known.mapInArrow(_explode, _EXPLODED)
+    tokens = known.drop("bits").mapInArrow(_explode, _EXPLODED)
     mixed = tokens.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("token")
-    rest = tokens.join(mixed, "token").repartition("token").sortWithinPartitions("token", "n", "id")
+    rest = known.mapInArrow(_explode, _EXPLODED).join(mixed, "token").repartition("token").sortWithinPartitions("token", "n", "id")
     more = verified(rest.mapInArrow(_across, "owner bigint, member bigint").distinct(), texts)
     edges = more.unionByName(comps.select(F.col("component").alias("owner"), F.col("node").alias("member")).filter("owner <> member"))
     closed = written(components(edges, "owner", "member"), "components")
