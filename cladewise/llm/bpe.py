@@ -223,7 +223,13 @@ def distinct_words(buf: np.ndarray, offs: np.ndarray) -> tuple[list[bytes], np.n
     starts, ends, firsts = tn.words(buf, offs)
     if not len(starts):
         return [], np.zeros(0, np.int64), firsts
-    _, one, which = np.unique(tn.word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    hashes = tn.word_hashes(buf, starts, ends)
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    one, which = order[new], np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
     whole = buf.tobytes()
     return [whole[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())], which, firsts
 

@@ -38,7 +38,9 @@ def build(tokens: np.ndarray, bits: int) -> bytes:
         bit = ((cur >> b) & 1).astype(bool)
         packed = np.packbits(bit)
         heads = range(0, len(packed), BLOCK_BITS // 8)
-        counts = np.add.reduceat(bit, np.arange(0, n, BLOCK_BITS), dtype=np.int64) if n else np.zeros(0, np.int64)
+        full = np.zeros(-(-len(packed) * 8 // BLOCK_BITS) * BLOCK_BITS // 8, np.uint8)
+        full[: len(packed)] = packed
+        counts = np.bitwise_count(full.view(np.uint64)).reshape(-1, BLOCK_BITS // 64).sum(axis=1, dtype=np.int64)
         ones_before.append(np.r_[0, np.cumsum(counts)].astype("<u8"))
         for h in heads:
             raw = packed[h : h + BLOCK_BITS // 8].tobytes()
@@ -46,7 +48,7 @@ def build(tokens: np.ndarray, bits: int) -> bytes:
             blocks.append(small if len(small) < len(raw) else raw)
             sizes.append(len(blocks[-1]))
         zeros.append(n - int(counts.sum()))
-        cur = np.concatenate([cur[~bit], cur[bit]])
+        cur = np.concatenate([np.compress(~bit, cur), np.compress(bit, cur)])
     places = np.r_[0, np.cumsum(np.array(sizes, np.int64))].astype("<u8")
     return b"".join([_HEAD.pack(MAGIC, bits, n), np.array(zeros, "<u8").tobytes(), *(x.tobytes() for x in ones_before), places.tobytes(), *blocks])
 
@@ -144,7 +146,7 @@ class Wavelet:
             bit = np.concatenate([self._block(p, k) for k in range(self.per_plane)]) if self.n else np.zeros(0, bool)
             z = int(self.zeros[p])
             up = np.empty_like(out)
-            up[~bit] = out[:z]
-            up[bit] = out[z:] | dtype(1 << (self.bits - 1 - p))
+            up[np.flatnonzero(~bit)] = out[:z]
+            up[np.flatnonzero(bit)] = out[z:] | dtype(1 << (self.bits - 1 - p))
             out = up
         return out
