@@ -14,17 +14,28 @@ from pyspark.sql import Window as W
 
 
 def nested_set(nodes: DataFrame, leaf_depth: int) -> DataFrame:
-    """Number nodes that have a path of keys (-1 above their own level) in preorder."""
-    w = W.orderBy("path")
-    n = nodes.withColumn("pre", F.row_number().over(w) - 1)
-    # A node's last descendant is the last one whose path begins with its own.
-    ends = None
+    """Number nodes that have a path of keys (-1 above their own level) in preorder.
+
+    A node's place is its parent's, one, and the sizes of its elder siblings'
+    subtrees: counts by path prefix, running sums among siblings, and one join
+    for each level, so no task sees the whole tree.
+    """
+    sizes = None
     for d in range(leaf_depth + 1):
         key = F.slice("path", 1, d) if d else F.array().cast("array<int>")
-        part = n.filter(F.col("depth") >= d).groupBy(key.alias("key")).agg(F.max("pre").alias("post")).withColumn("depth", F.lit(d))
-        ends = part if ends is None else ends.union(part)
-    mine = n.withColumn("key", F.slice("path", 1, F.col("depth")))
-    return mine.join(ends, ["key", "depth"]).select("name", "parent", "depth", "support", "dist", (F.col("depth") == leaf_depth).alias("is_leaf"), F.col("pre").cast("bigint"), F.col("post").cast("bigint"))
+        part = nodes.filter(F.col("depth") >= d).groupBy(key.alias("key")).agg(F.count("*").alias("size")).withColumn("depth", F.lit(d))
+        sizes = part if sizes is None else sizes.union(part)
+    sized = nodes.withColumn("key", F.slice("path", 1, F.col("depth"))).join(sizes, ["key", "depth"])
+    elder = W.partitionBy("parent").orderBy("path").rowsBetween(W.unboundedPreceding, -1)
+    sized = sized.withColumn("elder", F.coalesce(F.sum("size").over(elder), F.lit(0)))
+    rest = ["name", "parent", "depth", "support", "dist"]
+    level = sized.filter("depth = 0").select(*rest, F.col("elder").alias("pre"), "size")
+    out = level
+    for d in range(1, leaf_depth + 1):
+        up = level.select(F.col("name").alias("parent"), F.col("pre").alias("above"))
+        level = sized.filter(F.col("depth") == d).join(up, "parent").select(*rest, (F.col("above") + 1 + F.col("elder")).alias("pre"), "size")
+        out = out.union(level)
+    return out.select(*rest, (F.col("depth") == leaf_depth).alias("is_leaf"), F.col("pre").cast("bigint"), (F.col("pre") + F.col("size") - 1).cast("bigint").alias("post"))
 
 
 def clade_leaves(tree: DataFrame) -> DataFrame:
