@@ -312,6 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = spark.sparkContext.broadcast(repeated(docs.select("text"), _hashes_of, LOG2_WIDTH, DEPTH, counted=True))
     schema = "doc_id bigint, n bigint, sig0 bigint, sig1 bigint, gkey bigint, u bigint, tokens binary, bits binary, text string"
     made = written(docs.mapInArrow(_describe(seen), schema), "sets")
+    seen.destroy()
     cand = made.filter("tokens IS NOT NULL AND doc_id IS NOT NULL")
     sets = written(cand.groupBy("sig0", "sig1", "n").agg(F.min("doc_id").alias("id")), "equal-sets")
     own = cand.join(sets.select("sig0", "sig1", F.col("id").alias("doc_id")), ["sig0", "sig1", "doc_id"], "left_semi")

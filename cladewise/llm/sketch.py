@@ -89,23 +89,36 @@ class Partial:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a block are in one partition; a block's counters take 64 KB."""
-    counts: dict[int, np.ndarray] = {}
-    sums: dict[int, np.ndarray] = {}
+    """Rows sorted by block: one block's counters (64 KB, or 512 KB of sums) are held at a time."""
+    cur, sums, done = None, None, []
+
+    def closed():
+        if cur is None:
+            return
+        if cur < 0:
+            done.append((cur, zlib.compress(sums.astype("<i8").tobytes(), 1)))
+        elif (sums >= 2).any():
+            done.append((cur, zlib.compress(np.packbits(sums >= 2, bitorder="little").tobytes(), 1)))
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in done], pa.int32()), pa.array([r[1] for r in done], pa.binary())], names=["block", "bits"])
+
     for batch in batches:
         for block, once, twice in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if block != cur:
+                closed()
+                cur, sums = block, np.zeros(BLOCK, np.int64 if block < 0 else np.uint8)
             if block < 0:
-                sums[block] = sums.get(block, 0) + np.frombuffer(zlib.decompress(once), "<u4").astype(np.int64)
+                sums += np.frombuffer(zlib.decompress(once), "<u4")
                 continue
-            c = counts.get(block)
-            if c is None:
-                c = counts[block] = np.zeros(BLOCK, np.uint8)
             at = _unpack(once)
-            c[at] = np.minimum(c[at] + 1, 2)
-            c[_unpack(twice)] = 2
-    rows = [(b, zlib.compress(np.packbits(c >= 2, bitorder="little").tobytes(), 1)) for b, c in counts.items() if (c >= 2).any()]
-    rows += [(b, zlib.compress(c.astype("<i8").tobytes(), 1)) for b, c in sums.items()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "bits"])
+            sums[at] = np.minimum(sums[at] + 1, 2)
+            sums[_unpack(twice)] = 2
+        if len(done) >= 256:
+            yield made()
+            done.clear()
+    closed()
+    yield made()
 
 
 class Repeated:
@@ -138,7 +151,7 @@ def repeated(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.
         yield from part.flush()
         yield from part.totals()
 
-    merged = docs.mapInArrow(run, "block int, once binary, twice binary").repartition("block").mapInArrow(_merge, "block int, bits binary")
+    merged = docs.mapInArrow(run, "block int, once binary, twice binary").repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block int, bits binary")
     bits = np.zeros(depth << (log2_width - 3), np.uint8)
     counts = np.zeros(1 << LOG2_COUNTS, np.int64)
     for block, raw in merged.toLocalIterator():
