@@ -261,8 +261,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
-            for rows, buf, offs in tn.slices(batch):
+        for batch in tn.gathered(batches):
+            for rows, buf, offs in tn.slices(batch, most=2 * tn.SLICE_BYTES):
                 made = list(encode_slice(bpe, buf, offs))
                 cols = [
                     rows.column("doc_id"),

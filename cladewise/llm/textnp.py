@@ -97,6 +97,19 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         at = to
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 2 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to about ``most`` bytes, for work that gains from larger slices."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words ``[^\\x20\\x09-\\x0D]+`` and, per text, the index of its first word.
 

@@ -77,9 +77,10 @@ class LibraryWords:
         if len(self.memo) > MEMO:
             self.memo.clear()
         known, odd = self.known, []
-        for w in found:
-            if w in known:
-                continue
+        out = list(map(known.get, found))
+        new = [i for i, x in enumerate(out) if x is None]
+        for i in new:
+            w = found[i]
             text = w.decode("utf-8", "replace")
             body, end = (text[:-1], text[-1]) if text[-1] in ".," else (text, "")
             if body.isascii() or ("Σ" not in body and unicodedata.is_normalized("NFC", body)):
@@ -92,7 +93,9 @@ class LibraryWords:
             some = odd[at : at + 10_000]
             for (w, _), e in zip(some, self.library.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
                 known[w] = array("H", e.ids).tobytes()
-        return [known[w] for w in found]
+        for i in new:
+            out[i] = known[found[i]]
+        return out
 
 
 _LOADED: dict[str, LibraryWords] = {}
@@ -110,11 +113,11 @@ def slice_tokens(lib: LibraryWords, buf: np.ndarray, offs: np.ndarray, end_id: i
     n = lens[which]
     upto = np.zeros(len(which) + 1, np.int64)
     np.cumsum(n, out=upto[1:])
-    at = np.arange(upto[-1]) + np.repeat(heads[which] - upto[:-1], n)
+    at = np.arange(upto[-1], dtype=np.int32) + np.repeat((heads[which] - upto[:-1]).astype(np.int32), n)
     return flat[at], np.diff(upto[firsts])
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, slice_bytes: int = tn.SLICE_BYTES) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, slice_bytes: int = 2 * tn.SLICE_BYTES) -> DataFrame:
     """Write the token files and return their table:
     first_id, nth, n_docs, n_tokens, doc_ids (binary int64), lengths (binary int64), image (binary)."""
     bounded_batches(docs.sparkSession)
@@ -129,7 +132,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_tokens:
             row = [[int(i[0])], [nth], [len(i)], [len(t)], [i.tobytes()], [n.tobytes()], [build(t, BITS)]]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=names)
 
-        for batch in batches:
+        for batch in tn.gathered(batches, slice_bytes):
             for rows, buf, offs in tn.slices(batch, most=slice_bytes):
                 t, n = slice_tokens(lib, buf, offs, end_id)
                 ids.append(rows.column("doc_id").to_numpy(zero_copy_only=False).astype("<i8"))
