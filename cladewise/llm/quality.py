@@ -33,7 +33,7 @@ from cladewise.session import bounded_batches
 
 BUCKETS = 1 << 18
 #: Labelled rows that are fitted on, at most.
-SAMPLE = 16_000
+SAMPLE = 10_000
 HELD_OUT_FOLD, FOLDS = 0, 5
 THRESHOLD = 0.3
 _U = np.uint64
@@ -129,13 +129,13 @@ def hinge_by_dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarr
     """Linear hinge-loss model (y is -1 or 1), one dual variable at a time."""
     w, b = np.zeros(len(scale)), 0.0
     alpha = np.zeros(len(rows))
-    values = [scale[r] for r in rows]
-    norms = np.array([v @ v + 1.0 for v in values])
+    norms = np.array([(v := scale[r]) @ v + 1.0 for r in rows])
     rng = np.random.default_rng(7)
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = scale[r]
             g = y[i] * (w[r] @ v + b) - 1
             new = min(max(alpha[i] - g / norms[i], 0.0), cost[i])
             step = (new - alpha[i]) * y[i]
@@ -214,7 +214,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: i
     picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", F.col("label").cast("int"), "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, found binary"
     got = sorted((r.doc_id, r.label, bytes(r.found)) for r in picked.mapInArrow(run, schema).toLocalIterator())
-    return fit([np.frombuffer(x[2], "<i4").astype(np.int64) for x in got], np.array([min(max(x[1], 0), 1) for x in got], np.int64))
+    return fit([np.frombuffer(x[2], "<i4") for x in got], np.array([min(max(x[1], 0), 1) for x in got], np.int64))
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
