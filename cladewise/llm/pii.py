@@ -12,13 +12,16 @@ text is shuffled.
 * Boosted trees score candidates by format (digits, separators, length, checks)
   and context (words and characters around). They are trained on candidates
   whose truth is known: matches of the base patterns, right if they pass the
-  checks, and generated spans inside such a match. Training rows are counted by
+  checks, and generated spans by ``_truth``: their place in a base span, else the
+  checks of their kind (address form, Luhn, digit count) and the words before.
+  A telephone number with no word before it that speaks for or against it is not
+  trained on, only scored. Training rows are counted by
   feature vector in Spark; the number of different vectors is bounded by the
   features' steps (``MOST_VECTORS``), whatever the input, and only this table of
   counts reaches the driver.
 * Per kind, the threshold is the least score from which held-out candidates (a
-  fifth of the documents) are right in ``PRECISION`` of cases; a kind without
-  enough evidence adds nothing. A generated span at or above it, and outside
+  fifth of the documents) outside every base span are right in ``PRECISION`` of
+  cases; a kind without enough evidence adds nothing. A generated span at or above it, and outside
   every base span, is added.
 
 The patterns use possessive quantifiers and start no match inside a run that
@@ -51,10 +54,14 @@ GENERATORS = (
 CONTEXT = (
     r"(?i)(?:e-?mail|contact|write to)\W*$",
     r"(?i)(?:\bip|host|server|address)\W*$",
-    r"(?i)(?:card|visa|pay|account)\W*$",
-    r"(?i)(?:tel|phone|call|fax|mobile|cell)\W*$",
-    r"(?i)(?:order|invoice|\bid|ref|version|isbn|no)\W*$",
+    r"(?i)(?:card|visa|pay|account)(?:\W+(?:no|number))?\W*$",
+    r"(?i)(?:tel|phone|call|fax|mobile|cell)(?:\W+(?:no|number))?\W*$",
+    r"(?i)(?:order|invoice|\bid|ref|version|isbn|no)(?:\W+(?:no|number))?\W*$",
 )
+#: Contexts (from 1) that speak against a generated span of a kind, and the one for a telephone number.
+SPEAK_AGAINST, FOR_PHONE = {2: (4, 5), 3: (3, 5)}, 4
+#: A disguised address whose parts could be a mail address.
+FORM = r"^[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+\x20?[(\[]at[)\]]\x20?(?:[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+(?:\.|\x20?[(\[]dot[)\]]\x20?))++[A-Za-z]{2,}+$"
 #: Four numbers of at most 255, leading zeros allowed.
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}$"
 FEATURES = ("kind", "gen", "digits", "marks", "size", "checked", "context", "before", "after")
@@ -96,11 +103,12 @@ def with_candidates(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         twice = F.transform(F.split(F.reverse(some), ""), lambda x, i: F.when(x == "", 0).otherwise(x.try_cast("int") * F.when(i % 2 == 1, 2).otherwise(1)))
         luhn = n.between(12, 19) & (F.aggregate(twice, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(F.coalesce(x, F.lit(0)))) % 10 == 0)
         checked = (
-            F.when(c["kind"] == 0, F.lit(True)).when(c["kind"] == 1, c["m"].rlike(OCTETS))
+            F.when(c["kind"] == 0, (c["gen"] == 0) | c["m"].rlike(FORM)).when(c["kind"] == 1, c["m"].rlike(OCTETS))
             .when(c["kind"] == 2, luhn).otherwise(n.between(9, 15))
         )
         context = F.lit(0)
-        for k, words in enumerate(CONTEXT):
+        # From the last to the first: "card no" speaks for a card.
+        for k, words in reversed(list(enumerate(CONTEXT))):
             context = F.when(c["ctx"].rlike(words), k + 1).otherwise(context)
 
         def side(x: Column) -> Column:
@@ -124,18 +132,38 @@ def base_spans(spans: Column) -> Column:
     return F.filter(spans, lambda c: (c["gen"] == 0) & (c["checked"] == 1))
 
 
-def training_counts(cands: DataFrame) -> DataFrame:
-    """Right and all candidates of known truth, by feature vector and held-out or not."""
-    base = F.filter("spans", lambda c: c["gen"] == 0)
+def _truth(c: Column, base: Column) -> Column:
+    """1, 0 or null (not known). base: spans that pass their checks.
+
+    A base candidate is right if it passes its checks. A generated span is right
+    inside a base span of its kind and wrong where it meets another. Elsewhere it
+    is wrong if it fails its kind's checks or the words before it speak against
+    it; else right, a telephone number only if they speak for it, as its digit
+    count alone says little.
+    """
+    within = F.exists(base, lambda b: (b["s"] <= c["s"]) & (b["e"] >= c["e"]) & (b["kind"] == c["kind"]))
+    against = F.lit(False)
+    for kind, codes in SPEAK_AGAINST.items():
+        against = against | ((c["kind"] == kind) & c["context"].isin(*codes))
+    alone = F.when((c["checked"] == 0) | against, 0).when((c["kind"] != 3) | (c["context"] == FOR_PHONE), 1)
+    return F.when(c["gen"] == 0, c["checked"]).when(within, 1).when(~_apart(c, base), 0).otherwise(alone)
+
 
-    def truth(c: Column) -> Column:
-        within = F.exists(base, lambda b: (b["checked"] == 1) & (b["s"] <= c["s"]) & (b["e"] >= c["e"]) & (b["kind"] == c["kind"]))
-        meets = F.exists(base, lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"]))
-        return F.when(c["gen"] == 0, c["checked"]).when(within, 1).when(meets, 0)
+def _apart(c: Column, base: Column) -> Column:
+    """Whether a span meets none of ``base``."""
+    return ~F.exists(base, lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"]))
+
+
+def training_counts(cands: DataFrame) -> DataFrame:
+    """Right and all candidates of known truth, by feature vector and held-out or not.
 
-    known = F.transform("spans", lambda c: F.struct(*[c[f].alias(f) for f in FEATURES], truth(c).alias("truth")))
+    Of held-out generated spans only those that could be added are counted.
+    """
+    base = F.col("passing")
+    known = F.transform("spans", lambda c: F.struct(*[c[f].alias(f) for f in FEATURES], _truth(c, base).alias("truth"), ((c["gen"] == 0) | _apart(c, base)).alias("open")))
     held = (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held")
-    rows = cands.filter(F.size("spans") > 0).select(held, F.explode(known).alias("c")).select("held", "c.*").filter("truth IS NOT NULL")
+    some = cands.filter(F.size("spans") > 0).withColumn("passing", base_spans(F.col("spans")))
+    rows = some.select(held, F.explode(known).alias("c")).select("held", "c.*").filter("truth IS NOT NULL AND (open OR NOT held)")
     return rows.groupBy("held", *FEATURES).agg(F.sum("truth").alias("good"), F.count("*").alias("n"))
 
 
@@ -236,8 +264,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     thresholds = F.create_map(*[F.lit(x) for k in range(len(KINDS)) for x in (k, float(trees.thresholds.get(k, math.inf)))])
     plain = lambda c: F.struct(c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e"))
     base = base_spans(F.col("spans"))
-    apart = lambda c: ~F.exists(F.col("base"), lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"]))
-    more = F.filter("spans", lambda c: (c["gen"] == 1) & apart(c) & (trees.column(c) >= F.element_at(thresholds, c["kind"])))
+    more = F.filter("spans", lambda c: (c["gen"] == 1) & _apart(c, F.col("base")) & (trees.column(c) >= F.element_at(thresholds, c["kind"])))
     out = cands.withColumn("base", F.array_sort(F.transform(base, plain)))
     return out.select("doc_id", "base", F.array_sort(F.array_distinct(F.concat("base", F.transform(more, plain)))).alias("spans"))
 

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from helpers import same
+from pyspark.sql import functions as F
 
 from cladewise.llm import bpe, components, exact_dedup, jaccard_join, mixing, pii, quality, queries, sharding, sketch, substring_dedup, tiff, token_files, wavelet
 from cladewise.llm import textnp as tn
@@ -215,6 +216,31 @@ def test_pii(spark, data, docs, odd, empty):
     assert masked[12] == "mail [REDACTED] or [REDACTED], [REDACTED], [REDACTED]" and masked[4] is None and masked[10] == "a b c"
 
 
+def test_pii_adds_planted_spans(spark):
+    """Disguised mails, dotted cards and bare telephone numbers are added; what only looks like them is not."""
+
+    def dotted(n, right):
+        d = f"4{n * 7919 % 10**14:014d}"
+        check = -sum((x * 2 - 9 if x > 4 else x * 2) if k % 2 == 0 else x for k, x in enumerate(map(int, reversed(d)))) % 10
+        d += str((check + (not right)) % 10)
+        return ".".join(d[i : i + 4] for i in range(0, 16, 4))
+
+    rows, want = [], {}
+    for i in range(600):
+        phone = f"555-{100 + i % 900}-{1000 + 7 * i}"
+        yes = [("email", f"u{i} (at) host{i % 9} (dot) org"), ("card", dotted(i, True)), ("phone", phone)][i % 3]
+        before = {"email": "so ", "card": "pay with ", "phone": "please call "}[yes[0]]
+        no = [f"lunch (at) {i % 12}.30", f"see {dotted(i + 1, False)}", f"order {phone}"][i // 3 % 3]
+        base = f"a{i}@b.example.com +1 {phone}"
+        text = f"é {before}{yes[1]} and {no} then {base} end"
+        at = len(f"é {before}")
+        rows.append((i, text))
+        want[i] = (f"{yes[0]}:{at}:{at + len(yes[1])}", no, base)
+    got = pii.pii_spans(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    for r in got.select("doc_id", pii.written_out(F.col("base")).alias("base"), pii.written_out(F.col("spans")).alias("spans")).collect():
+        assert sorted(r.spans.split(",")) == sorted([*r.base.split(","), want[r.doc_id][0]]), (rows[r.doc_id], r)
+
+
 def test_pii_trees():
     """Trees tell vectors apart, and thresholds follow held-out evidence."""
 
