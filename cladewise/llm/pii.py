@@ -65,7 +65,11 @@ FORM = r"^[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+\x20?[(\[]at[)\]]\x20?(?:[A-
 #: Four numbers of at most 255, leading zeros allowed.
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}$"
 FEATURES = ("kind", "gen", "digits", "marks", "size", "checked", "context", "before", "after")
-MOST_VECTORS = 200_000
+#: A count is described by how many of its cuts it reaches: digits, marks, characters.
+CUTS = {"digits": (9, 12, 16, 20), "marks": (2, 4), "size": (12, 20)}
+#: Different values of checked, context, before, after and held-out.
+OTHERS = (2, len(CONTEXT) + 1, 5, 5, 2)
+MOST_VECTORS = len(GENERATORS) * math.prod(len(c) + 1 for c in CUTS.values()) * math.prod(OTHERS)
 TREES, RATE, DEPTH, PRECISION, EVIDENCE = 40, 0.3, 3, 0.995, 20
 
 _SPAN = "struct<kind:int,gen:int,s:int,e:int,m:string,ctx:string,nxt:string>"
@@ -111,14 +115,15 @@ def with_candidates(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         for k, words in reversed(list(enumerate(CONTEXT))):
             context = F.when(c["ctx"].rlike(words), k + 1).otherwise(context)
 
+        def step(name: str, x: Column) -> Column:
+            return sum(((x >= cut).cast("int") for cut in CUTS[name]), F.lit(0)).alias(name)
+
         def side(x: Column) -> Column:
             return F.when(F.coalesce(x, F.lit("")) == "", 0).when(x.rlike(r"[\x20\x09-\x0D]"), 1).when(x.rlike("[0-9]"), 2).when(x.rlike(r"\p{L}"), 3).otherwise(4)
 
         return F.struct(
             c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e"), c["gen"].alias("gen"),
-            F.least(F.lit(20), n).alias("digits"),
-            F.least(F.lit(6), F.length(F.regexp_replace(c["m"], "[A-Za-z0-9]", ""))).alias("marks"),
-            F.least(F.lit(8), F.floor(F.length(c["m"]) / 4).cast("int")).alias("size"),
+            step("digits", n), step("marks", F.length(F.regexp_replace(c["m"], "[A-Za-z0-9]", ""))), step("size", F.length(c["m"])),
             checked.cast("int").alias("checked"), context.alias("context"),
             side(F.right(c["ctx"], F.lit(1))).alias("before"), side(c["nxt"]).alias("after"),
         )
@@ -226,9 +231,7 @@ class Trees:
 
 def fitted(counts: DataFrame) -> Trees:
     """Trees and thresholds from the table of counts."""
-    table = counts.limit(MOST_VECTORS + 1).collect()
-    if len(table) > MOST_VECTORS:
-        raise ValueError("more feature vectors than the features' steps allow")
+    table = counts.collect()
     rows = sorted((tuple(r[f] for f in FEATURES), bool(r.held), r.good, r.n) for r in table)
     train = [r for r in rows if not r[1]]
     good, n = sum(r[2] for r in train), sum(r[3] for r in train)

@@ -241,6 +241,17 @@ def test_pii_adds_planted_spans(spark):
         assert sorted(r.spans.split(",")) == sorted([*r.base.split(","), want[r.doc_id][0]]), (rows[r.doc_id], r)
 
 
+def test_pii_vectors_are_bounded(spark):
+    """However texts vary, a feature takes no more values than its steps, and their product is the stated bound."""
+    texts = [" ".join(("-" * (k % 9) + "x" * k, f"{'y' * k}@{'z' * k}.{'1' * k}.org", "1-" * k + "2", f"+1{'(' * (k % 8)}{'5' * k}")) for k in range(1, 40)]
+    cands = pii.with_candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), ("doc_id",))
+    c = cands.select(F.explode("spans").alias("c")).select("c.*")
+    most = c.agg(*[F.max(f).alias(f) for f in pii.FEATURES]).first()
+    sizes = {f: len(cuts) + 1 for f, cuts in pii.CUTS.items()} | dict(zip(("checked", "context", "before", "after"), pii.OTHERS))
+    assert all(most[f] < n for f, n in sizes.items())
+    assert len(pii.GENERATORS) * np.prod(list(sizes.values())) * 2 == pii.MOST_VECTORS <= 200_000
+
+
 def test_pii_trees():
     """Trees tell vectors apart, and thresholds follow held-out evidence."""
 
