@@ -1,6 +1,7 @@
 """Operators on small hand-made inputs: formats, trees, chains, alignments, edge cases."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,6 +234,27 @@ def test_empty_tables(spark):
     assert robust.fold_losses(f, th).count() == 0
 
 
+def test_greedy_cluster_is_exact(spark):
+    """Against brute force; short texts lie anywhere in long ones, and chains of centres take many rounds."""
+    rng = random.Random(5)
+    base = ["".join(rng.choices("ACDEFGHIKL", k=300)) for _ in range(4)]
+    texts = [b[at : at + n] for b in base for at, n in ((0, 300), (0, 300), (0, 200), (140, 160), (90, 150), (210, 90), (5, 280), (30, 260), (60, 235), (90, 205), (120, 170))]
+    texts += [b[:150] + "".join(rng.choices("MNPQRS", k=n)) for b in base for n in (140, 145, 150, 155)] + ["", "AC", "AC"]
+    long = "".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=3000))
+    texts += [long, *(long[at : at + 40] for at in range(0, 2900, 300))]
+    rng.shuffle(texts)
+    mers = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    for identity, coverage in ((0.5, 0.5), (0.9, 0.6), (0.3, 0.0)):
+        want, centres = {}, []
+        for i in sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i)):
+            fits = [c for c in centres if mers[c] & mers[i] and len(mers[c] & mers[i]) >= len(mers[i]) * identity and len(texts[i]) >= len(texts[c]) * coverage]
+            want[i] = fits[0] if fits else i
+            if not fits:
+                centres.append(i)
+        got = clusters.greedy_cluster(spark.createDataFrame(list(enumerate(texts)), "seq_id bigint, seq string"), identity, coverage)
+        assert sorted((r.member, r.rep) for r in got.collect()) == sorted(want.items())
+
+
 def test_iterations(spark):
     base = "MKVACDEFGHIKLMNPQRSTVWYACDEFGHIK"
     db = spark.createDataFrame([(i, base[: 20 + i % 5] + "AC" * (i % 3)) for i in range(12)] + [(99, "W" * 30)], "seq_id bigint, seq string")
