@@ -27,20 +27,21 @@ def convergence(iterations: DataFrame, share: float) -> DataFrame:
     return got.select("iter", "n", "n_new", novelty.alias("novelty"), ((F.col("iter") >= F.col("first") + 2) & (novelty < share)).alias("converged"))
 
 
-def new_profiles(curated: DataFrame, sequences: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+def new_profiles(curated: DataFrame, sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Clusters of the curated domains, and a profile of each with its threshold: the
-    lowest score of its own members. A domain is aligned to its profile by its start."""
+    lowest score of its own members. A domain is aligned to its profile by its start, at
+    its whole length; the end that a shorter one misses is gaps."""
     doms = written(hits.extract_domains(curated, sequences).select(F.col("target").alias("seq_id"), F.col("domain").alias("seq")), "domains")
     groups = written(clusters.greedy_cluster(doms), "domain-clusters")
     big = groups.groupBy("rep").agg(F.count("*").alias("n")).filter("n >= 3").select("rep")
-    aln = groups.join(big, "rep").join(doms, F.col("member") == F.col("seq_id")).select(F.col("rep").alias("aln_id"), "seq_id", F.rpad("seq", width, "-").alias("aligned"))
+    aln = groups.join(big, "rep").join(doms, F.col("member") == F.col("seq_id")).select(F.col("rep").alias("aln_id"), "seq_id", F.col("seq").alias("aligned"))
     built = written(profiles.build(aln), "profiles")
     scores = profiles.search(built, doms)
     own = scores.join(groups.select(F.col("member").alias("target"), F.col("rep").cast("string").alias("profile")), ["profile", "target"])
     return built, written(own.groupBy("profile").agg(F.min("score").alias("threshold")), "thresholds")
 
 
-def run(spark: SparkSession, first_profiles: DataFrame, first_thresholds: DataFrame, sequences: DataFrame, iters: int = 5, share: float | None = None, most: int = 10, width: int = 120):
+def run(spark: SparkSession, first_profiles: DataFrame, first_thresholds: DataFrame, sequences: DataFrame, iters: int = 5, share: float | None = None, most: int = 10):
     """Iterate. Returns the table of hits by iteration and the last profiles and thresholds."""
     prof, thr, seen = first_profiles, first_thresholds, None
     for k in range(most if share is not None else iters):
@@ -54,7 +55,7 @@ def run(spark: SparkSession, first_profiles: DataFrame, first_thresholds: DataFr
             break
         if not n:
             break
-        made, bounds = new_profiles(curated, sequences, width)
+        made, bounds = new_profiles(curated, sequences)
         if bounds.isEmpty():
             break
         prof, thr = made, bounds

@@ -265,6 +265,16 @@ def test_iterations(spark):
     assert first == set(range(12)) and bounds.count() >= 1 and prof.count() > 0
 
 
+def test_profiles_keep_long_domains(spark):
+    """A rebuilt profile has all positions of its domains, however long."""
+    rng = random.Random(3)
+    seq = "".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=310))
+    db = spark.createDataFrame([(i, seq[: 310 - 5 * i]) for i in range(4)], "seq_id bigint, seq string")
+    curated = db.select(F.col("seq_id").alias("target"), F.lit(1).alias("env_s"), F.length("seq").alias("env_e"), F.lit("p").alias("profile"), F.lit(9.0).alias("score"))
+    built, bounds = iterate.new_profiles(curated, db)
+    assert built.agg(F.max("pos")).first()[0] >= 300 and bounds.count() == 1
+
+
 def test_streaming(spark, data, tmp_path):
     from cladewise.plans import views
 
