@@ -21,7 +21,7 @@ score is the share of label 1 (0.5 without labels). Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from cladewise.session import bounded_batches
 
 BUCKETS = 1 << 18
 #: Labelled rows that are fitted on, at most.
-SAMPLE = 10_000
+SAMPLE = 16_000
 HELD_OUT_FOLD, FOLDS = 0, 5
 THRESHOLD = 0.3
 _U = np.uint64
@@ -125,7 +125,35 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * (sums + self.offset) + self.shift, -30, 30)))
 
 
-def hinge_by_dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, float]:
+class Sample(Sequence):
+    """Bucket lists of many rows in one array; an item is a view of its part."""
+
+    def __init__(self, flat: np.ndarray, heads: np.ndarray):
+        self.flat, self.heads = flat, heads
+
+    def __len__(self) -> int:
+        return len(self.heads) - 1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        return self.flat[self.heads[i] : self.heads[i + 1]]
+
+
+class InOrder(Sequence):
+    """The rows of ``rows`` with the numbers ``order``, without a copy."""
+
+    def __init__(self, rows: Sequence[np.ndarray], order: Sequence[int]):
+        self.rows, self.order = rows, order
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.rows[self.order[i]]
+
+
+def hinge_by_dual_descent(rows: Sequence[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, float]:
     """Linear hinge-loss model (y is -1 or 1), one dual variable at a time."""
     w, b = np.zeros(len(scale)), 0.0
     alpha = np.zeros(len(rows))
@@ -167,7 +195,7 @@ def logistic_map(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(c)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 0.05, smooth: float = 1.0, keep: float = 0.9) -> Model:
+def fit(rows: Sequence[np.ndarray], labels: np.ndarray, cost: float = 0.05, smooth: float = 1.0, keep: float = 0.9) -> Model:
     """Fit on a bounded list of bucket lists with labels 0 and 1."""
     n = len(rows)
     if not n or labels.min() == labels.max():
@@ -183,7 +211,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 0.05, smooth:
     y = np.where(labels > 0, 1.0, -1.0)
     share = np.array([np.mean(y[own] < 0), np.mean(y[own] > 0)])
     cost_of = cost * 0.5 / share[(y[own] > 0).astype(int)]
-    w, b = hinge_by_dual_descent([rows[i] for i in own], ratio, y[own], cost_of)
+    w, b = hinge_by_dual_descent(InOrder(rows, own), ratio, y[own], cost_of)
     w = (1 - keep) * np.abs(w[w != 0]).mean() * (counts.sum(0) > 2 * smooth) + keep * w if (w != 0).any() else w
     weights = ratio * w
     held = np.flatnonzero(part) if part.any() else own
@@ -213,8 +241,19 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: i
     # The sample's ids are bounded by its size: a few hundred KB to broadcast.
     picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", F.col("label").cast("int"), "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, found binary"
-    got = sorted((r.doc_id, r.label, bytes(r.found)) for r in picked.mapInArrow(run, schema).toLocalIterator())
-    return fit([np.frombuffer(x[2], "<i4") for x in got], np.array([min(max(x[1], 0), 1) for x in got], np.int64))
+    # Straight into one array, which is doubled when it is full.
+    flat, end, ends, keys = np.empty(1 << 20, np.int32), 0, [0], []
+    for r in picked.mapInArrow(run, schema).toLocalIterator():
+        found = np.frombuffer(r.found, "<i4")
+        if end + len(found) > len(flat):
+            flat = np.concatenate([flat[:end], np.empty(max(len(flat), len(found)), np.int32)])
+        flat[end : end + len(found)] = found
+        end += len(found)
+        ends.append(end)
+        keys.append((r.doc_id, r.label))
+    rows = Sample(flat[:end], np.array(ends, np.int64))
+    order = sorted(range(len(keys)), key=lambda i: (*keys[i], rows[i].tobytes()))
+    return fit(InOrder(rows, order), np.array([min(max(keys[i][1], 0), 1) for i in order], np.int64))
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -191,6 +191,21 @@ def test_components(spark):
     assert got == {x: top(x) for x in list(up)}
 
 
+def test_quality_sample(spark, monkeypatch):
+    """The fit sees the first rows by hash of doc_id, 16,000 of them, each with its own buckets and label."""
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda rows, labels: seen.update(rows=rows, labels=labels))
+    ids = [i for i in range(21_000)]
+    docs = spark.createDataFrame([(i, f"w{i} " * (2 + i % 3)) for i in ids], "doc_id bigint, text string")
+    quality.fitted(docs, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, quality int"))
+    trained = [r.doc_id for r in docs.filter(quality.fold(F.col("doc_id")) != quality.HELD_OUT_FOLD).orderBy(F.xxhash64("doc_id"), "doc_id").limit(16_000).collect()]
+    assert len(trained) == len(seen["rows"]) == len(seen["labels"]) == 16_000
+    for k, i in list(enumerate(sorted(trained)))[::500]:
+        text = f"w{i} " * (2 + i % 3)
+        found, _ = quality.features(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert seen["rows"][k].tolist() == found.tolist() and seen["labels"][k] == i % 2
+
+
 def test_pii(spark, data, docs, odd, empty):
     kinds = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
 
