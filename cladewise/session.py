@@ -51,6 +51,16 @@ def bounded_batches(spark: SparkSession, rows: int = 512, size: str = "8m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def filtered_joins(spark: SparkSession) -> None:
+    """Let Spark make a Bloom filter of the small side of a shuffled join, whatever the sizes.
+
+    Its bits are bounded (8 MB); where a side has too many keys it only lets
+    more rows pass. Spark asks for a comparison on the filtering side.
+    """
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1m")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1t")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
