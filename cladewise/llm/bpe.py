@@ -14,9 +14,11 @@ crossed when a merge of two touching pieces comes before the merges that use
 them up. This holds where every merge comes after those that made its parts,
 which is checked when the vocabulary is loaded.
 
-Words ``[^\\x20\\x09-\\x0D]+`` are encoded once for each slice of a batch and
-looked up after that; a bounded memo keeps pieces across slices. Work on a text
-is linear in its length, and no text is cut.
+Different pieces of a slice (pre-tokens of ASCII words, any other word
+``[^\\x20\\x09-\\x0D]+``) are encoded once and looked up after that,
+their bytes compared, so that no hash decides which piece it is; a bounded memo
+keeps the ids of pieces across slices. Work on a text is linear in its length,
+and no text is cut.
 
 Defined results: null text counts as empty: no ids, empty decoded text. The
 strings of special tokens in a text give their ids, as in the library. Rows
@@ -28,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +40,10 @@ from pyspark.sql import DataFrame
 from cladewise.llm import textnp as tn
 from cladewise.session import bounded_batches
 
-#: Pieces that a worker remembers; at most this many, then it starts again.
-MEMO = 400_000
+#: Pieces, and pairs of tokens, that a worker remembers; at most this many of each, then it starts again.
+MEMO = 300_000
+#: Borders of tokens that a worker remembers.
+SPINES = 20_000
 _END = "\0"
 _NEVER = 1 << 60
 
@@ -94,7 +99,8 @@ class WordBpe:
         self.pieces_of = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{space}\p{{L}}\p{{N}}]+").findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.to_chars = dict(enumerate(_byte_chars()))
-        self.memo: dict[str, tuple[str, str, int]] = {}
+        self.memo: dict[bytes, array] = {}
+        self.decimal = [str(i) for i in range(max(self.names) + 1)]
 
     # -- the pair test ------------------------------------------------------------
 
@@ -125,6 +131,8 @@ class WordBpe:
         """Pieces at one border of a token: (piece, when made, when used up)."""
         got = self.spines[side].get(token)
         if got is None:
+            if len(self.spines[side]) > SPINES:
+                self.spines[side].clear()
             got, piece, used = [], token, _NEVER
             while True:
                 made = self.made.get(piece)
@@ -168,7 +176,7 @@ class WordBpe:
                 key = u << 20 | token
                 ok = pairs.get(key)
                 if ok is None:
-                    if len(pairs) > 4 * MEMO:
+                    if len(pairs) > MEMO:
                         pairs.clear()
                     ok = pairs[key] = self._may_follow(u, token)
                 if not ok:
@@ -180,32 +188,29 @@ class WordBpe:
             i = back[i]
         return ids[::-1]
 
-    def _piece(self, piece: str) -> tuple[str, str, int]:
-        got = self.memo.get(piece)
-        if got is None:
-            ids = self.piece_ids(piece)
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            got = self.memo[piece] = (" ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids)), len(ids))
-        return got
-
-    def word(self, word: str) -> tuple[str, str, int]:
-        """Of one word: ids and decoded text, both joined by spaces, and the number of ids."""
-        if word.isascii():
-            low = word.lower()
-            if low.isalpha():
-                return self._piece(low)
-            if low[-1] in ".," and low[:-1].isalpha():
-                a, b = self._piece(low[:-1]), self._piece(low[-1])
-                return f"{a[0]} {b[0]}", f"{a[1]} {b[1]}", a[2] + b[2]
-        out = []
+    def _odd(self, word: str) -> list[int]:
+        """Ids of a word that is not all ASCII letters."""
+        out: list[int] = []
         for k, part in enumerate(self.split_special(word) if self.split_special else [word]):
             if k % 2:
-                out.append((str(self.special[part]), part, 1))
+                out.append(self.special[part])
             elif part:
                 low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += map(self._piece, self.pieces_of(low))
-        return " ".join(x[0] for x in out), " ".join(x[1] for x in out), sum(x[2] for x in out)
+                for piece in self.pieces_of(low):
+                    out += self.ids_of(piece.encode(), True)
+        return out
+
+    def ids_of(self, word: bytes, plain: bool) -> array:
+        """Ids of a word, from the memo if they are there; plain: one pre-token already."""
+        got = self.memo.get(word)
+        if got is None:
+            text = word.decode("utf-8", "replace")
+            got = array("I", self.piece_ids(text) if plain else self._odd(text))
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            if plain:
+                self.memo[word] = got
+        return got
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -218,28 +223,87 @@ def loaded(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def distinct_words(buf: np.ndarray, offs: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Different words of a slice, which one each word is, and each text's first word."""
+# Classes of bytes: 0 white, 1 ASCII letter, 2 digit, 3 other ASCII that makes a pre-token with its like, 4 the rest.
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[tn.SPACE] = 0
+_CLASS[0x21:0x7F] = 3
+_CLASS[[ord("'"), ord("<")]] = 4
+_CLASS[ord("0") : ord("9") + 1] = 2
+for _first in "aA":
+    _CLASS[ord(_first) : ord(_first) + 26] = 1
+# Letters U+00C0 to U+00FF are this byte and one of 0x80 to 0xBF; two places are no letters; capitals come before 0x9F.
+_LATIN, _NO_LETTERS, _LAST_CAPITAL = 0xC3, (0x97, 0xB7), 0x9E
+_CLASS[_LATIN] = 1
+
+
+def distinct_pieces(buf: np.ndarray, offs: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Different pieces of a slice, which of them are plain, which one each piece is, and each text's first piece.
+
+    A word of ASCII without ' and <, and of letters up to U+00FF, is cut into the
+    pre-tokens of the vocabulary's pattern: runs of letters (in lower case), single
+    digits, runs of other characters. These pieces are plain. Any other word is one
+    piece as it stands.
+    Pieces of one hash are one piece only where their bytes are the same.
+    """
     starts, ends, firsts = tn.words(buf, offs)
     if not len(starts):
-        return [], np.zeros(0, np.int64), firsts
-    hashes = tn.word_hashes(buf, starts, ends)
-    order = np.argsort(hashes)
-    ordered = hashes[order]
-    new = np.ones(len(order), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    one, which = order[new], np.empty(len(order), np.int64)
-    which[order] = np.cumsum(new) - 1
-    whole = buf.tobytes()
-    return [whole[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())], which, firsts
+        return [], np.zeros(0, bool), np.zeros(0, np.int64), firsts
+    kind, lower = _CLASS[buf], tn.LOWER[buf]
+    at = np.flatnonzero(buf[:-1] == _LATIN) + 1
+    second = buf[at]
+    kind[at] = np.where(np.isin(second, _NO_LETTERS), 4, 1)
+    lower[at] = second + 32 * (second <= _LAST_CAPITAL).astype(np.uint8)
+    rest = np.zeros(len(buf) + 1, np.int32)
+    np.cumsum(kind == 4, out=rest[1:])
+    odd = rest[ends] > rest[starts]
+    step = np.zeros(len(buf) + 1, np.int8)
+    step[starts[odd]] += 1
+    step[ends[odd]] -= 1
+    whole_word = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+    low = np.where(whole_word, buf, lower)
+    begins = np.zeros(len(buf), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    begins &= (kind > 0) & ~whole_word
+    begins[starts] = True
+    s = np.flatnonzero(begins)
+    n = len(s)
+    heads = np.searchsorted(s, starts)
+    word = np.zeros(n, np.int64)
+    word[heads[1:]] = 1
+    np.cumsum(word, out=word)
+    e, plain = ends[word], ~odd[word]
+    e[:-1] = np.minimum(e[:-1], s[1:])
+    firsts = np.r_[heads, n][firsts]
+
+    import pandas as pd
+
+    which, _ = pd.factorize(tn.word_hashes(low, s, e))
+    one = np.empty(int(which.max()) + 1, np.int64)
+    one[which[::-1]] = np.arange(n - 1, -1, -1)
+    size, first = e - s, one[which]
+    same = (size == size[first]) & tn.same_bytes(low, s, s[first], np.minimum(size, size[first]))
+    whole = low.tobytes()
+    found, plain_found = [whole[a:b] for a, b in zip(s[one].tolist(), e[one].tolist())], plain[one]
+    if not same.all():
+        numbers: dict[bytes, int] = {}
+        for i in np.flatnonzero(~same).tolist():
+            piece = whole[s[i] : e[i]]
+            if piece not in numbers:
+                numbers[piece] = len(found)
+                found.append(piece)
+                plain_found = np.append(plain_found, plain[i])
+            which[i] = numbers[piece]
+    return found, plain_found, which, firsts
 
 
 def encode_slice(bpe: WordBpe, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[str, str, int]]:
     """Per text: ids joined by spaces, decoded text, number of ids."""
-    found, which, firsts = distinct_words(buf, offs)
-    made = [bpe.word(w.decode("utf-8", "replace")) for w in found]
-    ids, texts = [x[0] for x in made], [x[1] for x in made]
-    counts = np.fromiter((x[2] for x in made), np.int64, len(made))
+    found, plain, which, firsts = distinct_pieces(buf, offs)
+    made = [bpe.ids_of(w, p) for w, p in zip(found, plain.tolist())]
+    counts = np.fromiter(map(len, made), np.int64, len(made))
+    # Decimal and text form are made once for a slice; the memo holds the ids alone.
+    decimal, names = bpe.decimal, bpe.names
+    ids, texts = [" ".join(map(decimal.__getitem__, x)) for x in made], [" ".join(map(names.__getitem__, x)) for x in made]
     totals = np.zeros(len(which) + 1, np.int64)
     if len(which):
         np.cumsum(counts[which], out=totals[1:])

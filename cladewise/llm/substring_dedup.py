@@ -67,8 +67,7 @@ def anchored(buf: np.ndarray, offs: np.ndarray):
     counts = np.maximum(np.diff(firsts) - WINDOW + 1, 0)
     heads = np.cumsum(counts) - counts
     at = np.arange(int(counts.sum())) + np.repeat(firsts[:-1] - heads, counts)
-    part = np.arange(n - PART + 1)
-    parts = tn.range_hash(hashes, part, part + PART) | np.uint64(1)
+    parts = tn.runs_of(hashes, PART) | np.uint64(1)
     least = _sliding(parts, span, np.minimum)
     valid = np.zeros(len(least), bool)
     valid[at] = True
@@ -122,7 +121,7 @@ def _candidates(seen):
                 ids = rows.column("doc_id").fill_null(_NULL_ID).to_numpy()[doc]
                 starts, ends, _ = tn.words(buf, offs)
                 second = tn.word_hashes(buf, starts, ends, 1)
-                pair = (tn.range_hash(hashes, at, at + WINDOW), tn.range_hash(second, at, at + WINDOW, 1))
+                pair = (tn.runs_of(hashes, WINDOW)[at], tn.runs_of(second, WINDOW, 1)[at])
                 held.append((*pair, ids, at - firsts[doc], anchors))
                 n += len(at)
                 if n >= HELD:

@@ -6,6 +6,7 @@ partition, so memory is bounded by the slice plus the longest single text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,7 +61,11 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of values[start:end] for every pair, equal for equal content."""
+    """64-bit hash of values[start:end] for every pair, equal for equal content.
+
+    A polynomial: cheap for long ranges, but different contents can be made to
+    collide, so it only finds what something stronger then verifies.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _powers(which, len(values) + 1)
@@ -130,8 +135,78 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, offs)
 
 
+#: Words of more bytes than this are hashed one by one with a keyed digest.
+LONG_WORD = 128
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SEEDS = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
+
+
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """For every place the number that its eight bytes make."""
+    return np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), 0, (1,))
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    return range_hash(byte_values(buf, which), starts, ends, which)
+    """64-bit hashes of words, eight bytes after eight through a mix that no algebra of the bytes undoes.
+
+    ``which`` names one of two independent functions. Words of at most eight
+    bytes and equal length never collide.
+    """
+    n = ends - starts
+    with np.errstate(over="ignore"):
+        h = mix64(n.astype(np.uint64) * _SEEDS[which] + _SEEDS[1 - which])
+        if not len(n):
+            return h
+        eight, seed = _eights(buf), _SEEDS[which]
+        live, at, left = np.flatnonzero(n <= LONG_WORD), starts, n
+        if len(live) < len(n):
+            at, left = starts[live], n[live]
+            view = memoryview(np.ascontiguousarray(buf))
+            for i in np.flatnonzero(n > LONG_WORD).tolist():
+                h[i] = int.from_bytes(hashlib.blake2b(view[starts[i] : ends[i]], digest_size=8, key=b"%d" % which).digest(), "little")
+        while len(live):
+            part = eight[at] & _KEEP[np.minimum(left, 8)]
+            h[live] = mix64((h[live] ^ part) + seed)
+            more = np.flatnonzero(left > 8)
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+    return h
+
+
+def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n[i] bytes from a[i] and from b[i] are the same."""
+    out = np.ones(len(a), bool)
+    eight, live = _eights(buf), np.flatnonzero(n <= LONG_WORD)
+    if len(live) < len(n):
+        view = memoryview(np.ascontiguousarray(buf))
+        for i in np.flatnonzero(n > LONG_WORD).tolist():
+            out[i] = view[a[i] : a[i] + n[i]] == view[b[i] : b[i] + n[i]]
+    x, y, left = a[live], b[live], n[live]
+    while len(live):
+        differ = (eight[x] ^ eight[y]) & _KEEP[np.minimum(left, 8)] != 0
+        out[live[differ]] = False
+        more = np.flatnonzero((left > 8) & ~differ)
+        live, x, y, left = live[more], x[more] + 8, y[more] + 8, left[more] - 8
+    return out
+
+
+def runs_of(hashes: np.ndarray, k: int, which: int = 0) -> np.ndarray:
+    """Hash of every k neighbours, by doubling; each step mixes, so that no sum over the places is left."""
+    seed = _SEEDS[which]
+
+    def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix64(a * _U(0xD6E8FEB86659FD93) + (b ^ (b >> _U(32))) * _U(0xA0761D6478BD642F) + seed)
+
+    with np.errstate(over="ignore"):
+        power, out, size, bit = hashes, None, 0, 1
+        while bit <= k:
+            if k & bit:
+                out = power if out is None else both(out[: len(hashes) - size - bit + 1], power[size:]) if len(hashes) >= size + bit else hashes[:0]
+                size += bit
+            bit *= 2
+            if bit <= k:
+                half = bit // 2
+                power = both(power[: max(len(power) - half, 0)], power[half:]) if len(power) > half else hashes[:0]
+    return out[: max(len(hashes) - k + 1, 0)]
 
 
 def windows(hashes: np.ndarray, firsts: np.ndarray, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +219,17 @@ def windows(hashes: np.ndarray, firsts: np.ndarray, k: int, which: int = 0) -> t
     heads = np.zeros(len(firsts), np.int64)
     np.cumsum(counts, out=heads[1:])
     at = np.arange(heads[-1]) + np.repeat(firsts[:-1] - heads[:-1], counts)
-    return at, range_hash(hashes, at, at + k, which), heads
+    return at, runs_of(hashes, k, which)[at], heads
+
+
+def short_sequences(hashes: np.ndarray, at: np.ndarray, n: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hash of the n[i] words from at[i], for small n; marked by their number."""
+    out = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in np.unique(n).tolist():
+            mine = n == k
+            out[mine] = mix64(runs_of(hashes, k, which)[at[mine]] + _U(k) * _SEEDS[1 - which])
+    return out
 
 
 def squeezed(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,10 @@ the k-th occurrence to its position (locate).
 Image: magic, number of bits, length, zeros per plane, then per plane the
 number of ones before each block and the block's place, then the blocks. A
 block is 65,536 bits, compressed on its own: a query reads the blocks it needs.
+An opened block has the number of ones before each of its 64-bit words, so rank
+is one look-up and one population count, and select one search and one word.
+
+The ``_many`` forms answer whole arrays of queries plane by plane.
 """
 
 from __future__ import annotations
@@ -17,9 +21,12 @@ import struct
 
 import numpy as np
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 BLOCK_BITS = 1 << 16
+_WORDS = BLOCK_BITS // 64
 _HEAD = struct.Struct("<4sBQ")
+#: Blocks that stay open.
+_OPEN = 256
 
 
 def _zstd():
@@ -34,21 +41,21 @@ def build(tokens: np.ndarray, bits: int) -> bytes:
     pack = _zstd().ZstdCompressor(level=1)
     zeros, ones_before, sizes, blocks = [], [], [], []
     cur = np.ascontiguousarray(tokens)
+    full = np.zeros(-(-n // BLOCK_BITS) * BLOCK_BITS // 8, np.uint8)
     for b in range(bits - 1, -1, -1):
-        bit = ((cur >> b) & 1).astype(bool)
-        packed = np.packbits(bit)
-        heads = range(0, len(packed), BLOCK_BITS // 8)
-        full = np.zeros(-(-len(packed) * 8 // BLOCK_BITS) * BLOCK_BITS // 8, np.uint8)
+        bit = (cur & cur.dtype.type(1 << b)).astype(bool)
+        packed = np.packbits(bit, bitorder="little")
         full[: len(packed)] = packed
-        counts = np.bitwise_count(full.view(np.uint64)).reshape(-1, BLOCK_BITS // 64).sum(axis=1, dtype=np.int64)
+        counts = np.bitwise_count(full.view(np.uint64)).reshape(-1, _WORDS).sum(axis=1, dtype=np.int64)
         ones_before.append(np.r_[0, np.cumsum(counts)].astype("<u8"))
-        for h in heads:
+        for h in range(0, len(packed), BLOCK_BITS // 8):
             raw = packed[h : h + BLOCK_BITS // 8].tobytes()
             small = pack.compress(raw)
             blocks.append(small if len(small) < len(raw) else raw)
             sizes.append(len(blocks[-1]))
         zeros.append(n - int(counts.sum()))
-        cur = np.concatenate([np.compress(~bit, cur), np.compress(bit, cur)])
+        if b:
+            cur = np.concatenate([cur[~bit], cur[bit]])
     places = np.r_[0, np.cumsum(np.array(sizes, np.int64))].astype("<u8")
     return b"".join([_HEAD.pack(MAGIC, bits, n), np.array(zeros, "<u8").tobytes(), *(x.tobytes() for x in ones_before), places.tobytes(), *blocks])
 
@@ -72,35 +79,52 @@ class Wavelet:
         self.ones_before = take(self.bits * (self.per_plane + 1)).reshape(self.bits, self.per_plane + 1)
         self.places = take(self.bits * self.per_plane + 1)
         self.image, self.start = image, at
-        self._open: dict[int, np.ndarray] = {}
+        self._planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._opened: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self._unpack = _zstd().ZstdDecompressor()
 
-    def _block(self, plane: int, k: int) -> np.ndarray:
-        """Bits of one block."""
+    def _raw(self, plane: int, k: int) -> bytes:
+        key = plane * self.per_plane + k
+        raw = self.image[self.start + self.places[key] : self.start + self.places[key + 1]]
+        n = -(-min(BLOCK_BITS, self.n - k * BLOCK_BITS) // 8)
+        return self._unpack.decompress(raw, max_output_size=n) if len(raw) < n else raw
+
+    def _block(self, plane: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of one block, and the ones before each word."""
         key = plane * self.per_plane + k
-        got = self._open.get(key)
+        got = self._opened.get(key)
         if got is None:
-            raw = self.image[self.start + self.places[key] : self.start + self.places[key + 1]]
-            n = min(BLOCK_BITS, self.n - k * BLOCK_BITS)
-            if len(raw) < -(-n // 8):
-                raw = self._unpack.decompress(raw)
-            got = np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
-            if len(self._open) >= 64:
-                self._open.clear()
-            self._open[key] = got
+            words = np.zeros(_WORDS, np.uint64)
+            raw = self._raw(plane, k)
+            words.view(np.uint8)[: len(raw)] = np.frombuffer(raw, np.uint8)
+            got = words, np.r_[0, np.cumsum(np.bitwise_count(words), dtype=np.int64)]
+            if len(self._opened) >= _OPEN:
+                self._opened.clear()
+            self._opened[key] = got
         return got
 
     def _rank1(self, plane: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
         k, rest = divmod(i, BLOCK_BITS)
-        return int(self.ones_before[plane, k]) + (int(np.count_nonzero(self._block(plane, k)[:rest])) if rest else 0)
+        if not rest:
+            return int(self.ones_before[plane, k])
+        words, before = self._block(plane, k)
+        w, b = divmod(rest, 64)
+        return int(self.ones_before[plane, k]) + int(before[w]) + ((int(words[w]) & ((1 << b) - 1)).bit_count() if b else 0)
 
     def _select(self, plane: int, bit: int, k: int) -> int:
         """Position of the k-th (from 0) bit of that value."""
         ones = self.ones_before[plane]
         before = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK_BITS, self.n) - ones
         at = int(np.searchsorted(before, k, "right")) - 1
-        return at * BLOCK_BITS + int(np.flatnonzero(self._block(plane, at) == bool(bit))[k - int(before[at])])
+        words, inside = self._block(plane, at)
+        k -= int(before[at])
+        inside = inside if bit else 64 * np.arange(len(inside)) - inside
+        w = int(np.searchsorted(inside, k, "right")) - 1
+        word = int(words[w]) if bit else ~int(words[w]) & ((1 << 64) - 1)
+        for _ in range(k - int(inside[w])):
+            word &= word - 1
+        return at * BLOCK_BITS + 64 * w + (word & -word).bit_length() - 1
 
     def access(self, i: int) -> int:
         """The token at position i."""
@@ -109,7 +133,7 @@ class Wavelet:
         token = 0
         for p in range(self.bits):
             k, rest = divmod(i, BLOCK_BITS)
-            one = bool(self._block(p, k)[rest])
+            one = int(self._block(p, k)[0][rest // 64]) >> (rest % 64) & 1
             token = token << 1 | one
             i = int(self.zeros[p]) + self._rank1(p, i) if one else i - self._rank1(p, i)
         return token
@@ -139,14 +163,73 @@ class Wavelet:
             i = self._select(p, bit, i - int(self.zeros[p]) if bit else i)
         return i
 
+    def _directory(self, plane: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of a whole plane (one more than is full) and the ones before each; kept for the next query."""
+        got = self._planes.get(plane)
+        if got is None:
+            words = np.zeros(self.n // 64 + 1, np.uint64)
+            raw = b"".join(self._raw(plane, k) for k in range(self.per_plane))
+            words.view(np.uint8)[: len(raw)] = np.frombuffer(raw, np.uint8)
+            ones = np.bitwise_count(words)
+            got = self._planes[plane] = words, np.cumsum(ones, dtype=np.int64) - ones
+        return got
+
+    def _bits(self, plane: int) -> np.ndarray:
+        return np.unpackbits(self._directory(plane)[0].view(np.uint8), count=self.n, bitorder="little").view(bool)
+
+    def _ranks(self, plane: int):
+        """Words of a whole plane and a function that ranks positions."""
+        words, before = self._directory(plane)
+
+        def rank1(i: np.ndarray) -> np.ndarray:
+            w = i >> 6
+            return before[w] + np.bitwise_count(words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+
+        return words, rank1
+
+    def access_many(self, i: np.ndarray) -> np.ndarray:
+        """The tokens at positions i."""
+        i = np.asarray(i, np.int64)
+        out = np.zeros(len(i), np.int64)
+        for p in range(self.bits):
+            words, rank1 = self._ranks(p)
+            one = (words[i >> 6] >> (i & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            out = out << 1 | one
+            r = rank1(i)
+            i = np.where(one, self.zeros[p] + r, i - r)
+        return out
+
+    def count_many(self, token: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Occurrences of a token in each range lo[i] to hi[i]."""
+        both = np.concatenate([np.asarray(lo, np.int64), np.asarray(hi, np.int64)])
+        for p in range(self.bits):
+            r = self._ranks(p)[1](both)
+            both = self.zeros[p] + r if token >> (self.bits - 1 - p) & 1 else both - r
+        return both[len(lo) :] - both[: len(lo)]
+
+    def locate_many(self, token: int, k: np.ndarray) -> np.ndarray:
+        """Positions of the k[i]-th occurrences of a token, which must exist."""
+        i = self._range(token, 0, self.n)[0] + np.asarray(k, np.int64)
+        for p in range(self.bits - 1, -1, -1):
+            bit = token >> (self.bits - 1 - p) & 1
+            words, before = self._directory(p)
+            if bit:
+                i = i - self.zeros[p]
+            else:
+                before = 64 * np.arange(len(before)) - before
+            w = np.searchsorted(before, i, "right") - 1
+            found = np.unpackbits(words[w].view(np.uint8), bitorder="little").reshape(-1, 64) == bit
+            i = 64 * w + np.argmax(np.cumsum(found, axis=1) == (i - before[w] + 1)[:, None], axis=1)
+        return i
+
     def tokens(self, dtype=np.uint16) -> np.ndarray:
         """The whole sequence, from the lowest plane up: one pass over each plane."""
         out = np.zeros(self.n, dtype)
         for p in range(self.bits - 1, -1, -1):
-            bit = np.concatenate([self._block(p, k) for k in range(self.per_plane)]) if self.n else np.zeros(0, bool)
+            bit = self._bits(p)
             z = int(self.zeros[p])
             up = np.empty_like(out)
-            up[np.flatnonzero(~bit)] = out[:z]
-            up[np.flatnonzero(bit)] = out[z:] | dtype(1 << (self.bits - 1 - p))
+            up[~bit] = out[:z]
+            up[bit] = out[z:] | dtype(1 << (self.bits - 1 - p))
             out = up
         return out
