@@ -22,7 +22,7 @@ BLOCK = 1 << 16
 #: Hashes that a task keeps before it sends a partial sketch.
 HELD = 4_000_000
 _DENSE = BLOCK // 8
-#: Counters of whole counts, and the hash bits that choose one.
+#: Counters of whole counts, and the hash bits that choose one: a table of fixed size, whatever the input.
 LOG2_COUNTS, COUNT_SHIFT = 20, 43
 
 
@@ -49,9 +49,8 @@ def _unpack(raw: bytes) -> np.ndarray:
 class Partial:
     """The partial sketch of one task."""
 
-    def __init__(self, log2_width: int, depth: int, counted: bool = False):
+    def __init__(self, log2_width: int, depth: int):
         self.log2_width, self.depth, self.held, self.n = log2_width, depth, [], 0
-        self.counts = np.zeros(1 << LOG2_COUNTS, np.uint32) if counted else None
 
     def add(self, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append(hashes)
@@ -64,8 +63,6 @@ class Partial:
             return
         hashes = np.concatenate(self.held)
         self.held, self.n = [], 0
-        if self.counts is not None:
-            self.counts += np.bincount((hashes >> np.uint64(COUNT_SHIFT) & np.uint64(len(self.counts) - 1)).astype(np.int64), minlength=len(self.counts)).astype(np.uint32)
         per_row = 1 << (self.log2_width - 16)
         for row in range(self.depth):
             c = np.sort(counter(hashes, row, self.log2_width).astype(np.uint32))
@@ -80,24 +77,14 @@ class Partial:
             yield pa.RecordBatch.from_arrays([pa.array((full + row * per_row).astype(np.int32)), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], names=["block", "once", "twice"])
 
 
-    def totals(self) -> Iterator[pa.RecordBatch]:
-        """Whole counts, as blocks with negative numbers."""
-        if self.counts is not None and self.counts.any():
-            parts = self.counts.reshape(-1, BLOCK)
-            raw = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in parts]
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - i for i in range(len(raw))], pa.int32()), pa.array(raw, pa.binary()), pa.array([b""] * len(raw), pa.binary())], names=["block", "once", "twice"])
-
-
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block: one block's counters (64 KB, or 512 KB of sums) are held at a time."""
+    """Rows sorted by block: one block's counters (64 KB) are held at a time."""
     cur, sums, done = None, None, []
 
     def closed():
         if cur is None:
             return
-        if cur < 0:
-            done.append((cur, zlib.compress(sums.astype("<i8").tobytes(), 1)))
-        elif (sums >= 2).any():
+        if (sums >= 2).any():
             done.append((cur, zlib.compress(np.packbits(sums >= 2, bitorder="little").tobytes(), 1)))
 
     def made() -> pa.RecordBatch:
@@ -107,10 +94,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, once, twice in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if block != cur:
                 closed()
-                cur, sums = block, np.zeros(BLOCK, np.int64 if block < 0 else np.uint8)
-            if block < 0:
-                sums += np.frombuffer(zlib.decompress(once), "<u4")
-                continue
+                cur, sums = block, np.zeros(BLOCK, np.uint8)
             at = _unpack(once)
             sums[at] = np.minimum(sums[at] + 1, 2)
             sums[_unpack(twice)] = 2
@@ -124,12 +108,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Repeated:
     """The merged sketch: tells which hashes may occur more than once."""
 
-    def __init__(self, log2_width: int, depth: int, bits: np.ndarray, weights: np.ndarray | None = None):
-        self.log2_width, self.depth, self.bits, self.weights = log2_width, depth, bits, weights
-
-    def weight(self, hashes: np.ndarray) -> np.ndarray:
-        """0 for a hash that is not far above the mean counter, else a number that grows with its count."""
-        return self.weights[(hashes >> np.uint64(COUNT_SHIFT) & np.uint64(len(self.weights) - 1)).astype(np.int64)]
+    def __init__(self, log2_width: int, depth: int, bits: np.ndarray):
+        self.log2_width, self.depth, self.bits = log2_width, depth, bits
 
     def maybe(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)
@@ -140,25 +120,77 @@ class Repeated:
         return out
 
 
-def repeated(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log2_width: int, depth: int, counted: bool = False) -> Repeated:
+def repeated(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log2_width: int, depth: int) -> Repeated:
     """Sketch of all hashes that ``hashes_of`` takes from the batches of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = Partial(log2_width, depth, counted)
+        part = Partial(log2_width, depth)
         for batch in batches:
             for h in hashes_of(batch):
                 yield from part.add(h)
         yield from part.flush()
-        yield from part.totals()
 
     merged = docs.mapInArrow(run, "block int, once binary, twice binary").repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block int, bits binary")
     bits = np.zeros(depth << (log2_width - 3), np.uint8)
-    counts = np.zeros(1 << LOG2_COUNTS, np.int64)
     for block, raw in merged.toLocalIterator():
-        if block < 0:
-            counts[(-1 - block) * BLOCK : -block * BLOCK] = np.frombuffer(zlib.decompress(raw), "<i8")
-            continue
         bits[block * _DENSE : (block + 1) * _DENSE] = np.frombuffer(zlib.decompress(raw), np.uint8)
-    heavy = counts > 4 * counts.mean() + 256
-    weights = np.where(heavy, np.log2(np.maximum(counts, 1)), 0).astype(np.uint8) if counted else None
-    return Repeated(log2_width, depth, bits, weights)
+    return Repeated(log2_width, depth, bits)
+
+
+def _counters(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(COUNT_SHIFT) & np.uint64((1 << LOG2_COUNTS) - 1)).astype(np.int64)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block: the sums of each block."""
+    cur, sums = None, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([cur], pa.int32()), pa.array([zlib.compress(sums.astype("<i8").tobytes(), 1)], pa.binary())], names=["block", "counts"])
+
+    for batch in batches:
+        for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if block != cur:
+                if cur is not None:
+                    yield row()
+                cur, sums = block, np.zeros(BLOCK, np.int64)
+            sums += np.frombuffer(zlib.decompress(raw), "<u4")
+    if cur is not None:
+        yield row()
+
+
+class Frequent:
+    """Weights of hashes that stand out of the counters' noise."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+
+    def weight(self, hashes: np.ndarray) -> np.ndarray:
+        """0 for a hash that is not clearly above the mean counter, else a number that grows with its count."""
+        return self.weights[_counters(hashes)]
+
+
+def frequent(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> Frequent:
+    """Counts of all hashes in 2**LOG2_COUNTS counters (8 MB to the driver, 1 MB of weights to the tasks).
+
+    A counter stands out when it is more than six deviations of an even spread
+    above the mean; its weight is the logarithm of what it has above that.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << LOG2_COUNTS, np.uint32)
+        for batch in batches:
+            for h in hashes_of(batch):
+                counts += np.bincount(_counters(h), minlength=len(counts)).astype(np.uint32)
+        parts = counts.reshape(-1, BLOCK)
+        some = np.flatnonzero(parts.any(axis=1))
+        raw = [zlib.compress(parts[i].astype("<u4").tobytes(), 1) for i in some.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw, pa.binary())], names=["block", "counts"])
+
+    merged = docs.mapInArrow(run, "block int, counts binary").repartition("block").sortWithinPartitions("block").mapInArrow(_added, "block int, counts binary")
+    counts = np.zeros(1 << LOG2_COUNTS, np.int64)
+    for block, raw in merged.toLocalIterator():
+        counts[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(zlib.decompress(raw), "<i8")
+    mean = counts.mean()
+    over = counts - (mean + 6 * mean**0.5 + 64)
+    return Frequent(np.where(over > 0, 1 + np.log2(np.maximum(over, 1)), 0).astype(np.uint8))

@@ -104,11 +104,22 @@ def test_token_files(spark, data, docs, odd, empty):
         want[i] = (start, len(ids) + 1, zlib.crc32(raw))
         start += len(ids) + 1
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op3_token_output(spark, data).collect()} == want
-    shards = token_files.write_shards(odd.filter("doc_id IS NOT NULL"), queries.word_vocabulary(), shard_tokens=100, slice_bytes=200)
+    near = [(2**60 + 1, "near"), (2**60 + 3, "nearer")]
+    more = odd.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id bigint, text string"))
+    shards = token_files.write_shards(more, queries.word_vocabulary(), shard_tokens=100, slice_bytes=200)
     assert shards.count() > 1
     got = sorted(token_files.read_documents(shards).collect(), key=lambda r: r.start)
-    assert [r.doc_id for r in got] == sorted(i for i, _, _ in ODD if i is not None)
+    assert [r.doc_id for r in got] == [None, *sorted(i for i, _, _ in ODD if i is not None), 2**60 + 1, 2**60 + 3]
     assert [r.start for r in got] == list(np.r_[0, np.cumsum([r.n_tokens for r in got])[:-1]])
+    truth = collections.defaultdict(list)
+    for i, ids, _ in token_truth([(i, t) for i, t, _ in ODD] + near):
+        truth[i].append([*ids, 1])
+    for r in got:
+        same = [x for x in truth[r.doc_id] if zlib.crc32(np.array(x, "<u4").tobytes()) == r.ids_crc32]
+        assert same and (r.n_tokens, r.first_token, r.n_end_ids, r.end_at) == (len(same[0]), same[0][0], same[0].count(1), r.start + r.n_tokens - 1)
+    named = spark.createDataFrame([("b", "x y"), ("a", "z"), (None, None)], "doc_id string, text string")
+    got = token_files.read_documents(token_files.write_shards(named, queries.word_vocabulary())).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, "a", "b"] and got[0].n_tokens == 1
     assert token_files.read_documents(token_files.write_shards(empty, queries.word_vocabulary())).count() == 0
 
 
@@ -124,7 +135,49 @@ def test_wavelet():
             at = np.flatnonzero(seq == t)
             assert w.count(t) == len(at) and w.count(t, n // 3, n // 2) == ((at >= n // 3) & (at < n // 2)).sum()
             if len(at):
-                assert w.locate(t, len(at) - 1) == at[-1] and w.locate(t, 0) == at[0]
+                assert w.locate(t, len(at) - 1) == at[-1] and w.locate(t, 0) == at[0] and w.locate(t, len(at) // 2) == at[len(at) // 2]
+            assert (w.locate_many(t, np.arange(len(at))) == at).all()
+            lo = np.arange(0, n + 1, 997)
+            assert w.count_many(t, lo, np.minimum(lo + 500, n)).tolist() == [int((seq[a : a + 500] == t).sum()) for a in lo]
+        if n:
+            some = rng.integers(0, n, 300)
+            assert (w.access_many(some) == seq[some]).all()
+
+
+def two_alike(n):
+    """The two Thue-Morse words of a power of two letters, on which polynomials with an odd base modulo 2**64 collide."""
+    s = [0]
+    while len(s) < n:
+        s += [1 - x for x in s]
+    return "".join("ab"[x] for x in s), "".join("ba"[x] for x in s)
+
+
+def test_words_that_defeat_polynomials(spark):
+    rows = []
+    for n in (64, 128, 1024, 2048, 4096):
+        a, b = two_alike(n)
+        rows += [(len(rows), a), (len(rows) + 1, b), (len(rows) + 2, " ".join([a] * 25)), (len(rows) + 3, " ".join([b] * 25)), (len(rows) + 4, f"{a} {b} {a}, {b}.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    want = {i: (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()) for i, ids, _ in token_truth(rows)}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256) for r in bpe.encode_decode(df, queries.word_vocabulary()).collect()} == want
+    crc = {i: zlib.crc32(np.array([*ids, 1], "<u4").tobytes()) for i, ids, _ in token_truth(rows)}
+    assert {r.doc_id: r.ids_crc32 for r in token_files.read_documents(token_files.write_shards(df, queries.word_vocabulary())).collect()} == crc
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.near_duplicates(df).collect()) == linked(rows)
+    assert said_windows(substring_dedup.substring_dedup(df)) == windows_truth(rows)
+
+
+def test_pieces_with_one_hash(monkeypatch):
+    """With hashes that all collide the bytes still tell pieces apart."""
+    text = "One two, one 12 two! <b> don't one".encode()
+    buf, offs = np.frombuffer(text, np.uint8), np.array([0, 10, len(text)])
+
+    def read(found, plain, which, firsts):
+        return [(found[k], bool(plain[k])) for k in which], firsts.tolist()
+
+    want = read(*bpe.distinct_pieces(buf, offs))
+    monkeypatch.setattr(tn, "word_hashes", lambda b, s, e, which=0: np.zeros(len(s), np.uint64))
+    assert read(*bpe.distinct_pieces(buf, offs)) == want
+    assert want[0][:4] == [(b"one", True), (b"two", True), (b",", True), (b"o", True)]
 
 
 def shingles(text):
@@ -173,6 +226,30 @@ def test_jaccard_join_on_near_copies(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == linked(rows)
 
 
+def test_jaccard_join_of_long_texts(spark):
+    """Long texts send numbers, not bitmaps; one pair links, one is at about 0.67."""
+    words = [f"w{k}" for k in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:59_000])), (3, " ".join([*words[:48_000], *(f"v{k}" for k in range(12_000))])), (4, "w1 w2 w3 w4 w5")]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == linked(rows)
+
+
+def test_jaccard_join_in_blocks(spark, monkeypatch):
+    """Frequent shingles, lists in blocks, and families that share much without linking."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", 3)
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(40)]
+    rows = []
+    for i in range(160):
+        own = [f"o{i // 3}x{k}" for k in range(rng.choice([4, 8, 12, 16]))]
+        rows.append((i, " ".join(base[: rng.choice([20, 40])] + own + ([f"z{i}"] if i % 2 else []))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard_join.near_duplicates(df).collect()) == linked(rows)
+    with pytest.raises(TypeError):
+        jaccard_join.near_duplicates(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(50), rng.randrange(50)) for _ in range(25)]
