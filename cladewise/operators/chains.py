@@ -1,61 +1,78 @@
 """Ordered chaining of domain hits, and scores of chains.
 
 A chain is a run of hits of one profile on one target, in target order, whose
-places on the profile follow each other within a tolerance. Work is per
-(profile, target), whose hits are few and bounded by the target's length.
+places on the profile follow each other within a tolerance. The hits of a
+(profile, target) are one sorted array, bounded by the target's length, and
+chaining is a fold over it: everything stays in DataFrame functions.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HIT = "struct<start:int,end:int,hmm_s:int,hmm_e:int,score:double,ord:bigint>"
+HIT = "struct<start:int,ord:bigint,end:int,hmm_s:int,hmm_e:int,score:double>"
 
 
-def covered(hits: list) -> int:
-    """Different profile positions under the hits, by merging their intervals."""
-    n, reach = 0, None
-    for s, e in sorted((h["hmm_s"], h["hmm_e"]) for h in hits):
-        if reach is None or s > reach:
-            n += e - s + 1
-            reach = e
-        elif e > reach:
-            n += e - reach
-            reach = e
-    return n
+def covered(hits: Column) -> Column:
+    """Different profile positions under the hits of an array."""
+    spans = F.array_sort(F.transform(hits, lambda h: F.struct(h["hmm_s"].alias("s"), h["hmm_e"].alias("e"))))
+    none = F.struct(F.lit(0).alias("n"), F.lit(-(1 << 31)).alias("reach"))
 
+    def add(a: Column, x: Column) -> Column:
+        fresh = F.greatest(F.lit(0), x["e"] - F.greatest(x["s"] - 1, a["reach"]))
+        return F.struct((a["n"] + fresh).cast("int").alias("n"), F.greatest(a["reach"], x["e"]).alias("reach"))
 
-def chain(hits: list, tol: float) -> list[list]:
-    """Chains of hits in target order, in the order in which they are closed.
+    return F.aggregate(spans, none, add, lambda a: a["n"])
 
-    Two chains are open: the active one, and a prospective one begun by a hit
-    that could not go on the active one. When a hit goes on the active chain
-    while the prospective one has several hits, the one that covers more of the
-    profile lives on (the active one on ties).
+
+def chained(hits: Column, tol: Column) -> Column:
+    """Chains (arrays of hits) of a sorted array of hits, in the order in which they end.
+
+    The state of the fold is the chains that have ended, the current one, and a
+    rival, begun by a hit that could not follow the current chain. A hit also
+    follows the rival if it comes after the rival's first hit. Where the hit
+    follows the current chain, the rival ends, or takes over if it has several
+    hits and covers more of the profile; where it does not, a rival takes over,
+    and the hit begins a new rival unless it is in the old one.
     """
-    out, active, other = [], [hits[0]], []
-    for h in hits[1:]:
-        if other and h["hmm_s"] >= other[0]["hmm_e"] - tol:
-            other.append(h)
-        if h["hmm_s"] >= active[-1]["hmm_e"] - tol:
-            active.append(h)
-            if len(other) > 1 and covered(other) > covered(active):
-                out.append(active)
-                active = other
-            elif other:
-                out.append(other)
-            other = []
-        elif other:
-            out.append(active)
-            active, other = other, [h] if len(other) == 1 else []
-        else:
-            other = [h]
-    out.append(active)
-    if other:
-        out.append(other)
-    return out
+    no_hits, no_chains = F.array().cast(f"array<{HIT}>"), F.array().cast(f"array<array<{HIT}>>")
+
+    def step(state: Column, h: Column) -> Column:
+        ended, current, rival = state["ended"], state["current"], state["rival"]
+        after_rival = (F.size(rival) > 0) & (h["hmm_s"] >= F.get(rival, 0)["hmm_e"] - tol)
+        rival = F.when(after_rival, F.concat(rival, F.array(h))).otherwise(rival)
+        several, some = F.size(rival) > 1, F.size(rival) > 0
+        follows = h["hmm_s"] >= F.element_at(current, -1)["hmm_e"] - tol
+        grown = F.concat(current, F.array(h))
+        overtaken = several & (covered(rival) > covered(grown))
+        ends = F.when(follows, F.when(overtaken, grown).when(some, rival)).when(some, current)
+        return F.struct(
+            F.when(ends.isNotNull(), F.concat(ended, F.array(ends))).otherwise(ended).alias("ended"),
+            F.when(follows & ~overtaken, grown).when(some, rival).otherwise(current).alias("current"),
+            F.when(follows | several, no_hits).otherwise(F.array(h)).alias("rival"),
+        )
+
+    begin = F.struct(no_chains.alias("ended"), F.slice(hits, 1, 1).alias("current"), no_hits.alias("rival"))
+    return F.aggregate(F.slice(hits, F.lit(2), F.size(hits)), begin, step, lambda s: F.filter(F.concat(s["ended"], F.array(s["current"], s["rival"])), lambda c: F.size(c) > 0))
+
+
+def weighted(hits: Column) -> Column:
+    """Scores spread evenly over a hit's positions; a position shared by several
+    hits of the chain counts once, on the profile and on the target; the mean of both."""
+
+    def on(first: str, last: str) -> Column:
+        cuts = F.array_sort(F.array_distinct(F.concat(F.transform(hits, lambda h: h[first]), F.transform(hits, lambda h: h[last] + 1))))
+        pieces = F.arrays_zip(F.slice(cuts, F.lit(1), F.size(cuts) - 1).alias("x"), F.slice(cuts, F.lit(2), F.size(cuts)).alias("y"))
+
+        def piece(total: Column, c: Column) -> Column:
+            here = F.filter(hits, lambda h: (h[first] <= c["x"]) & (h[last] >= c["y"] - 1))
+            dealt = F.aggregate(here, F.lit(0.0), lambda s, h: s + h["score"] / (h[last] - h[first] + 1))
+            return total + F.when(F.size(here) > 0, dealt * (c["y"] - c["x"]) / F.size(here)).otherwise(0.0)
+
+        return F.aggregate(pieces, F.lit(0.0), piece)
+
+    return (on("hmm_s", "hmm_e") + on("start", "end")) / 2
 
 
 def chains(hits: DataFrame, lengths: DataFrame, tolerance: float = 0.1, start: str = "env_s", end: str = "env_e") -> DataFrame:
@@ -66,33 +83,11 @@ def chains(hits: DataFrame, lengths: DataFrame, tolerance: float = 0.1, start: s
     each hit's share at a profile or target position dealt among the chain's
     hits there, as the mean of the two deals.
     """
-    one = F.struct(F.col(start).alias("start"), F.col(end).alias("end"), "hmm_s", "hmm_e", "score", "ord")
+    one = F.struct(F.col(start).alias("start"), "ord", F.col(end).alias("end"), "hmm_s", "hmm_e", "score").cast(HIT)
     groups = hits.groupBy("profile", "target").agg(F.array_sort(F.collect_list(one)).alias("hits")).join(lengths, "profile")
-
-    def per(batches):
-        for pdf in batches:
-            rows = []
-            for p, t, hs, n in zip(pdf["profile"], pdf["target"], pdf["hits"], pdf["len"]):
-                hs = sorted(({k: h[k] for k in ("start", "end", "hmm_s", "hmm_e", "score", "ord")} for h in hs), key=lambda h: (h["start"], h["ord"]))
-                for k, c in enumerate(chain(hs, tolerance * n)):
-                    rows.append((p, t, k, c, min(h["start"] for h in c), max(h["end"] for h in c), covered(c), weighted(c)))
-            yield pd.DataFrame(rows, columns=["profile", "target", "chain_no", "hits", "span_s", "span_e", "coverage", "score"])
-
-    target = hits.schema["target"].dataType.simpleString()
-    return groups.mapInPandas(per, f"profile string, target {target}, chain_no int, hits array<{HIT}>, span_s int, span_e int, coverage int, score double")
-
-
-def weighted(hits: list) -> float:
-    """Scores spread evenly over a hit's positions; a position shared by several
-    hits of the chain counts once, on the profile and on the target; the mean of both."""
-    total = 0.0
-    for a, b in (("hmm_s", "hmm_e"), ("start", "end")):
-        cuts = sorted({h[a] for h in hits} | {h[b] + 1 for h in hits})
-        for x, y in zip(cuts, cuts[1:]):
-            here = [h for h in hits if h[a] <= x and h[b] >= y - 1]
-            if here:
-                total += sum(h["score"] / (h[b] - h[a] + 1) for h in here) * (y - x) / len(here)
-    return total / 2
+    each = groups.select("profile", "target", F.posexplode(chained(F.col("hits"), F.lit(float(tolerance)) * F.col("len"))).alias("chain_no", "hits"))
+    span_s, span_e = F.array_min(F.transform("hits", lambda h: h["start"])), F.array_max(F.transform("hits", lambda h: h["end"]))
+    return each.select("profile", "target", "chain_no", "hits", span_s.alias("span_s"), span_e.alias("span_e"), covered(F.col("hits")).alias("coverage"), weighted(F.col("hits")).alias("score"))
 
 
 def best_chain(chained: DataFrame) -> DataFrame:

@@ -161,19 +161,32 @@ def test_tree_tables(spark):
     assert dict(rows(trees.patristic(t, "A")))["D"] == pytest.approx(1 + 1 + 0.5 + 2 + 1)
 
 
-def hit(s, e, a, b, score=1.0, k=0):
-    return {"start": s, "end": e, "hmm_s": a, "hmm_e": b, "score": score, "ord": k}
-
-
-def test_chaining():
-    one, two, far = hit(1, 10, 1, 50), hit(20, 30, 48, 90), hit(40, 50, 1, 60)
-    assert chains.chain([one, two], 5) == [[one, two]]
-    assert chains.chain([one, two], 1) == [[one], [two]]
-    assert chains.chain([two, one, far], 5) == [[two], [one]] or len(chains.chain([two, one, far], 5)) >= 2
-    assert chains.chain([far], 0) == [[far]]
-    assert chains.covered([one, two, far]) == 90
-    assert chains.weighted([hit(1, 10, 1, 10, 5.0)]) == pytest.approx(5.0)
-    assert chains.weighted([hit(1, 10, 1, 10, 5.0), hit(1, 10, 1, 10, 5.0)]) == pytest.approx(5.0)
+def test_chaining(spark):
+    """Chains by the order of their hits; ord names a hit."""
+    one, two, far, back = (1, 10, 1, 50), (20, 30, 48, 90), (40, 50, 1, 60), (60, 70, 70, 99)
+    cases = {
+        "follows": ([one, two], 5, [[0, 1]]),
+        "beyond tolerance": ([one, two], 1, [[0], [1]]),
+        "alone": ([far], 0, [[0]]),
+        # The third hit begins a rival; the fourth follows both, and the one that covers more goes on.
+        "rival ends": ([one, two, far, back], 25, [[2, 3], [0, 1, 3]]),
+        "rival takes over": ([(1, 5, 50, 60), (10, 15, 1, 40), (20, 30, 61, 80)], 0, [[0, 2], [1, 2]]),
+        "rival is larger": ([(1, 5, 40, 60), (10, 15, 1, 30), (20, 30, 31, 39), (40, 45, 70, 80)], 5, [[0], [1, 2, 3]]),
+    }
+    found = []
+    for name, (hs, tol, _) in cases.items():
+        found += [(name, "t", float(k + 1), a, b, k, s, e, int(10 * tol)) for k, (s, e, a, b) in enumerate(hs)]
+    df = spark.createDataFrame(found, "profile string, target string, score double, hmm_s int, hmm_e int, ord bigint, env_s int, env_e int, len int")
+    got = chains.chains(df.drop("len"), df.select("profile", "len").distinct()).collect()
+    for name, (_, _, want) in cases.items():
+        mine = sorted((r for r in got if r.profile == name), key=lambda r: r.chain_no)
+        assert [[h.ord for h in r.hits] for r in mine] == want, name
+    whole = next(r for r in got if r.profile == "follows")
+    assert (whole.span_s, whole.span_e, whole.coverage) == (1, 30, 90)
+    # One hit alone scores itself; two equal hits score as one of them.
+    same = spark.createDataFrame([("p", t, 5.0, 1, 10, k, 1, 10) for t, n in (("a", 1), ("b", 2)) for k in range(n)], "profile string, target string, score double, hmm_s int, hmm_e int, ord bigint, env_s int, env_e int")
+    got = chains.chains(same, spark.createDataFrame([("p", 100)], "profile string, len int"), tolerance=1.0).collect()
+    assert [r.score for r in got] == pytest.approx([5.0, 5.0])
 
 
 def test_alignment_merge(spark):
