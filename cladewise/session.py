@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor share.
 
-    It is ``spark.checkpoint.dir``. Where a session has none (tests on one
-    machine), a temporary folder is made and remembered in the session.
+    It is ``spark.checkpoint.dir``. Where a session on one machine has none
+    (tests), a temporary folder is made and remembered in the session; on a
+    cluster it must be set, as a folder of the driver is nobody else's.
     """
     for key in ("spark.checkpoint.dir", "spark.cladewise.work.dir"):
         found = spark.conf.get(key, None)
         if found:
             return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     made = tempfile.mkdtemp(prefix="spark-cladewise-", dir="/tmp")
     spark.conf.set("spark.cladewise.work.dir", made)
     return made
