@@ -6,7 +6,7 @@
    smallest doc_id stays.
 4. mixing: each document comes as often as the mix takes it (a last pass that
    takes at least half of it counts), in training order.
-5. bpe: ids and decoded text of each row that is left, as digests.
+5. bpe: the ids of each row that is left, and digests of ids and decoded text.
 
 All stages but the last return the columns they were given. A null doc_id is
 compared like any other value. Rows that share a doc_id share the decisions of
@@ -46,7 +46,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(docs, word_vocabulary())
+    return bpe.encode_decode(docs, word_vocabulary(), keep=("ids",))
 
 
 STAGES = [
