@@ -446,7 +446,7 @@ def _cross_pairs(known: DataFrame) -> DataFrame:
     run, schema = _exploded(("id", "n", "comp"))
     rows = written(known.select("id", "n", "light", "comp", "tokens").mapInArrow(run, schema).drop("frequent"), "lists")
     mixed = rows.groupBy("token").agg(F.count("*").alias("rows"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b")
-    mixed = written(mixed.select("token", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")), "mixed")
+    mixed = written(mixed.select("token", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")), "mixed").filter("blocks > 0")
     dealt = rows.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("bigint"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     met = dealt.select("token", "n", "pos", "comp", "id", "block", other).select(
@@ -488,7 +488,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alive = written(sets.select("gkey", "n", "sig0", "sig1", "id").join(living, ["gkey", "n"]).drop("gkey"), "living-sets").filter("n > 0")
     found = cand.select(F.col("doc_id").alias("id"), "n", "sig0", "sig1", "light", "tokens", "bits")
     live = written(found.join(alive, ["id", "n", "sig0", "sig1"]).drop("sig0", "sig1"), "living-items")
-    texts = written(docs.select(F.col("doc_id").alias("id"), "text").join(alive.select("id").distinct(), "id", "left_semi"), "texts")
+    texts = written(docs.select(F.col("doc_id").alias("id"), "text").join(alive.select("id"), "id", "left_semi"), "texts")
 
     # Stars of the groups, and of each group's members.
     reps = live.filter("id = first")
