@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cladewise.session import written
+
 WEIGHTS = (5, 2, 1)
 SLOPES = (0.0, 0.5, -0.5)
 MOST_PASSES = 3
@@ -81,6 +83,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, most_passes: int = MO
     """
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
     sized = sized.withColumn("draw", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("range", F.substring("draw", 1, RANGE_DIGITS))
+    # Written, so that the texts are read and counted once.
+    sized = written(sized, "sizes")
     targets = source_targets(sized, weights, slopes, most_passes)
     totals = sized.groupBy("source", "range").agg(F.sum("size").alias("words"))
     ranges = totals.select("source", "range", F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("range_before"))
