@@ -3,14 +3,16 @@
 The reader walks the chain of image directories of either byte order, decodes
 stored, PackBits, LZW and deflate strips and tiles, undoes the horizontal
 predictor, and gives the samples of each page. The writer makes files that use
-all of these: a page's size alone decides, so equal texts give equal files.
+all of these: a page's content alone decides, so equal texts give equal files.
 
 Files travel as values of a DataFrame column and are written by Spark; nothing
 opens a path. One file is decoded at a time, page by page.
 
 Defined results: null text counts as empty and is padded like any other. A
-value that is not a TIFF file, or is cut short, gives one row with ``error``
-set and no pixels; a null value gives none. Extra columns are ignored.
+value that is not a TIFF file, is cut short, or claims a page that its strips do
+not fill or of more than ``MOST_PAGE_BYTES`` gives a row with ``error`` set and
+no pixels after the pages before it, and its digest has an error and no payload;
+a null value gives no row. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ STORED, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
 #: A written page: 64 RGB samples a row, at most this many rows.
 PAGE_WIDTH, PAGE_SAMPLES, PAGE_ROWS = 64, 3, 1024
+#: A page of more samples is not read.
+MOST_PAGE_BYTES = 1 << 28
 ROW_BYTES = PAGE_WIDTH * PAGE_SAMPLES
 
 
@@ -162,6 +166,12 @@ def _differenced(a: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Schemes of written pages, and rows of a strip and of a tile.
+SCHEMES = (LZW, PACKBITS, PACKBITS, DEFLATE, DEFLATE, DEFLATE, DEFLATE, DEFLATE)
+STRIP_ROWS, TILE_ROWS = 32, 16
+ENCODERS = {LZW: lzw_encode, PACKBITS: packbits_encode, DEFLATE: lambda raw: zlib.compress(raw, 1)}
+
+
 def write_tiff(payload: bytes) -> bytes:
     """A file whose pages hold the payload, a multiple of 192 bytes, row by row."""
     parts, at, last_link = [b"II*\0\0\0\0\0"], 8, 4
@@ -171,18 +181,18 @@ def write_tiff(payload: bytes) -> bytes:
         rows = len(raw) // ROW_BYTES
         a = np.frombuffer(raw, np.uint8).reshape(rows, PAGE_WIDTH, PAGE_SAMPLES)
         tags: dict[int, list[int]] = {WIDTH: [PAGE_WIDTH], HEIGHT: [rows], BITS: [8] * PAGE_SAMPLES, PHOTOMETRIC: [2], SAMPLES: [PAGE_SAMPLES], PLANAR: [1]}
-        if rows <= 2:
-            scheme, segments = LZW, [lzw_encode(raw)]
-        elif rows <= 6:
-            scheme, segments = PACKBITS, [packbits_encode(raw)]
-        elif rows < 64:
-            scheme, tags[PREDICTOR] = DEFLATE, [2]
-            segments = [zlib.compress(_differenced(a[r : r + 32]).tobytes(), 1) for r in range(0, rows, 32)]
-        else:
-            scheme, tags[PREDICTOR] = DEFLATE, [2]
-            tall = np.zeros((-(-rows // 64) * 64, PAGE_WIDTH, PAGE_SAMPLES), np.uint8)
-            tall[:rows] = a
-            segments = [zlib.compress(_differenced(tall[r : r + 64]).tobytes(), 1) for r in range(0, rows, 64)]
+        # The content decides, so that pages of every length use every scheme and both layouts.
+        choice = zlib.crc32(raw)
+        scheme, tiled = SCHEMES[choice % len(SCHEMES)], bool(choice >> 8 & 1)
+        tall = TILE_ROWS if tiled else STRIP_ROWS
+        if tiled:
+            full = np.zeros((-(-rows // TILE_ROWS) * TILE_ROWS, PAGE_WIDTH, PAGE_SAMPLES), np.uint8)
+            full[:rows] = a
+            a = full
+        if scheme == DEFLATE:
+            tags[PREDICTOR] = [2]
+            a = _differenced(a)
+        segments = [ENCODERS[scheme](a[r : r + tall].tobytes()) for r in range(0, rows, tall)]
         tags[COMPRESSION] = [scheme]
         offsets = []
         for s in segments:
@@ -190,10 +200,10 @@ def write_tiff(payload: bytes) -> bytes:
             parts.append(s)
             at += len(s)
         sizes = [len(s) for s in segments]
-        if rows < 64:
-            tags |= {STRIP_OFFSETS: offsets, STRIP_COUNTS: sizes, ROWS_PER_STRIP: [rows if rows <= 6 else 32]}
+        if tiled:
+            tags |= {TILE_WIDTH: [PAGE_WIDTH], TILE_HEIGHT: [TILE_ROWS], TILE_OFFSETS: offsets, TILE_COUNTS: sizes}
         else:
-            tags |= {TILE_WIDTH: [64], TILE_HEIGHT: [64], TILE_OFFSETS: offsets, TILE_COUNTS: sizes}
+            tags |= {STRIP_OFFSETS: offsets, STRIP_COUNTS: sizes, ROWS_PER_STRIP: [STRIP_ROWS]}
         if at % 2:
             parts.append(b"\0")
             at += 1
@@ -247,8 +257,15 @@ def _page(data: bytes, tags: dict) -> np.ndarray:
     wide = tags[TILE_WIDTH][0] if tiled else width
     tall = tags[TILE_HEIGHT][0] if tiled else min(tags.get(ROWS_PER_STRIP, (height,))[0], height)
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
-    out = np.empty((height, width, samples), np.uint8)
+    if min(width, height, samples, wide, tall) < 1:
+        raise ValueError("a side has no length")
     across = -(-width // wide)
+    # Nothing is taken into memory on the word of the header alone.
+    if len(offsets) != across * -(-height // tall) or len(counts) != len(offsets):
+        raise ValueError("strips or tiles do not match the page")
+    if max(width * height, wide * tall * len(offsets)) * samples > MOST_PAGE_BYTES:
+        raise ValueError("the page is too large")
+    out = np.empty((height, width, samples), np.uint8)
     for k, (o, n) in enumerate(zip(offsets, counts)):
         y, x = k // across * tall, k % across * wide
         rows = tall if tiled else min(tall, height - y)
@@ -258,7 +275,7 @@ def _page(data: bytes, tags: dict) -> np.ndarray:
         elif scheme == LZW:
             raw = lzw_decode(raw, size)
         elif scheme in (DEFLATE, OLD_DEFLATE):
-            raw = zlib.decompress(raw)
+            raw = zlib.decompressobj().decompress(raw, size)
         elif scheme != STORED:
             raise ValueError(f"compression {scheme} is not read")
         if len(raw) < size:
@@ -299,7 +316,7 @@ def tiff_pages(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, size = [], 0
+            out, size, id_kind = [], 0, batch.schema.field("doc_id").type
             for doc, n, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))):
                 if data is None:
                     continue
@@ -313,39 +330,44 @@ def tiff_pages(media: DataFrame) -> DataFrame:
                         out.append((doc, page, a.shape[1], a.shape[0], a.shape[2], tags.get(COMPRESSION, (STORED,))[0], mean, (q * a.size - s * s) ** 0.5 / a.size, a.tobytes(), *about, None))
                         size += a.size
                         if size > 2 * tn.SLICE_BYTES:
-                            yield made(out)
+                            yield made(out, id_kind)
                             out, size = [], 0
                 except (ValueError, KeyError, struct.error, zlib.error, IndexError) as e:
                     out.append((doc, page + 1, None, None, None, None, None, None, None, *about, f"{type(e).__name__}: {e}"))
             if out:
-                yield made(out)
+                yield made(out, id_kind)
 
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=_PAGE)
+    def made(rows: list[tuple], id_kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), [id_kind, *kinds])], names=_PAGE)
 
     id_type = media.schema["doc_id"].dataType.simpleString()
-    kinds = [pa.string() if id_type == "string" else pa.int32() if id_type == "int" else pa.int64()]
-    kinds += [pa.int32()] * 5 + [pa.float64()] * 2 + [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    kinds = [pa.int32()] * 5 + [pa.float64()] * 2 + [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string()]
     schema = f"doc_id {id_type}, page int, width int, height int, samples int, compression int, mean double, deviation double, pixels binary, media_bytes bigint, media_sha256 string, n_bytes bigint, error string"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages of a file follow each other in a partition: one row per file."""
+    """Pages of a file follow each other in a partition: one row per file.
+
+    A file with an error has no payload columns.
+    """
     cur = None
 
     def row():
-        doc, n, sha, tail, size, about, marks = cur
-        return doc, n, size, sha.hexdigest(), zlib.crc32(tail), *about, f"{len(marks)} page(s): " + "; ".join(marks)
+        doc, n, sha, tail, size, about, marks, error = cur
+        read = (size, sha.hexdigest(), zlib.crc32(tail)) if error is None else (None, None, None)
+        return doc, n, *read, *about, f"{len(marks)} page(s): " + "; ".join(marks), error
 
     for batch in batches:
         out, kind = [], batch.schema.field("doc_id").type
-        for doc, page, w, h, _, scheme, mean, dev, px, mb, msha, n, _ in zip(*(batch.column(c).to_pylist() for c in _PAGE)):
+        for doc, page, w, h, _, scheme, mean, dev, px, mb, msha, n, error in zip(*(batch.column(c).to_pylist() for c in _PAGE)):
             if page == 0:
                 if cur:
                     out.append(row())
-                cur = [doc, n, hashlib.sha256(), b"", 0, (mb, msha), []]
-            if px is not None:
+                cur = [doc, n, hashlib.sha256(), b"", 0, (mb, msha), [], None]
+            if error is not None:
+                cur[7] = error
+            else:
                 cur[2].update(px)
                 cur[3] = px[-16:]
                 cur[4] += len(px)
@@ -357,13 +379,17 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def done(rows: list[tuple], id_kind: pa.DataType) -> pa.RecordBatch:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [id_kind, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
+    kinds = [id_kind, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
 
+def file_digests(media: DataFrame) -> DataFrame:
+    """One row per file of ``media`` (doc_id, n_bytes, media): its payload read back and summed up, or its error."""
+    schema = f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, error string"
+    return tiff_pages(media).mapInArrow(_digests, schema)
+
+
 def media_digest(docs: DataFrame) -> DataFrame:
     """Texts stored as TIFF files in the shared folder, read back and summed up: one row per document."""
-    stored = written(text_media(docs), "media")
-    schema = f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return tiff_pages(stored).mapInArrow(_digests, schema)
+    return file_digests(written(text_media(docs), "media"))
