@@ -296,49 +296,69 @@ def distinct_pieces(buf: np.ndarray, offs: np.ndarray) -> tuple[list[bytes], np.
     return found, plain_found, which, firsts
 
 
+class Encoded:
+    """Ids and texts of a slice, put together from its pieces."""
+
+    def __init__(self, bpe: WordBpe, buf: np.ndarray, offs: np.ndarray):
+        found, plain, self.which, self.firsts = distinct_pieces(buf, offs)
+        made = [bpe.ids_of(w, p) for w, p in zip(found, plain.tolist())]
+        self.counts = np.fromiter(map(len, made), np.int64, len(made))
+        # Decimal and text form are made once for a slice; the memo holds the ids alone.
+        decimal, names = bpe.decimal, bpe.names
+        self.ids, self.texts = [" ".join(map(decimal.__getitem__, x)) for x in made], [" ".join(map(names.__getitem__, x)) for x in made]
+        self.flat = np.frombuffer(b"".join(made), np.uint32)
+        upto = np.zeros(len(self.which) + 1, np.int64)
+        if len(self.which):
+            np.cumsum(self.counts[self.which], out=upto[1:])
+        self.upto, self.totals = upto, np.diff(upto[self.firsts])
+
+    def strings(self) -> Iterator[tuple[str, str]]:
+        """Per text: ids joined by spaces, decoded text."""
+        some = self.counts[self.which] > 0 if len(self.which) else np.zeros(0, bool)
+        gaps = not some.all()
+        for a, b in zip(self.firsts[:-1].tolist(), self.firsts[1:].tolist()):
+            at = self.which[a:b]
+            if gaps:
+                at = at[some[a:b]]
+            at = at.tolist()
+            yield " ".join([self.ids[k] for k in at]), " ".join([self.texts[k] for k in at])
+
+    def lists(self) -> pa.ListArray:
+        """Per text: its ids."""
+        n = self.counts[self.which] if len(self.which) else np.zeros(0, np.int64)
+        heads = np.cumsum(self.counts) - self.counts
+        at = np.arange(int(self.upto[-1])) + (np.repeat(heads[self.which] - self.upto[:-1], n) if len(n) else 0)
+        return pa.ListArray.from_arrays(pa.array(self.upto[self.firsts].astype(np.int32)), pa.array(self.flat[at].astype(np.int32)))
+
+
 def encode_slice(bpe: WordBpe, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[str, str, int]]:
     """Per text: ids joined by spaces, decoded text, number of ids."""
-    found, plain, which, firsts = distinct_pieces(buf, offs)
-    made = [bpe.ids_of(w, p) for w, p in zip(found, plain.tolist())]
-    counts = np.fromiter(map(len, made), np.int64, len(made))
-    # Decimal and text form are made once for a slice; the memo holds the ids alone.
-    decimal, names = bpe.decimal, bpe.names
-    ids, texts = [" ".join(map(decimal.__getitem__, x)) for x in made], [" ".join(map(names.__getitem__, x)) for x in made]
-    totals = np.zeros(len(which) + 1, np.int64)
-    if len(which):
-        np.cumsum(counts[which], out=totals[1:])
-    some = counts[which] > 0 if len(which) else np.zeros(0, bool)
-    gaps = not some.all()
-    for i in range(len(offs) - 1):
-        a, b = firsts[i], firsts[i + 1]
-        at = which[a:b]
-        if gaps:
-            at = at[some[a:b]]
-        at = at.tolist()
-        yield " ".join([ids[k] for k in at]), " ".join([texts[k] for k in at]), int(totals[b] - totals[a])
-
-
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    made = Encoded(bpe, buf, offs)
+    for (ids, text), n in zip(made.strings(), made.totals.tolist()):
+        yield ids, text, n
+
+
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and
-    with ``keep_text`` also ids (joined by spaces) and decoded."""
+    what ``keep`` names of ids (array of numbers) and decoded (text)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in tn.gathered(batches):
             for rows, buf, offs in tn.slices(batch, most=2 * tn.SLICE_BYTES):
-                made = list(encode_slice(bpe, buf, offs))
-                cols = [
-                    rows.column("doc_id"),
-                    pa.array([x[2] for x in made], pa.int64()),
-                    pa.array([hashlib.sha256(x[0].encode()).hexdigest() for x in made], pa.string()),
-                    pa.array([hashlib.sha256(x[1].encode()).hexdigest() for x in made], pa.string()),
-                ]
-                if keep_text:
-                    cols += [pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep_text
+                made = Encoded(bpe, buf, offs)
+                shas, texts = [], []
+                for ids, text in made.strings():
+                    shas.append((hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+                    if "decoded" in keep:
+                        texts.append(text)
+                cols = [rows.column("doc_id"), pa.array(made.totals), pa.array([x[0] for x in shas], pa.string()), pa.array([x[1] for x in shas], pa.string())]
+                more = {"ids": made.lists, "decoded": lambda: pa.array(texts, pa.string())}  # noqa: B023
+                yield pa.RecordBatch.from_arrays(cols + [more[k]() for k in keep], names=names)
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep]
     docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded string" * keep_text
+    kinds = {"ids": "array<int>", "decoded": "string"}
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + "".join(f", {k} {kinds[k]}" for k in keep)
     return docs.mapInArrow(run, schema)

@@ -11,6 +11,7 @@ so is what is collected and broadcast: depth * 2**log2_width bits.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -51,6 +52,7 @@ class Partial:
 
     def __init__(self, log2_width: int, depth: int):
         self.log2_width, self.depth, self.held, self.n = log2_width, depth, [], 0
+        self.counts = np.zeros(1 << LOG2_COUNTS, np.uint32)
 
     def add(self, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append(hashes)
@@ -63,6 +65,7 @@ class Partial:
             return
         hashes = np.concatenate(self.held)
         self.held, self.n = [], 0
+        self.counts += np.bincount(_counters(hashes), minlength=len(self.counts)).astype(np.uint32)
         per_row = 1 << (self.log2_width - 16)
         for row in range(self.depth):
             c = np.sort(counter(hashes, row, self.log2_width).astype(np.uint32))
@@ -120,8 +123,8 @@ class Repeated:
         return out
 
 
-def repeated(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log2_width: int, depth: int) -> Repeated:
-    """Sketch of all hashes that ``hashes_of`` takes from the batches of ``docs``."""
+def repeated(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], log2_width: int, depth: int) -> tuple[Repeated, Frequent]:
+    """Sketch of all hashes that ``hashes_of`` takes from the batches of ``docs``, and the weights of the frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = Partial(log2_width, depth)
@@ -129,18 +132,47 @@ def repeated(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.
             for h in hashes_of(batch):
                 yield from part.add(h)
         yield from part.flush()
-
-    merged = docs.mapInArrow(run, "block int, once binary, twice binary").repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block int, bits binary")
-    bits = np.zeros(depth << (log2_width - 3), np.uint8)
+        # Whole counts are blocks with negative numbers.
+        block, raw = _packed(part.counts)
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - block, pa.int32()), pa.array(raw, pa.binary()), pa.array([b""] * len(raw), pa.binary())], names=["block", "once", "twice"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by block: counts come before the sketch."""
+        rest: list[pa.RecordBatch] = []
+
+        def counts() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                here = int((batch.column(0).to_numpy() < 0).sum())
+                yield batch.slice(0, here).select(["block", "once"])
+                if here < batch.num_rows:
+                    rest.append(batch.slice(here))
+                    return
+
+        for made in _added(counts()):
+            yield made.rename_columns(["block", "bits"])
+        yield from _merge(itertools.chain(rest, batches))
+
+    merged = docs.mapInArrow(run, "block int, once binary, twice binary").repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
+    bits, counts = np.zeros(depth << (log2_width - 3), np.uint8), np.zeros(1 << LOG2_COUNTS, np.int64)
     for block, raw in merged.toLocalIterator():
-        bits[block * _DENSE : (block + 1) * _DENSE] = np.frombuffer(zlib.decompress(raw), np.uint8)
-    return Repeated(log2_width, depth, bits)
+        if block < 0:
+            counts[(-1 - block) * BLOCK : -block * BLOCK] = np.frombuffer(zlib.decompress(raw), "<i8")
+        else:
+            bits[block * _DENSE : (block + 1) * _DENSE] = np.frombuffer(zlib.decompress(raw), np.uint8)
+    return Repeated(log2_width, depth, bits), Frequent.of(counts)
 
 
 def _counters(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(COUNT_SHIFT) & np.uint64((1 << LOG2_COUNTS) - 1)).astype(np.int64)
 
 
+def _packed(counts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Blocks of counters that are not all zero, and their compressed counts."""
+    parts = counts.reshape(-1, BLOCK)
+    some = np.flatnonzero(parts.any(axis=1))
+    return some, [zlib.compress(parts[i].astype("<u4").tobytes(), 1) for i in some.tolist()]
+
+
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block: the sums of each block."""
     cur, sums = None, None
@@ -165,32 +197,32 @@ class Frequent:
     def __init__(self, weights: np.ndarray):
         self.weights = weights
 
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Frequent:
+        """A counter stands out when it is more than six deviations of an even spread above the
+        mean; its weight is the logarithm of what it has above that."""
+        mean = counts.mean()
+        over = counts - (mean + 6 * mean**0.5 + 64)
+        return cls(np.where(over > 0, 1 + np.log2(np.maximum(over, 1)), 0).astype(np.uint8))
+
     def weight(self, hashes: np.ndarray) -> np.ndarray:
         """0 for a hash that is not clearly above the mean counter, else a number that grows with its count."""
         return self.weights[_counters(hashes)]
 
 
 def frequent(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> Frequent:
-    """Counts of all hashes in 2**LOG2_COUNTS counters (8 MB to the driver, 1 MB of weights to the tasks).
-
-    A counter stands out when it is more than six deviations of an even spread
-    above the mean; its weight is the logarithm of what it has above that.
-    """
+    """Counts of all hashes in 2**LOG2_COUNTS counters (8 MB to the driver, 1 MB of weights to the tasks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << LOG2_COUNTS, np.uint32)
         for batch in batches:
             for h in hashes_of(batch):
                 counts += np.bincount(_counters(h), minlength=len(counts)).astype(np.uint32)
-        parts = counts.reshape(-1, BLOCK)
-        some = np.flatnonzero(parts.any(axis=1))
-        raw = [zlib.compress(parts[i].astype("<u4").tobytes(), 1) for i in some.tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw, pa.binary())], names=["block", "counts"])
+        block, raw = _packed(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), pa.array(raw, pa.binary())], names=["block", "counts"])
 
     merged = docs.mapInArrow(run, "block int, counts binary").repartition("block").sortWithinPartitions("block").mapInArrow(_added, "block int, counts binary")
     counts = np.zeros(1 << LOG2_COUNTS, np.int64)
     for block, raw in merged.toLocalIterator():
         counts[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(zlib.decompress(raw), "<i8")
-    mean = counts.mean()
-    over = counts - (mean + 6 * mean**0.5 + 64)
-    return Frequent(np.where(over > 0, 1 + np.log2(np.maximum(over, 1)), 0).astype(np.uint8))
+    return Frequent.of(counts)

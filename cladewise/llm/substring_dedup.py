@@ -17,11 +17,14 @@ smaller doc_id, or earlier in the same one.
    but the earliest are marked.
 3. Marked windows return to their document, where the words they cover go.
 
-A passage that stands in a third of all documents sends one row per task.
+A passage that stands in a third of all documents sends one row per task. The
+windows of an anchor that is frequent (an 8-word phrase in many surroundings, by
+the counts of the first pass) are dealt over ``SALTS`` parts by their own hash.
 
 Defined results: null text has no words. Rows that share a doc_id are one
 document: an equal place in it is not earlier, and what is marked goes from all
-its rows. A null doc_id is the least. Extra columns are ignored. Empty input
+its rows. A null doc_id is the least. doc_id must be a whole number: another type is
+a TypeError. Extra columns are ignored. Empty input
 gives no rows.
 """
 
@@ -44,6 +47,8 @@ WINDOW, PART = 20, 8
 LOG2_WIDTH, DEPTH = 27, 2
 #: Windows that a task compares at once.
 HELD = 1_000_000
+#: Parts over which the windows of a frequent anchor are dealt, by their own hash.
+SALTS = 256
 _NULL_ID = -(1 << 63)
 
 
@@ -107,7 +112,7 @@ def _runs(*cols: np.ndarray) -> np.ndarray:
 _SENT = ["anchor", "doc_id", "at", "n", "windows"]
 
 
-def _candidates(seen):
+def _candidates(seen, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
@@ -121,6 +126,11 @@ def _candidates(seen):
                 ids = rows.column("doc_id").fill_null(_NULL_ID).to_numpy()[doc]
                 starts, ends, _ = tn.words(buf, offs)
                 second = tn.word_hashes(buf, starts, ends, 1)
+                if (hot := frequent.value.weight(anchors) > 0).any():
+                    # Equal windows share their hash, so they still meet.
+                    with np.errstate(over="ignore"):
+                        salt = tn.runs_of(hashes, WINDOW)[at[hot]] % np.uint64(SALTS)
+                        anchors[hot] = tn.mix64(anchors[hot] + salt)
                 pair = (tn.runs_of(hashes, WINDOW)[at], tn.runs_of(second, WINDOW, 1)[at])
                 held.append((*pair, ids, at - firsts[doc], anchors))
                 n += len(at)
@@ -153,7 +163,7 @@ def _sent(held) -> pa.RecordBatch:
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor: runs of windows that also start earlier."""
     kept: list[pa.RecordBatch] = []
-    n = 0
+    n, enough = 0, HELD
 
     def out(rows: pa.RecordBatch) -> pa.RecordBatch:
         ids, at, k = (rows.column(c).to_numpy() for c in ("doc_id", "at", "n"))
@@ -178,13 +188,15 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         kept.append(batch)
         n += int(batch.column("n").to_numpy().sum())
-        if n >= HELD:
+        if n >= enough:
             rows = joined()
             a = rows.column("anchor").to_numpy()
             whole = int(np.searchsorted(a, a[-1]))  # the last anchor may go on in the next batch
             if whole:
                 yield out(rows.slice(0, whole))
-                kept, n = [rows.slice(whole)], 0
+            kept = [rows.slice(whole)]
+            n = int(kept[0].column("n").to_numpy().sum())
+            enough = max(HELD, 2 * n)
     if kept:
         yield out(joined())
 
@@ -236,9 +248,12 @@ def _cleaned(keep_text: bool):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, and with ``keep_text`` the kept text."""
     bounded_batches(docs.sparkSession)
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be a whole number")
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    seen = docs.sparkSession.sparkContext.broadcast(repeated(docs.select("text"), _hashes_of, LOG2_WIDTH, DEPTH))
-    sent = docs.mapInArrow(_candidates(seen), "anchor bigint, doc_id bigint, at bigint, n bigint, windows binary")
+    found, often = repeated(docs.select("text"), _hashes_of, LOG2_WIDTH, DEPTH)
+    seen, frequent = (docs.sparkSession.sparkContext.broadcast(x) for x in (found, often))
+    sent = docs.mapInArrow(_candidates(seen, frequent), "anchor bigint, doc_id bigint, at bigint, n bigint, windows binary")
     marked = sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_marked, "doc_id bigint, at bigint, n bigint")
     # At most one run per word of the document.
     runs = marked.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("runs")).withColumnRenamed("doc_id", "key")

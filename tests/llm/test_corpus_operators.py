@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -374,7 +375,9 @@ def test_bpe(spark, data, docs, odd, empty):
     for i, ids, tok in token_truth(rows):
         want[i] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest())
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_decode(df, queries.word_vocabulary()).collect()} == want
-    assert bpe.encode_decode(odd, queries.word_vocabulary(), keep_text=True).count() == len(ODD)
+    kept = bpe.encode_decode(df, queries.word_vocabulary(), keep=("decoded", "ids")).collect()
+    assert all(hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest() == r.ids_sha256 and hashlib.sha256(r.decoded.encode()).hexdigest() == r.decoded_sha256 for r in kept)
+    assert bpe.encode_decode(odd, queries.word_vocabulary()).count() == len(ODD)
     assert bpe.encode_decode(empty, queries.word_vocabulary()).count() == 0
 
 
@@ -441,6 +444,12 @@ def test_substring_dedup(spark, data, docs, odd, empty, monkeypatch):
     assert said_windows(substring_dedup.substring_dedup(df)) == want
     monkeypatch.setattr(substring_dedup, "HELD", 40)
     assert said_windows(substring_dedup.substring_dedup(df)) == want
+    # One 8-word phrase in many surroundings: its windows are dealt, and repeats are still found.
+    rng, phrase = random.Random(3), " ".join(f"p{k}" for k in range(8))
+    around = [" ".join(f"{c}{i // 3 if i % 3 else i}x{k}" for k in range(14)) for i in range(400) for c in "ab"]
+    rows = [(i, f"{around[2 * i]} {phrase} {around[2 * i + 1]}") for i in range(400)]
+    rng.shuffle(rows)
+    assert said_windows(substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))) == windows_truth(rows)
     assert substring_dedup.substring_dedup(empty).count() == 0
     assert substring_dedup.substring_dedup(odd, keep_text=True).count() == len(ODD)
 
@@ -457,7 +466,9 @@ def test_sketch_never_loses(spark):
 
     values, counts = np.unique(h, return_counts=True)
     for width in (16, 20):
-        seen = sketch.repeated(df, hashes, width, 2).maybe(values)
+        found, often = sketch.repeated(df, hashes, width, 2)
+        seen = found.maybe(values)
+        assert (often.weight(values) > 0).sum() == 0
         assert seen[counts > 1].all()
     assert (~seen[counts == 1]).mean() > 0.9
 
@@ -494,6 +505,60 @@ def test_tiff(spark, data, docs, odd, empty):
     pages = tiff.tiff_pages(media).collect()
     assert [(r.doc_id, r.page, r.height) for r in sorted(pages, key=lambda r: (r.doc_id, r.page))] == [(1, 0, None), (3, 0, 1024), (3, 1, 1024), (3, 2, 952)]
     assert pages[0].error
+    small = spark.createDataFrame([(1, "abc")], "doc_id smallint, text string")
+    assert [r.doc_id for r in tiff.media_digest(small).collect()] == [1]
+
+
+def test_broken_tiff(spark):
+    whole = tiff.write_tiff(b"0123456789ab" * 16 * 1500)
+    wide = bytearray(tiff.write_tiff(b"x" * 192))
+    at = struct.unpack_from("<I", wide, 4)[0]
+    struct.pack_into("<HHIH", wide, at + 2, tiff.WIDTH, 3, 1, 65535)
+    rows = [(1, 0, bytearray(whole[: len(whole) // 2])), (2, 0, bytearray(b"junk")), (3, 0, wide), (4, 0, bytearray(whole))]
+    got = {r.doc_id: r for r in tiff.file_digests(spark.createDataFrame(rows, "doc_id bigint, n_bytes bigint, media binary")).collect()}
+    for k in (1, 2, 3):
+        assert got[k].error and got[k].payload_sha256 is None and got[k].payload_bytes is None
+    assert got[4].error is None and got[4].payload_bytes == 192 * 1500
+
+
+def directory(order, tags, at):
+    """A directory of one page with short values only."""
+    out = struct.pack(order + "H", len(tags))
+    for tag, (kind, values) in sorted(tags.items()):
+        data = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        assert len(data) <= 4
+        out += struct.pack(order + "HHI", tag, kind, len(values)) + data.ljust(4, b"\0")
+    return out + b"\0" * 4
+
+
+def test_tiff_of_other_writers():
+    """Files put together by hand: big-endian, strips that do not divide the height, tiles over the border, LZW beyond 9 bits."""
+    samples = bytes(random.Random(2).choices(range(256), k=40 * 30))
+    grey = np.frombuffer(samples, np.uint8).reshape(40, 30)
+    parts = [samples[: 25 * 30], samples[25 * 30 :]]
+    for scheme, encode in ((1, bytes), (tiff.PACKBITS, tiff.packbits_encode), (tiff.LZW, tiff.lzw_encode), (tiff.DEFLATE, zlib.compress)):
+        one, two = map(encode, parts)
+        # Two offsets do not fit in a field of four bytes: they come first.
+        body = struct.pack(">IIII", 24, 24 + len(one), len(one), len(two)) + one + two
+        at = 8 + len(body)
+        tags = {256: (3, [30]), 257: (3, [40]), 258: (3, [8]), 259: (3, [scheme]), 277: (3, [1]), 278: (3, [25])}
+        raw = struct.pack(">H", 8) + b"".join(struct.pack(">HHI", t, k, 1) + struct.pack(">H", v[0]).ljust(4, b"\0") for t, (k, v) in sorted({**tags}.items()) if t < 273)
+        raw += struct.pack(">HHII", 273, 4, 2, 8)
+        raw += b"".join(struct.pack(">HHI", t, k, 1) + struct.pack(">H", v[0]).ljust(4, b"\0") for t, (k, v) in sorted(tags.items()) if t > 273)
+        raw += struct.pack(">HHII", 279, 4, 2, 16) + b"\0" * 4
+        [(_, page)] = tiff.read_pages(b"MM\0*" + struct.pack(">I", at) + body + raw)
+        assert (page[:, :, 0] == grey).all(), scheme
+    tile = np.zeros((48, 32), np.uint8)
+    tile[:40, :30] = grey
+    packed = zlib.compress(tile.tobytes())
+    tags = {256: (3, [30]), 257: (3, [40]), 258: (3, [8]), 259: (3, [tiff.OLD_DEFLATE]), 277: (3, [1]), 322: (3, [32]), 323: (3, [48]), 324: (4, [8]), 325: (4, [len(packed)])}
+    [(_, page)] = tiff.read_pages(b"II*\0" + struct.pack("<I", 8 + len(packed)) + packed + directory("<", tags, 8 + len(packed)))
+    assert (page[:, :, 0] == grey).all()
+    # A fixed stream of the format: clear, 7, 258, 8, 8, 258, 6, 6, end in codes of nine bits.
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    stream = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert tiff.lzw_decode(stream, 10) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
 
 
 def test_tiff_codings():
