@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,14 +56,22 @@ def bounded_batches(spark: SparkSession, rows: int = 512, size: str = "8m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def filtered_joins(spark: SparkSession) -> None:
-    """Let Spark make a Bloom filter of the small side of a shuffled join, whatever the sizes.
+@contextlib.contextmanager
+def filtered_joins(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark makes a Bloom filter of the small side of a shuffled join, whatever the sizes.
 
     Its bits are bounded (8 MB); where a side has too many keys it only lets
     more rows pass. Spark asks for a comparison on the filtering side.
     """
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1m")
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1t")
+    base = "spark.sql.optimizer.runtime.bloomFilter."
+    before = {k: spark.conf.get(base + k) for k in ("applicationSideScanSizeThreshold", "creationSideThreshold")}
+    spark.conf.set(base + "applicationSideScanSizeThreshold", "1m")
+    spark.conf.set(base + "creationSideThreshold", "1t")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(base + k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
