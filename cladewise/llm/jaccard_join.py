@@ -400,7 +400,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _met(pairs: DataFrame, values: DataFrame, run, name: str) -> DataFrame:
     """The pairs (owner, member) that ``run`` lets pass, from the values (id and more) of both."""
-    pairs = written(pairs, f"{name}-pairs")
+    with filtered_joins(pairs.sparkSession):
+        pairs = written(pairs, f"{name}-pairs")
     deals = written(pairs.groupBy("owner").count().select("owner", F.ceil(F.col("count") / PARTNERS).cast("int").alias("deals")), f"{name}-owners")
     member = pairs.join(deals, "owner").select("owner", F.pmod(F.xxhash64("member"), F.col("deals")).cast("int").alias("salt"), F.col("member").alias("id"), F.lit(False).alias("mine"))
     mine = deals.select("owner", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("salt"), F.col("owner").alias("id"), F.lit(True).alias("mine"))
@@ -461,12 +462,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise TypeError(f"{id_col} must be a whole number")
     spark = docs.sparkSession
     bounded_batches(spark)
-    filtered_joins(spark)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     often = spark.sparkContext.broadcast(frequent(docs.select("text"), _hashes_of))
     schema = "doc_id bigint, n bigint, sig0 bigint, sig1 bigint, gkey bigint, light bigint, k bigint, tokens binary, bits binary"
     made = written(docs.mapInArrow(_describe(often), schema), "sets")
     often.destroy()
+    tn.tidy()
 
     # Equal sets, and groups of sets with one prefix and size: numbers only.
     cand = made.filter("n > 0 AND doc_id IS NOT NULL")
@@ -487,8 +488,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     living = written(living, "living-groups")
     alive = written(sets.select("gkey", "n", "sig0", "sig1", "id").join(living, ["gkey", "n"]).drop("gkey"), "living-sets").filter("n > 0")
     found = cand.select(F.col("doc_id").alias("id"), "n", "sig0", "sig1", "light", "tokens", "bits")
-    live = written(found.join(alive, ["id", "n", "sig0", "sig1"]).drop("sig0", "sig1"), "living-items")
-    texts = written(docs.select(F.col("doc_id").alias("id"), "text").join(alive.select("id"), "id", "left_semi"), "texts")
+    with filtered_joins(spark):
+        live = written(found.join(alive, ["id", "n", "sig0", "sig1"]).drop("sig0", "sig1"), "living-items")
+        texts = written(docs.select(F.col("doc_id").alias("id"), "text").join(alive.select("id"), "id", "left_semi"), "texts")
 
     # Stars of the groups, and of each group's members.
     reps = live.filter("id = first")

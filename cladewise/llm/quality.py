@@ -253,7 +253,10 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: i
         keys.append((r.doc_id, r.label))
     rows = Sample(flat[:end], np.array(ends, np.int64))
     order = sorted(range(len(keys)), key=lambda i: (*keys[i], rows[i].tobytes()))
-    return fit(InOrder(rows, order), np.array([min(max(keys[i][1], 0), 1) for i in order], np.int64))
+    made = fit(InOrder(rows, order), np.array([min(max(keys[i][1], 0), 1) for i in order], np.int64))
+    del rows, flat, keys, order
+    tn.tidy()
+    return made
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -6,6 +6,7 @@ partition, so memory is bounded by the slice plus the longest single text.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -92,6 +93,27 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
+#: Bytes of text after which a worker gives free memory back.
+TIDY_BYTES = 1 << 26
+_worked = 0
+
+
+def tidy() -> None:
+    """Give free memory back to the system: many arrays of some MB leave gaps that the allocator keeps."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _worked_on(n: int) -> None:
+    global _worked
+    _worked += n
+    if _worked >= TIDY_BYTES:
+        _worked = 0
+        tidy()
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows of at most ``most`` bytes of text (or one row), with bytes and offsets."""
     buf, offs = column_bytes(batch.column(batch.schema.get_field_index(text)))
@@ -99,6 +121,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
     while at < n:
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
         yield batch.slice(at, to - at), buf[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
+        _worked_on(int(offs[to] - offs[at]))
         at = to
 
 
