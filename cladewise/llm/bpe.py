@@ -267,7 +267,9 @@ def distinct_pieces(buf: np.ndarray, offs: np.ndarray) -> tuple[list[bytes], np.
     begins[starts] = True
     s = np.flatnonzero(begins)
     n = len(s)
-    heads = np.searchsorted(s, starts)
+    at_start = np.zeros(len(buf), bool)
+    at_start[starts] = True
+    heads = np.flatnonzero(at_start[s])
     word = np.zeros(n, np.int64)
     word[heads[1:]] = 1
     np.cumsum(word, out=word)
@@ -281,7 +283,10 @@ def distinct_pieces(buf: np.ndarray, offs: np.ndarray) -> tuple[list[bytes], np.
     one = np.empty(int(which.max()) + 1, np.int64)
     one[which[::-1]] = np.arange(n - 1, -1, -1)
     size, first = e - s, one[which]
-    same = (size == size[first]) & tn.same_bytes(low, s, s[first], np.minimum(size, size[first]))
+    heading = tn.first_eight(low, s, size)
+    same = (size == size[first]) & (heading == heading[first])
+    long = np.flatnonzero(same & (size > 8))
+    same[long] = tn.same_bytes(low, s[long], s[first[long]], size[long])
     whole = low.tobytes()
     found, plain_found = [whole[a:b] for a, b in zip(s[one].tolist(), e[one].tolist())], plain[one]
     if not same.all():

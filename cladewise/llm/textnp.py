@@ -195,6 +195,11 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
     return h
 
 
+def first_eight(buf: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The number that the first eight of n[i] bytes from at[i] make."""
+    return _eights(buf)[at] & _KEEP[np.minimum(n, 8)]
+
+
 def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Whether the n[i] bytes from a[i] and from b[i] are the same."""
     out = np.ones(len(a), bool)

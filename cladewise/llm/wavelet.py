@@ -55,7 +55,7 @@ def build(tokens: np.ndarray, bits: int) -> bytes:
             sizes.append(len(blocks[-1]))
         zeros.append(n - int(counts.sum()))
         if b:
-            cur = np.concatenate([cur[~bit], cur[bit]])
+            cur = np.concatenate([cur.compress(~bit), cur.compress(bit)])  # no branch on the bits, unlike cur[bit]
     places = np.r_[0, np.cumsum(np.array(sizes, np.int64))].astype("<u8")
     return b"".join([_HEAD.pack(MAGIC, bits, n), np.array(zeros, "<u8").tobytes(), *(x.tobytes() for x in ones_before), places.tobytes(), *blocks])
 
@@ -229,7 +229,10 @@ class Wavelet:
             bit = self._bits(p)
             z = int(self.zeros[p])
             up = np.empty_like(out)
-            up[~bit] = out[:z]
-            up[bit] = out[z:] | dtype(1 << (self.bits - 1 - p))
+            ones = out[z:] | dtype(1 << (self.bits - 1 - p))
+            # A mask is quick where bits come in runs, places where they alternate.
+            runs = 4 * np.count_nonzero(bit[1:] != bit[:-1]) < self.n
+            up[~bit if runs else np.flatnonzero(~bit)] = out[:z]
+            up[bit if runs else np.flatnonzero(bit)] = ones
             out = up
         return out
