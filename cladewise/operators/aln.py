@@ -2,8 +2,9 @@
 
 A row shorter than its alignment ends in gaps. Only residues are exploded into
 cells, with map-side counts per (alignment, column, residue), so what travels
-is bounded by columns and alphabet, not by rows x columns; per-row figures go
-back by one join on the column statistics.
+is bounded by columns and alphabet, not by rows x columns. Per-row figures come
+from one array of column statistics for each alignment, which the rows are
+joined with; no residue is shuffled for them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cladewise.operators.seqs import ALPHABET, worst_share
+from cladewise.session import written
 
 GAP = "-"
 
@@ -54,13 +56,16 @@ def kept_columns(aln: DataFrame, gt: float) -> DataFrame:
 def trim_stats(aln: DataFrame, gt: float) -> DataFrame:
     """Per row: per cent of its residues that stay when columns under gt go, and
     per cent of gaps in what is left of it."""
-    keep = kept_columns(aln, gt)
-    width = keep.groupBy("aln_id").agg(F.count("*").alias("kept_width"))
-    # Residues only: a row's gaps among kept columns follow from the kept width.
-    found = cells(aln).filter(F.col("ch") != GAP).join(keep.withColumn("keep", F.lit(1)), ["aln_id", "col"], "left")
-    per = found.groupBy("aln_id", "seq_id").agg(F.count("*").alias("residues"), F.sum(F.coalesce("keep", F.lit(0))).alias("stay"))
-    j = aln.select("aln_id", "seq_id").join(per, ["aln_id", "seq_id"], "left").join(width, "aln_id", "left")
-    stay, residues, kept = (F.coalesce(c, F.lit(0)) for c in ("stay", "residues", "kept_width"))
+    at = written(kept_columns(aln, gt).groupBy("aln_id").agg(F.array_sort(F.collect_list("col")).alias("at")), "kept-columns")
+    # One mark for each column up to the last kept one: a run of 0 for what goes, then 1.
+    runs = F.transform("at", lambda c, i: F.concat(F.repeat(F.lit("0"), c - F.coalesce(F.get("at", i - 1), F.lit(-1)) - 1), F.lit("1")))
+    marks = written(at.select("aln_id", F.size("at").alias("kept_width"), F.split(F.array_join(runs, ""), "").alias("marks")), "column-marks")
+    stays = F.zip_with(F.split("aligned", ""), F.slice("marks", F.lit(1), F.length("aligned")), lambda c, m: (m == "1") & (c != GAP) & (c != ""))
+    j = aln.join(marks, "aln_id", "left").select(
+        "aln_id", "seq_id", F.size(F.filter(stays, lambda x: x)).alias("stay"), "kept_width",
+        F.length(F.replace("aligned", F.lit(GAP), F.lit(""))).alias("residues"),
+    )
+    stay, residues, kept = F.greatest("stay", F.lit(0)), F.coalesce("residues", F.lit(0)), F.coalesce("kept_width", F.lit(0))
     return j.select(
         "aln_id", "seq_id",
         F.when(residues > 0, 100.0 * stay / residues).otherwise(0.0).alias("retention"),
@@ -73,9 +78,18 @@ def mean_col_agreement(aln: DataFrame, min_occupancy: float = 0.5, letters: str
     known = cells(aln).filter(F.translate("ch", letters, "") == "")
     counts = known.groupBy("aln_id", "col", "ch").agg(F.count("*").alias("k"))
     full = counts.groupBy("aln_id", "col").agg(F.sum("k").alias("all")).join(rows_of(aln), "aln_id").filter(F.col("all") / F.col("n") >= min_occupancy)
-    freq = counts.join(full, ["aln_id", "col"]).select("aln_id", "col", "ch", (F.col("k") / F.col("all")).alias("f"))
-    per = known.join(freq, ["aln_id", "col", "ch"]).groupBy("aln_id", "seq_id").agg(F.avg("f").alias("agreement"))
-    return aln.select("aln_id", "seq_id").join(per, ["aln_id", "seq_id"], "left")
+    freq = counts.join(full, ["aln_id", "col"]).groupBy("aln_id", "col").agg(F.map_from_entries(F.collect_list(F.struct("ch", F.col("k") / F.col("all")))).alias("m"))
+    columns = written(freq.select("aln_id", "col", F.array(*[F.try_element_at("m", F.lit(x)) for x in letters]).alias("fs")), "column-shares")
+    # Full columns are at most mean row length / min_occupancy; one array for each alignment, with nulls for other columns.
+    slots = columns.groupBy("aln_id").agg(F.max("col").alias("last")).select("aln_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("col"))
+    none = F.array(*[F.lit(None).cast("double") for _ in letters])
+    dense = slots.join(columns, ["aln_id", "col"], "left").groupBy("aln_id").agg(F.array_sort(F.collect_list(F.struct("col", F.coalesce("fs", none).alias("fs")))).alias("c"))
+    dense = written(dense.select("aln_id", F.flatten("c.fs").alias("shares")), "letter-shares")
+    share = lambda c, i: F.when((c != "") & (F.instr(F.lit(letters), c) > 0), F.get("shares", i * len(letters) + F.instr(F.lit(letters), c) - 1))
+    nothing = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    add = lambda a, x: F.struct((a["s"] + F.coalesce(x, F.lit(0.0))).alias("s"), (a["n"] + F.when(x.isNull(), 0).otherwise(1)).alias("n"))
+    mean = F.aggregate(F.transform(F.split("aligned", ""), share), nothing, add, lambda a: F.when(a["n"] > 0, a["s"] / a["n"]))
+    return aln.join(dense, "aln_id", "left").select("aln_id", "seq_id", mean.alias("agreement"))
 
 
 def qc_rejects(aln: DataFrame, gt: float = 0.1, share: float = 0.01, letters: str = ALPHABET + GAP) -> DataFrame:
@@ -103,7 +117,11 @@ def _aligned(p: Column) -> Column:
 
 def pair_stats(aln: DataFrame) -> DataFrame:
     """Per pair: columns with two residues, equal ones, identity, and coverage of the shorter row."""
-    p = pairs(aln).select("aln_id", "a", "b", F.arrays_zip(F.split("sa", "").alias("x"), F.split("sb", "").alias("y")).alias("z"), *[F.length(F.replace(f"s{k}", F.lit(GAP), F.lit(""))).alias(f"n{k}") for k in "ab"])
+    return _stats(pairs(aln))
+
+
+def _stats(p: DataFrame) -> DataFrame:
+    p = p.select("aln_id", "a", "b", F.arrays_zip(F.split("sa", "").alias("x"), F.split("sb", "").alias("y")).alias("z"), *[F.length(F.replace(f"s{k}", F.lit(GAP), F.lit(""))).alias(f"n{k}") for k in "ab"])
     p = p.select("aln_id", "a", "b", F.size(F.filter("z", _aligned)).alias("n_both"), F.size(F.filter("z", lambda p: _aligned(p) & (p["x"] == p["y"]))).alias("n_same"), F.least("na", "nb").alias("shorter"))
     return p.select(
         "aln_id", "a", "b", "n_both", "n_same",
@@ -196,10 +214,10 @@ def extract_mapped_cols(aln: DataFrame, positions: DataFrame) -> DataFrame:
 
 def tag_by_identity(aln: DataFrame, refs: DataFrame, identity: float, coverage: float) -> DataFrame:
     """Per row the reference row (aln_id, seq_id in refs) with the highest identity, if identity and coverage reach the bounds."""
-    s = pair_stats(aln)
-    both = s.select("aln_id", F.col("a").alias("seq_id"), F.col("b").alias("ref_id"), "identity", "coverage").union(s.select("aln_id", "b", "a", "identity", "coverage"))
-    r = refs.select("aln_id", F.col("seq_id").alias("ref_id"))
-    ok = both.join(r, ["aln_id", "ref_id"], "left_semi").filter((F.col("identity") >= identity) & (F.col("coverage") >= coverage))
+    rows = aln.select("aln_id", F.col("seq_id").alias("a"), F.col("aligned").alias("sa"))
+    known = rows.join(refs.select("aln_id", F.col("seq_id").alias("a")), ["aln_id", "a"], "left_semi").select("aln_id", F.col("a").alias("b"), F.col("sa").alias("sb"))
+    both = _stats(rows.join(known, "aln_id").filter("a <> b")).select("aln_id", F.col("a").alias("seq_id"), F.col("b").alias("ref_id"), "identity", "coverage")
+    ok = both.filter((F.col("identity") >= identity) & (F.col("coverage") >= coverage))
     best = ok.groupBy("aln_id", "seq_id").agg(F.max_by(F.struct("ref_id", "identity", "coverage"), F.struct(F.col("identity"), -F.col("ref_id"))).alias("b"))
     return best.select("aln_id", "seq_id", "b.*")
 

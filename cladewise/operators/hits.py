@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cladewise.session import filtered_joins, written
+
 
 def over_threshold(hits: DataFrame, thresholds: DataFrame, strict: bool = False) -> DataFrame:
     """Hits at or above (strictly above) the threshold of their profile."""
@@ -116,12 +118,17 @@ def reciprocal_map(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def shared_words(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 5) -> DataFrame:
     """Pairs of texts by the number of distinct k-word sequences they share.
 
-    An equi-join on the sequences: texts that share none never meet.
+    An equi-join on the sequences: texts that share none never meet. Sequences of
+    the left side that the right side lacks go before they are made distinct, so
+    the smaller side should be the right one.
     """
 
     def grams(df: DataFrame, key: str) -> DataFrame:
         words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda x: x != "")
         w = df.select(key, words.alias("w")).filter(F.size("w") >= k)
-        return w.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))).alias("gram")).distinct()
+        return w.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))).alias("gram"))
 
-    return grams(left, left_id).join(grams(right, right_id), "gram").groupBy(left_id, right_id).agg(F.count("*").alias("score"))
+    few = written(grams(right, right_id).distinct(), "grams")
+    with filtered_joins(left.sparkSession):
+        met = written(grams(left, left_id).join(few.filter("gram > ''").select("gram"), "gram", "left_semi").distinct(), "shared-grams")
+    return met.join(few, "gram").groupBy(left_id, right_id).agg(F.count("*").alias("score"))

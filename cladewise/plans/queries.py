@@ -233,10 +233,13 @@ def pair_coverage(spark, d):
 
 
 @query(sql("turns", f""", {OCC}, {PAIRS}, low AS (SELECT aln_id, col FROM occ WHERE filled / n < 0.6), cov AS (SELECT aln_id, a, b, coalesce(coverage, 0.0) AS v FROM ps), tot AS (SELECT aln_id, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM cov GROUP BY aln_id),
-ins AS (SELECT x.aln_id, x.col, count(*) AS n1, sum(v) AS s1, sum(v * v) AS q1 FROM res x JOIN low USING (aln_id, col) JOIN res y ON x.aln_id = y.aln_id AND x.col = y.col AND x.seq_id < y.seq_id JOIN cov ON cov.aln_id = x.aln_id AND cov.a = x.seq_id AND cov.b = y.seq_id GROUP BY x.aln_id, x.col)
-SELECT low.aln_id, low.col, coalesce(n1, 0) AS n_in, n - coalesce(n1, 0) AS n_out FROM low JOIN tot USING (aln_id) LEFT JOIN ins ON low.aln_id = ins.aln_id AND low.col = ins.col"""))
+ins AS (SELECT x.aln_id, x.col, count(*) AS n1, sum(v) AS s1, sum(v * v) AS q1 FROM res x JOIN low USING (aln_id, col) JOIN res y ON x.aln_id = y.aln_id AND x.col = y.col AND x.seq_id < y.seq_id JOIN cov ON cov.aln_id = x.aln_id AND cov.a = x.seq_id AND cov.b = y.seq_id GROUP BY x.aln_id, x.col),
+w AS (SELECT low.aln_id, low.col, coalesce(n1, 0) AS n1, n - coalesce(n1, 0) AS n2, coalesce(s1, 0.0) AS s1, s - coalesce(s1, 0.0) AS s2, coalesce(q1, 0.0) AS q1, q - coalesce(q1, 0.0) AS q2 FROM low JOIN tot USING (aln_id) LEFT JOIN ins ON low.aln_id = ins.aln_id AND low.col = ins.col),
+v AS (SELECT *, CASE WHEN n1 > 1 AND n2 > 1 THEN greatest((q1 - s1 * s1 / n1) / (n1 - 1) / n1, 0.0) END AS v1, CASE WHEN n1 > 1 AND n2 > 1 THEN greatest((q2 - s2 * s2 / n2) / (n2 - 1) / n2, 0.0) END AS v2 FROM w)
+SELECT aln_id, col, n1 AS n_in, n2 AS n_out, round(CASE WHEN v1 + v2 > 1e-12 THEN (s1 / n1 - s2 / n2) / sqrt(v1 + v2) END, 6) + 0.0 AS t, round(CASE WHEN v1 + v2 > 1e-12 THEN (v1 + v2) * (v1 + v2) / (v1 * v1 / (n1 - 1) + v2 * v2 / (n2 - 1)) END, 6) AS df FROM v"""))
 def smart_trim_stats(spark, d):
-    return aln.smart_trim_stats(views.turn_alignments(spark, d), 0.6).select("aln_id", F.col("col").cast("bigint").alias("col"), "n_in", "n_out")
+    stats = aln.smart_trim_stats(views.turn_alignments(spark, d), 0.6)
+    return stats.select("aln_id", F.col("col").cast("bigint").alias("col"), "n_in", "n_out", (r6("t") + 0.0).alias("t"), r6("df").alias("df"))
 
 
 @query()
