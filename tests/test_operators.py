@@ -297,3 +297,29 @@ def test_streaming(spark, data, tmp_path):
     q = segments.run_curation(stream, views.thresholds(spark), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).drop("batch").count() == hits.curate(h, views.thresholds(spark)).count()
+
+
+def test_streaming_merges_batches(spark, tmp_path):
+    """Hits of one target that arrive in two batches give one row, as if they had come together."""
+    schema = "profile string, target bigint, score double, ord bigint, env_s int, env_e int"
+    thr = spark.createDataFrame([("p", 1.0), ("q", 1.0), ("r", 1.0)], "profile string, threshold double")
+    parts = [[("p", 1, 5.0, 1, 1, 9), ("p", 2, 5.0, 2, 1, 4)], [("q", 1, 6.0, 3, 2, 30), ("r", 1, 2.0, 4, 3, 20), ("p", 1, 7.0, 5, 5, 50)]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = segments.run_curation(segments.segment_hits(spark, str(tmp_path / "in"), schema), thr, str(tmp_path / "out"), str(tmp_path / "cp"))
+        q.awaitTermination(120)
+    whole = hits.curate(spark.createDataFrame(parts[0] + parts[1], schema), thr)
+    assert rows(segments.curated(spark, str(tmp_path / "out")).select(*whole.columns)) == rows(whole)
+
+
+def test_loss_counts_edges(spark):
+    h = spark.createDataFrame([(1, 10, 2.0), (1, 11, None), (2, 10, 9.0), (2, 12, 1.0)], "fold int, int_seq bigint, score double")
+    t = spark.createDataFrame([(1, 1, 3.0), (2, 2, 3.0), (3, 3, 2.0), (4, 1, None)], "thr_seq bigint, own_fold int, score double")
+    assert sorted(map(tuple, robust.loss_counts(h, t).collect())) == [(1, 10, 1), (1, 11, 0), (2, 10, 0), (2, 12, 2)]
+    assert sorted(r.n_losses for r in robust.loss_counts(h, t.limit(0)).collect()) == [0, 0, 0, 0]
+
+
+def test_column_agreement_edges(spark):
+    a = spark.createDataFrame([(1, 1, "AC-"), (1, 2, "AD"), (1, 3, None), (1, 4, ""), (2, 1, "xx")], "aln_id int, seq_id int, aligned string")
+    got = {(r.aln_id, r.seq_id): r.agreement for r in aln.mean_col_agreement(a).collect()}
+    assert got[1, 1] == got[1, 2] == pytest.approx(0.75) and got[1, 3] is None and got[1, 4] is None and got[2, 1] is None
