@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.llm import bpe, exact_dedup, jaccard_join, mixing, pii, quality, sharding, substring_dedup, tiff, token_files
+from cladewise.llm import bpe, exact_dedup, jaccard_join, mixing, pieces, pii, quality, sharding, substring_dedup, tiff, token_files
 from cladewise.session import table
 
 
@@ -58,6 +58,17 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_digest(table(spark, sf_dir, "documents"))
 
 
+def piece_model() -> str:
+    """Place of the SentencePiece model, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), piece_model())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,5 +87,6 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_tiff": op10_tiff,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_mixing": mixing.ORACLE}

@@ -276,3 +276,32 @@ def squeezed(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     kept = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(~again, out=kept[1:])
     return out[~again], kept[offs]
+
+
+def distinct_ranges(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The different ranges of bytes in order of first place, and which of them each range is.
+
+    Ranges of one hash are one only where their bytes are the same.
+    """
+    if not len(starts):
+        return [], np.zeros(0, np.int64)
+    import pandas as pd
+
+    which, _ = pd.factorize(word_hashes(buf, starts, ends))
+    one = np.empty(int(which.max()) + 1, np.int64)
+    one[which[::-1]] = np.arange(len(starts) - 1, -1, -1)
+    size, first = ends - starts, one[which]
+    same = (size == size[first]) & (first_eight(buf, starts, size) == first_eight(buf, starts[first], size))
+    long = np.flatnonzero(same & (size > 8))
+    same[long] = same_bytes(buf, starts[long], starts[first[long]], size[long])
+    whole = buf.tobytes()
+    found = [whole[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())]
+    if not same.all():
+        numbers: dict[bytes, int] = {}
+        for i in np.flatnonzero(~same).tolist():
+            piece = whole[starts[i] : ends[i]]
+            if piece not in numbers:
+                numbers[piece] = len(found)
+                found.append(piece)
+            which[i] = numbers[piece]
+    return found, which
