@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
+from helpers import same
 
-from cladewise.llm import pieces, queries
+from cladewise.llm import pieces, prefix_trie, queries
 
 SCHEMA = "doc_id bigint, text string, ids string, decoded string, chunk string, n int, m int, bag string, rank int, score int, part int, depth int, path string"
 EXTRA = ("x", "x", "x", 1, 1, "x", 1, 1, 1, 1, "x")
@@ -71,3 +73,85 @@ def test_chunks():
     buf, offs = np.frombuffer(text, np.uint8), np.array([0, 0, len(text)])
     s, e, firsts = pieces.chunks(buf, offs)
     assert [text[a:b].decode() for a, b in zip(s, e)] == ["a", " b", "▁c", ""] and firsts.tolist() == [0, 0, 4]
+
+
+TURN = "conv_id bigint, turn bigint, role string, text string, path string, n int, part int, key string, h int"
+
+
+def plain_trie(rows):
+    """All nodes of the trie of rebuilt conversations, one prefix after the other."""
+    none = hashlib.sha256(b"").hexdigest()
+    own = {}
+    for c, t, r, x in rows:
+        if c is not None:
+            own.setdefault(c, []).append((t is not None, t or 0, r or "", x or ""))
+    digest = lambda r, x: hashlib.sha256(f"{len(r.encode())}:{r}{x}".encode()).hexdigest()
+    own = {c: [(r, x) for *_, r, x in sorted(v, key=lambda t: (*t[:2], digest(*t[2:])))] for c, v in own.items()}
+    made = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        base = c - (c % 100 if c >= 0 else -(-c % 100))
+        made[c] = tuple(own.get(base, [])[:h] + v[h:])
+    nodes = {(): []}
+    for c, v in made.items():
+        for d in range(len(v) + 1):
+            nodes.setdefault(v[:d], []).append(c)
+    kids = {}
+    for v in nodes:
+        if v:
+            kids.setdefault(v[:-1], []).append(v)
+    leaves, saved = {}, {}
+    for v in sorted(nodes, key=len, reverse=True):
+        leaves[v] = sum(leaves[k] for k in kids.get(v, [])) or 1
+        saved[v] = sum(saved[k] for k in kids.get(v, [])) + ((len(nodes[v]) - 1) * len(v[-1][1]) if v else 0)
+    ends = lambda v: [c for c in sorted(nodes[v]) if len(made[c]) == len(v)]
+    low = lambda v: min(nodes[v], default=None)
+    return sorted((str((low(v), len(v), low(v[:-1]) if v else None, len(nodes[v]), len(kids.get(v, [])), leaves[v], saved[v], hashlib.sha256(",".join(map(str, ends(v))).encode()).hexdigest() if ends(v) else none)) for v in nodes))
+
+
+def trie(df, **k):
+    got = prefix_trie.prefix_nodes(df, **k)
+    assert got.columns == prefix_trie.COLUMNS
+    return sorted(str(tuple(r)) for r in got.collect())
+
+
+@pytest.mark.parametrize("turns", [20_000, 7])
+def test_prefix_trie(spark, turns):
+    rng = random.Random(turns)
+    said = ["", "hi", "hello \U0001f600", "a", "b", None, "x" * 3000]
+    rows = []
+    for c in [*range(-250, 450, 7), 100, 200, 0, 7 * 10**12, None]:
+        for t in range(rng.choice([1, 1, 2, 3, 6, 12])):
+            rows.append((c, rng.choice([t, t, t, None]), rng.choice(["user", "user", None]), rng.choice(said[:3] if t < 3 else said)))
+    rows += rows[:20]
+    rows += [(c, t, "user", f"same {t}") for c in range(1000, 1060) for t in range(9)]
+    df = spark.createDataFrame([(*r, "x", 1, 1, "x", 1) for r in rows], TURN)
+    assert trie(df, shard_turns=turns) == plain_trie(rows)
+
+
+def test_prefix_trie_edges(spark, data, duck):
+    empty = spark.createDataFrame([], TURN)
+    assert trie(empty) == plain_trie([]) and trie(spark.createDataFrame([(None, 1, "a", "b", "x", 1, 1, "x", 1)], TURN)) == plain_trie([])
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{data}/conversations.parquet").collect()]
+    assert sorted(str(tuple(r)) for r in queries.op12_prefix_trie(spark, data).select(*prefix_trie.COLUMNS).collect()) == plain_trie(rows)
+    same(queries.op12_prefix_trie(spark, data), duck, prefix_trie.ORACLE)
+
+
+def test_double_array():
+    rng = random.Random(5)
+    words = sorted({tuple(rng.randrange(1, 40) for _ in range(rng.randrange(8))) for _ in range(900)})
+    flat = np.array([c for w in words for c in w], np.int64)
+    offs = np.cumsum([0, *map(len, words)])
+    t = prefix_trie.DoubleArray(flat, offs)
+    prefixes = {w[:k] for w in words for k in range(len(w) + 1)}
+    slots = {}
+    for w in prefixes:
+        s = np.zeros(1, np.int64)
+        for c in w:
+            s = t.step(s, np.array([c]))
+            assert s[0] >= 0
+        slots[w] = int(s[0])
+    assert len(set(slots.values())) == len(prefixes)
+    for w in list(prefixes)[:300]:
+        for c in range(1, 40):
+            assert (t.step(np.array([slots[w]]), np.array([c]))[0] >= 0) == ((*w, c) in prefixes)
