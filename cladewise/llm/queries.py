@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.llm import bpe, exact_dedup, jaccard_join, mixing, pieces, pii, prefix_trie, quality, sharding, substring_dedup, tiff, token_files
+from cladewise.llm import bpe, exact_dedup, jaccard_join, mixing, pieces, pii, prefix_trie, quality, ranked_search, sharding, substring_dedup, tiff, token_files
 from cladewise.session import table
 
 
@@ -58,6 +58,10 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
 
@@ -91,7 +95,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_tiff": op10_tiff,
+    "op11_ranked_search": op11_ranked_search,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_sentencepiece": op13_sentencepiece,
 }
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_mixing": mixing.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_mixing": mixing.ORACLE, "op11_ranked_search": ranked_search.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}

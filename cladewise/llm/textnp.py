@@ -93,6 +93,14 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
+def binary_bytes(col: pa.Array) -> np.ndarray:
+    """All bytes of a column of binary values, one after the other."""
+    col = col.cast(pa.large_binary())
+    offs = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8) if len(col) else np.zeros(1, np.int64)
+    data = col.buffers()[2]
+    return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)
+
+
 #: Bytes of text after which a worker gives free memory back.
 TIDY_BYTES = 1 << 26
 _worked = 0

@@ -1,14 +1,17 @@
 """SentencePiece by chunks, prefix tries and ranked search against brute force."""
 
+import collections
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from helpers import same
 
-from cladewise.llm import pieces, prefix_trie, queries
+from cladewise.llm import pieces, prefix_trie, queries, ranked_search
 
 SCHEMA = "doc_id bigint, text string, ids string, decoded string, chunk string, n int, m int, bag string, rank int, score int, part int, depth int, path string"
 EXTRA = ("x", "x", "x", 1, 1, "x", 1, 1, 1, 1, "x")
@@ -155,3 +158,60 @@ def test_double_array():
     for w in list(prefixes)[:300]:
         for c in range(1, 40):
             assert (t.step(np.array([slots[w]]), np.array([c]))[0] >= 0) == ((*w, c) in prefixes)
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_search(docs, items, top):
+    held = [(i, collections.Counter(TERM.findall((t or "").translate(LOW)))) for i, t in docs]
+    held = [(i, c, sum(c.values())) for i, c in held if c]
+    n_docs, length = len(held), sum(n for *_, n in held)
+    df = collections.Counter(t for _, c, _ in held for t in c)
+    want = collections.defaultdict(list)
+    for i, t in items:
+        want[i] += TERM.findall((t or "").translate(LOW))
+    out = []
+    for item, words in want.items():
+        scored = []
+        for i, c, n in held:
+            m = 75 + 25 * n * n_docs // length
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) * (1000000000 * c[w] // (1000 * c[w] + 12 * m)) for w in words)
+            if score > 0:
+                scored.append((-score, i is not None, i or 0, i))
+        out += [(item, k, x[3], -x[0]) for k, x in enumerate(sorted(scored)[:top], 1)]
+    return sorted(map(str, out))
+
+
+def test_ranked_search(spark, data, duck):
+    same(queries.op11_ranked_search(spark, data), duck, ranked_search.ORACLE)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    got = queries.op11_ranked_search(spark, data)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted(str(tuple(r)) for r in got.collect()) == plain_search(docs, items, 20)
+
+
+@pytest.mark.parametrize("most", [ranked_search.BLOCK_TERMS, 6])
+def test_ranked_search_on_odd_rows(spark, most):
+    rng = random.Random(most)
+    parts = ["alpha", "Alpha", "be", "é", "日本", "x1", " ", " ", ", ", "_", "{|}", "\U0001f600", "ÀB", "zz", "\x00"]
+    texts = [None, "", " ,;", "only words that no item holds", "alpha " * 5000, *random_texts(most, 150, parts, 12), *["alpha be x1"] * 60, *["x1 alpha be"] * 30]
+    docs = [(i - 3 if i % 9 else None, t) for i, t in enumerate(texts)] + [(7, "zz é"), (7, "zz é")]
+    items = [(1, "alpha beta alpha"), (2, None), (3, ""), (None, "be é"), (4, "日本 zz"), (4, "x1"), (5, "no document has these"), (6, "Alpha, BE; x1 x1")]
+    d = frame(spark, docs)
+    b = spark.createDataFrame([(*i, "x", 1) for i in items], "item_id bigint, text string, term string, k int")
+    for top in (3, 20):
+        assert sorted(str(tuple(r)) for r in ranked_search.ranked(d, b, top, most).collect()) == plain_search(docs, items, top)
+    assert ranked_search.ranked(d.limit(0), b).count() == 0 and ranked_search.ranked(d, b.limit(0)).count() == 0
+    named = d.selectExpr("cast(doc_id as string) AS doc_id", "text")
+    assert ranked_search.ranked(named, b, 3, most).count() == len(plain_search(docs, items, 3))
+
+
+def test_colliding_terms(monkeypatch):
+    monkeypatch.setattr(ranked_search.tn, "word_hashes", lambda b, s, e, which=0: np.zeros(len(s), np.uint64))
+    words = [b"one", b"two", b"three"]
+    buf = np.frombuffer(b"two six one", np.uint8)
+    some, place = ranked_search.Vocabulary(words).find(buf, np.array([0, 4, 8]), np.array([3, 7, 11]))
+    assert some.tolist() == [0, 2] and place.tolist() == [1, 0]
