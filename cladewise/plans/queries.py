@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.operators import aln, annots, chains, clusters, hits, profiles, robust, seqs, trees
+from cladewise.operators import aln, annots, chains, clusters, hits, holdout, profiles, robust, seqs, trees
 from cladewise.plans import iterate, views
 from cladewise.plans.views import sql
 from cladewise.session import table, written
@@ -447,8 +447,7 @@ cas AS (SELECT c_custkey AS seq, 1.0 - avg(coalesce(w, 0.0) / (SELECT count(*) F
 
 
 def _cas(spark, d):
-    h, t = _losses(spark, d)
-    return robust.cas(h.select("fold", F.col("int_seq").alias("seq")), robust.fold_losses(h, t), t.select("thr_seq"))
+    return robust.cas(*_losses(spark, d))
 
 
 @query(f"WITH {CAS} SELECT seq, round(cas, 6) AS cas FROM cas")
@@ -461,6 +460,53 @@ def cas_pass(spark, d):
     return robust.cas_pass(_cas(spark, d), 0.7, 0.5).select(r6("share").alias("share"), "passes")
 
 
+# -- hold-out runs ------------------------------------------------------------------------
+
+FOLDS = """lr AS (SELECT name, pre, row_number() OVER (ORDER BY pre) - 1 AS rank FROM tree WHERE is_leaf), rng AS (SELECT t.name, t.pre, t.post, min(rank) AS lo, max(rank) + 1 AS hi FROM tree t JOIN lr ON lr.pre BETWEEN t.pre AND t.post GROUP BY ALL),
+folds AS (SELECT c.name AS clade, f.name AS fold, f.lo, f.hi, c.lo AS clo, c.hi AS chi FROM rng c JOIN rng f ON f.pre > c.pre AND f.pre <= c.post WHERE c.name IN (SELECT name FROM tree WHERE depth BETWEEN 1 AND 2) AND f.hi - f.lo <= (c.hi - c.lo) * 0.5)"""
+LEFT = """rws AS (SELECT rank, aligned FROM lr JOIN leafrows ON seq_id = name), cls AS (SELECT rank, i - 1 AS col, substr(aligned, CAST(i AS INT), 1) AS ch FROM (SELECT rank, aligned, unnest(range(1, length(aligned) + 1)) AS i FROM rws) WHERE contains('ACDEFGHIKLMNPQRSTVWY', substr(aligned, CAST(i AS INT), 1))),
+tops AS (SELECT DISTINCT clade, clo, chi FROM folds), cc0 AS (SELECT clade, col, ch, count(*) AS k FROM tops JOIN cls ON rank >= clo AND rank < chi GROUP BY ALL), cn AS (SELECT clade, count(*) AS n FROM tops JOIN rws ON rank >= clo AND rank < chi GROUP BY clade),
+fullc AS (SELECT clade, col FROM cc0 JOIN cn USING (clade) GROUP BY clade, col, n HAVING sum(k) >= n * 0.5), cc AS (SELECT * FROM cc0 SEMI JOIN fullc USING (clade, col)),
+gone AS (SELECT clade, fold, col, ch, count(*) AS k FROM folds JOIN cls ON rank >= lo AND rank < hi SEMI JOIN fullc USING (clade, col) GROUP BY ALL),
+lefts AS (SELECT cc.clade, f.fold, cc.col, cc.ch, cc.k - coalesce(g.k, 0) AS "left" FROM cc JOIN folds f USING (clade) LEFT JOIN gone g ON g.clade = cc.clade AND g.fold = f.fold AND g.col = cc.col AND g.ch = cc.ch)"""
+HELD = """sums AS (SELECT clade, fold, col, sum("left") AS n FROM lefts GROUP BY ALL), letters AS (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS ch),
+w AS (SELECT s.clade, s.fold, s.col, l.ch, CAST(round(1000 * ln((coalesce(x."left", 0) + 1.0 / 20) / (n + 1.0) * 20)) AS BIGINT) AS w FROM sums s CROSS JOIN letters l LEFT JOIN lefts x ON x.clade = s.clade AND x.fold = s.fold AND x.col = s.col AND x.ch = l.ch),
+sc AS (SELECT f.clade, f.fold, c.rank, any_value(c.rank >= clo AND c.rank < chi) AS inside, sum(w) AS score FROM folds f JOIN cls c ON (c.rank >= lo AND c.rank < hi) OR c.rank < clo OR c.rank >= chi JOIN w ON w.clade = f.clade AND w.fold = f.fold AND w.col = c.col AND w.ch = c.ch GROUP BY f.clade, f.fold, c.rank),
+loss AS (SELECT h.clade, h.fold, h.rank, t.rank AS thr FROM sc h JOIN sc t ON t.clade = h.clade AND t.fold = h.fold AND h.inside AND NOT t.inside AND t.score > h.score),
+nf AS (SELECT clade, count(*) AS g FROM folds GROUP BY clade), difficulty AS (SELECT clade, thr, sum(wins / (hi - lo)) / any_value(g) AS d FROM (SELECT clade, fold, thr, CAST(count(*) AS DOUBLE) AS wins FROM loss GROUP BY ALL) JOIN folds USING (clade, fold) JOIN nf USING (clade) GROUP BY clade, thr),
+wk AS (SELECT clade, fold, rank, sum(1.0 - d) AS w, count(*) AS n FROM loss JOIN difficulty USING (clade, thr) GROUP BY ALL),
+hcas AS (SELECT f.clade, lr.name, count(*) AS n_folds, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_losses, 1.0 - avg(coalesce(w, 0.0) / ((SELECT count(*) FROM lr) - chi + clo)) AS cas FROM folds f JOIN lr ON lr.rank >= lo AND lr.rank < hi LEFT JOIN wk ON wk.clade = f.clade AND wk.fold = f.fold AND wk.rank = lr.rank GROUP BY f.clade, lr.name)"""
+
+
+def _clades(tree):
+    return tree.filter("depth BETWEEN 1 AND 2").select(F.col("name").alias("clade"))
+
+
+@query(sql("tree", f", {FOLDS} SELECT clade, fold, lo, hi FROM folds"))
+def holdout_folds(spark, d):
+    tree = views.tree(spark, d)
+    return holdout.folds(tree, _clades(tree)).select("clade", "fold", "lo", "hi")
+
+
+@query(sql("tree leafrows", f", {FOLDS}, {LEFT} SELECT clade, fold, col, ch, \"left\" FROM lefts"))
+def holdout_counts(spark, d):
+    tree = views.tree(spark, d)
+    return holdout.holdout_counts(tree, views.leaf_rows(spark, d), _clades(tree))
+
+
+@query(sql("tree leafrows", f", {FOLDS}, {LEFT}, {HELD} SELECT clade, name, n_folds, n_losses, round(cas, 6) AS cas FROM hcas"))
+def holdout_scores(spark, d):
+    tree = views.tree(spark, d)
+    return holdout.holdout_scores(tree, views.leaf_rows(spark, d), _clades(tree)).withColumn("cas", r6("cas"))
+
+
+@query(sql("tree leafrows", f""", {FOLDS}, {LEFT}, {HELD}, pass AS (SELECT clade, count(*) AS n_leaves, count(*) FILTER (round(cas, 9) >= 0.9) AS n_pass FROM hcas GROUP BY clade HAVING count(*) FILTER (round(cas, 9) >= 0.9) >= count(*) * 0.75)
+SELECT p.clade, n_leaves, n_pass FROM pass p JOIN tree t ON t.name = p.clade WHERE t.support >= 20 AND NOT EXISTS (SELECT 1 FROM pass q JOIN tree u ON u.name = q.clade WHERE u.support >= 20 AND u.pre < t.pre AND u.post >= t.post)"""))
+def robust_clades(spark, d):
+    tree = views.tree(spark, d)
+    return holdout.robust_clades(tree, views.leaf_rows(spark, d), tree.filter("NOT is_leaf AND depth > 0 AND support >= 20").select("name"))
+
+
 # -- annotations --------------------------------------------------------------------------
 
 MERGED = "merged AS (SELECT seq_id, field, arg_min(value, struct_pack(a := priority, b := value)) AS value FROM annots WHERE value IS NOT NULL AND value <> ' ' GROUP BY seq_id, field)"

@@ -34,6 +34,9 @@ alns AS (SELECT aln_id, count(*) AS n FROM aln GROUP BY aln_id)""",
   UNION ALL SELECT concat('L', c_custkey), concat('N', c_nationkey), 3, 0, 0.25 + c_custkey % 16, n_regionkey, n_nationkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
 tree1 AS (SELECT *, row_number() OVER (ORDER BY r, n, c) - 1 AS pre, CASE depth WHEN 0 THEN count(*) OVER () WHEN 1 THEN count(*) OVER (PARTITION BY r) - 0 WHEN 2 THEN count(*) OVER (PARTITION BY r, n) ELSE 1 END AS span FROM tree0),
 tree AS (SELECT name, parent, depth, support, CAST(dist AS DOUBLE) AS dist, depth = 3 AS is_leaf, pre, pre + span - 1 AS post FROM tree1)""",
+    "leafrows": """leafrows AS (SELECT concat('L', c_custkey) AS seq_id, concat(translate(CAST(n_regionkey AS VARCHAR), '0123456789', 'ACDEFGHIKL'),
+  CASE WHEN c_custkey % 7 < c_nationkey % 7 THEN '--' ELSE translate(lpad(CAST(c_nationkey AS VARCHAR), 2, '0'), '0123456789', 'ACDEFGHIKL') END, translate(substr(c_mktsegment, 1, 4), 'BJOUXZ', '------'), coalesce(s, '')) AS aligned
+  FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN (SELECT o_custkey, string_agg(translate(substr(o_orderpriority, 3, 1), 'U', 'K') || translate(o_orderstatus, 'O', '-'), '' ORDER BY o_orderkey) AS s FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey)""",
     "clusters": """clusters AS (
   SELECT 0 AS level, min(o_orderkey) OVER (PARTITION BY o_custkey) AS rep, o_orderkey AS member FROM orders
   UNION ALL SELECT 1, min(m) OVER (PARTITION BY c_nationkey), m FROM (SELECT o_custkey, min(o_orderkey) AS m FROM orders GROUP BY o_custkey) JOIN customer ON o_custkey = c_custkey
@@ -105,6 +108,17 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
     return written(nested_set(root.union(regions).union(nations).union(leaves), leaf_depth=3), "tree")
 
 
+def leaf_rows(spark: SparkSession, d: str) -> DataFrame:
+    """One aligned row for each leaf of ``tree``: letters of its region, nation, segment and orders."""
+    digits, letters = "0123456789", "ACDEFGHIKL"
+    order = F.struct("o_orderkey", F.concat(F.translate(F.substring("o_orderpriority", 3, 1), "U", "K"), F.translate("o_orderstatus", "O", "-")).alias("v"))
+    s = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["v"]), "").alias("s"))
+    j = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(s, F.col("o_custkey") == F.col("c_custkey"), "left")
+    nation = F.when(F.col("c_custkey") % 7 < F.col("c_nationkey") % 7, "--").otherwise(F.translate(F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), digits, letters))
+    parts = [F.translate(F.col("n_regionkey").cast("string"), digits, letters), nation, F.translate(F.substring("c_mktsegment", 1, 4), "BJOUXZ", "------"), F.coalesce("s", F.lit(""))]
+    return j.select(F.concat(F.lit("L"), F.col("c_custkey").cast("string")).alias("seq_id"), F.concat(*parts).alias("aligned"))
+
+
 def clusters(spark: SparkSession, d: str) -> DataFrame:
     """Three levels of clusters: level, rep, member."""
     o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
