@@ -468,6 +468,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = written(docs.mapInArrow(_describe(often), schema), "sets")
     often.destroy()
     tn.tidy()
+    sides = [f(c) for c in ("sig0", "sig1") for f in (F.min, F.max)]
+    several = made.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.struct(*sides[::2]).alias("a"), F.struct(*sides[1::2]).alias("b")).filter("a <> b")
+    if not several.isEmpty():
+        return _by_row(docs)
 
     # Equal sets, and groups of sets with one prefix and size: numbers only.
     cand = made.filter("n > 0 AND doc_id IS NOT NULL")
@@ -507,5 +511,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = written(ids, "set-components")
     single = made.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     linked = cand.select("doc_id", "n", "sig0", "sig1").join(ids, ["sig0", "sig1", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    # Rows that share a doc_id are one node, whichever of its sets linked.
     return single.unionByName(linked)
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    """The same where a doc_id has several texts: rows are joined under numbers of
+    their own, then components of rows that share a doc_id are closed."""
+    rows = written(docs.filter("doc_id IS NOT NULL").withColumn("row", F.monotonically_increasing_id()), "numbered")
+    got = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+    got = written(rows.select("row", "doc_id").join(got, "row"), "row-components")
+    least = got.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    closed = components(got.join(least, "component_id").select("least", "doc_id"), "least", "doc_id")
+    linked = got.join(closed, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return linked.unionByName(near_duplicates(docs.filter("doc_id IS NULL")))

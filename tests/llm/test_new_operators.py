@@ -215,3 +215,36 @@ def test_colliding_terms(monkeypatch):
     buf = np.frombuffer(b"two six one", np.uint8)
     some, place = ranked_search.Vocabulary(words).find(buf, np.array([0, 4, 8]), np.array([3, 7, 11]))
     assert some.tolist() == [0, 2] and place.tolist() == [1, 0]
+
+
+def test_jaccard_join_of_repeated_ids(spark):
+    from cladewise.llm import jaccard_join
+
+    rng = random.Random(9)
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    near = lambda t: t.replace("x29", "y29")
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (3, near(text(2))), (3, None), (4, text(4)), (4, text(5)), (5, text(6)), (5, text(7)), (6, near(text(7))), (7, text(4)), (None, text(1)), (None, text(2)), (8, ""), (9, "a b"), (9, "a b")]
+    rows += [(rng.randrange(20, 40), near(text(k)) if rng.random() < 0.5 else text(k)) for k in range(100, 110) for _ in range(3)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == linked_rows(rows)
+
+
+def linked_rows(rows):
+    """Components of doc_ids whose rows link, the definition pair by pair."""
+    from test_corpus_operators import shingles
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    up = {i: i for i, _ in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, (a, s) in enumerate(sets):
+        for b, t in sets[:k]:
+            if a is not None and b is not None and s and t and 100 * len(s & t) >= 75 * len(s | t):
+                x, y = top(a), top(b)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+    return sorted((str(i), len(s), str(top(i))) for i, s in sets)
