@@ -1,9 +1,9 @@
 """Trees as node tables in nested-set form, and the questions asked of them.
 
 tree: name, parent, depth, support, dist, is_leaf, pre, post. The descendants of
-a node are the nodes with pre between its pre and post. Trees are read and
-re-rooted as small objects on the driver (one Newick text each); the tables they
-are joined with are not.
+a node are the nodes with pre between its pre and post, so questions are interval
+joins and running sums over places, whatever the depth. rooting.py changes roots.
+Newick texts are read one text at a time, many of them in parallel.
 """
 
 from __future__ import annotations
@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cladewise.operators.intervals import blocks, contained, leaf_ranges
+from cladewise.operators.ranges import running
+from cladewise.session import written
+
 
 def nested_set(nodes: DataFrame, leaf_depth: int) -> DataFrame:
     """Number nodes that have a path of keys (-1 above their own level) in preorder.
@@ -39,56 +43,62 @@ def nested_set(nodes: DataFrame, leaf_depth: int) -> DataFrame:
 
 
 def clade_leaves(tree: DataFrame) -> DataFrame:
-    """(node, leaf) for every internal node: found by climbing from the leaves,
-    one equi-join on the parent for each level of the tree."""
-    up = tree.select(F.col("name").alias("node"), F.col("parent").alias("above"))
-    cur = tree.filter("is_leaf AND parent IS NOT NULL").select(F.col("parent").alias("node"), F.col("name").alias("leaf"))
-    depth = tree.agg(F.max("depth")).first()[0] or 0
-    out = cur
-    for _ in range(depth - 1):
-        cur = cur.join(up, "node").filter("above IS NOT NULL").select(F.col("above").alias("node"), "leaf")
-        out = out.union(cur)
-    return out
+    """(node, leaf) for every internal node, by containment of the leaf's place. All pairs by definition."""
+    inner = tree.filter("NOT is_leaf").select(F.col("name").alias("node"), "pre", "post")
+    return contained(tree.filter("is_leaf").select(F.col("name").alias("leaf"), F.col("pre").alias("at")), "at", inner, "pre", "post").select("node", "leaf")
 
 
 def leaf_counts(tree: DataFrame) -> DataFrame:
-    """Leaves under each node, by counts passed up level by level."""
-    depth = tree.agg(F.max("depth")).first()[0] or 0
-    cur = tree.filter("is_leaf").select("name", F.lit(1).cast("bigint").alias("leaves"))
-    out = cur
-    for _ in range(depth):
-        cur = tree.select("name", "parent").join(cur, "name").filter("parent IS NOT NULL").groupBy(F.col("parent").alias("name")).agg(F.sum("leaves").alias("leaves"))
-        out = out.unionByName(cur)
-    return out.groupBy("name").agg(F.sum("leaves").alias("leaves"))
-
-
-def ancestors(tree: DataFrame) -> DataFrame:
-    """(node, anc, steps) for every node and each node above it, itself at 0."""
-    up = tree.select(F.col("name").alias("anc"), F.col("parent").alias("above"))
-    cur = tree.select(F.col("name").alias("node"), F.col("name").alias("anc"), F.lit(0).alias("steps"))
-    out = cur
-    for k in range(1, (tree.agg(F.max("depth")).first()[0] or 0) + 1):
-        cur = cur.join(up, "anc").filter("above IS NOT NULL").select("node", F.col("above").alias("anc"), F.lit(k).alias("steps"))
-        out = out.union(cur)
-    return out
+    """Leaves under each node: name, leaves."""
+    return leaf_ranges(tree).select("name", (F.col("hi") - F.col("lo")).alias("leaves"))
+
+
+def separators(tree: DataFrame) -> DataFrame:
+    """at, node, depth: the lowest common ancestor of each leaf (by rank: at) and the next one.
+
+    It is the parent of the highest node whose leaves begin with the next one.
+    """
+    nodes = tree.join(leaf_ranges(tree), "name").filter("parent IS NOT NULL AND lo > 0")
+    return nodes.groupBy(F.col("lo").alias("_lo")).agg(F.min_by(F.struct(F.col("parent").alias("node"), (F.col("depth") - 1).alias("depth")), "depth").alias("b")).select((F.col("_lo") - 1).alias("at"), "b.node", "b.depth")
 
 
 def lca(tree: DataFrame, sets: DataFrame) -> DataFrame:
-    """Lowest common ancestor of each named set of nodes (set_id, node)."""
-    n = sets.groupBy("set_id").agg(F.count_distinct("node").alias("n"))
-    common = sets.distinct().join(ancestors(tree), "node").groupBy("set_id", "anc").agg(F.count("*").alias("k")).join(n, "set_id").filter("k = n")
-    deep = common.join(tree.select(F.col("name").alias("anc"), "depth"), "anc")
-    return deep.groupBy("set_id").agg(F.max_by("anc", "depth").alias("lca"))
+    """Lowest common ancestor of each named set of nodes (set_id, node).
+
+    If the first node of a set in preorder holds all others, it is that one. Else it
+    is the highest of the separators between the set's leaves: their range is cut in
+    aligned blocks, whose highest separators are joined by equality.
+    """
+    ranged = written(tree.select("name", "pre", "post").join(leaf_ranges(tree), "name"), "leaf-ranges")
+    j = sets.join(ranged, F.col("node") == F.col("name"))
+    ends = written(j.groupBy("set_id").agg(F.min_by(F.struct("name", "post"), "pre").alias("f"), F.max("pre").alias("last"), F.min("lo").alias("lo"), (F.max("hi") - 2).alias("to")), "set-ends")
+    top = ends.filter("f.post >= last").select("set_id", F.col("f.name").alias("lca"))
+    part = ends.filter("f.post < last").select("set_id", F.explode(blocks("lo", "to")).alias("b")).select("set_id", "b.size", "b.at")
+    sizes = [r[0] for r in part.select("size").distinct().collect()]
+    if not sizes:
+        return top
+    highest = separators(tree).select("node", "depth", F.explode(F.array(*[F.lit(k) for k in sizes])).alias("size"), "at").groupBy("size", F.expr("shiftright(at, size)").alias("at"))
+    highest = highest.agg(F.min_by(F.struct("depth", "node"), "depth").alias("h"))
+    met = part.join(highest, ["size", "at"]).groupBy("set_id").agg(F.min_by("h.node", "h.depth").alias("lca"))
+    return top.unionByName(met)
+
+
+def shells(tree: DataFrame, node: str) -> DataFrame:
+    """anc, level, lo, hi: for each node above a given one (level 0: itself) the places it holds that the one below does not."""
+    me = tree.filter(F.col("name") == node).select(F.col("pre").alias("p"), F.col("post").alias("q"), F.col("depth").alias("d"))
+    # One row of bounds; the rows kept are the node's ancestors.
+    anc = tree.crossJoin(F.broadcast(me)).filter("pre <= p AND post >= q").select(F.col("name").alias("anc"), "pre", "post", (F.col("d") - F.col("depth")).alias("level"))
+    anc = written(anc, "ancestors")
+    inner = anc.select((F.col("level") + 1).alias("level"), F.col("pre").alias("p"), F.col("post").alias("q"))
+    rest = anc.join(inner, "level").select("anc", "level", F.explode(F.array(F.struct(F.col("pre").alias("lo"), (F.col("p") - 1).alias("hi")), F.struct((F.col("q") + 1).alias("lo"), F.col("post").alias("hi")))).alias("s"))
+    own = anc.filter("level = 0").select("anc", "level", F.struct(F.col("pre").alias("lo"), F.col("post").alias("hi")).alias("s"))
+    return own.unionByName(rest).select("anc", "level", "s.lo", "s.hi")
 
 
 def cousin_sets(tree: DataFrame, target: str) -> DataFrame:
     """Leaves outside the target clade by how many steps above it they first appear (level 1 is nearest)."""
-    anc = ancestors(tree)
-    mine = anc.filter(F.col("node") == target).select("anc", F.col("steps").alias("level"))
-    leaf = tree.filter("is_leaf").select(F.col("name").alias("node"))
-    # The target's ancestors are as many as its depth.
-    got = anc.join(leaf, "node", "left_semi").join(F.broadcast(mine), "anc").groupBy("node").agg(F.min("level").alias("level"))
-    return got.filter("level > 0").select(F.col("node").alias("leaf"), "level")
+    leaf = tree.filter("is_leaf").select(F.col("name").alias("leaf"), "pre")
+    return contained(leaf, "pre", shells(tree, target).filter("level > 0"), "lo", "hi").select("leaf", "level")
 
 
 def supported_partition(tree: DataFrame, min_support: float, min_prop: float = 0.0, max_prop: float = 1.0) -> DataFrame:
@@ -101,44 +111,155 @@ def supported_partition(tree: DataFrame, min_support: float, min_prop: float = 0
 
 
 def nearest_kept_ancestor(tree: DataFrame, kept: DataFrame) -> DataFrame:
-    """Each kept node and the nearest kept node above it (null: none)."""
-    k = kept.select("name")
-    up = ancestors(tree).filter("steps > 0").join(k.select(F.col("name").alias("node")), "node", "left_semi").join(k.select(F.col("name").alias("anc")), "anc", "left_semi")
-    near = up.groupBy("node").agg(F.min_by("anc", "steps").alias("kept_parent"))
-    return k.join(near, F.col("name") == F.col("node"), "left").select("name", "kept_parent")
+    """Each kept node and the nearest kept node above it (null: none).
+
+    Every node points at its parent; a pointer at a node that is not kept is moved
+    on to where that one points, so each round doubles its reach.
+    """
+    k = kept.select(F.col("name").alias("_k")).distinct()
+    state = written(tree.select("name", F.col("parent").alias("at")).join(k, F.col("at") == F.col("_k"), "left").select("name", "at", (F.col("at").isNull() | F.col("_k").isNotNull()).alias("done")), "pointers")
+    while not state.filter("NOT done").isEmpty():
+        other = state.select(F.col("name").alias("at"), F.col("at").alias("_at"), F.col("done").alias("_done"))
+        moved = state.filter("NOT done").join(other, "at").select("name", F.col("_at").alias("at"), F.col("_done").alias("done"))
+        state = written(state.filter("done").unionByName(moved), "pointers")
+    return state.join(k, F.col("name") == F.col("_k"), "left_semi").select("name", F.col("at").alias("kept_parent"))
 
 
 def clade_labels(tree: DataFrame, kept: DataFrame, top_only: bool = False) -> DataFrame:
     """(leaf, clade) for every kept clade, or the largest one only."""
-    pairs = clade_leaves(tree).join(kept.select(F.col("name").alias("node")), "node", "left_semi")
-    if not top_only:
-        return pairs.select("leaf", F.col("node").alias("clade"))
-    deep = pairs.join(tree.select(F.col("name").alias("node"), "depth"), "node")
-    return deep.groupBy("leaf").agg(F.min_by("node", "depth").alias("clade"))
+    if top_only:
+        kept = nearest_kept_ancestor(tree, kept).filter("kept_parent IS NULL").select("name")
+    spans = tree.join(kept.select("name").distinct(), "name", "left_semi").filter("NOT is_leaf").select(F.col("name").alias("clade"), F.col("pre").alias("lo"), "post")
+    return contained(tree.filter("is_leaf").select(F.col("name").alias("leaf"), "pre"), "pre", spans, "lo", "post").select("leaf", "clade")
 
 
 def root_distance(tree: DataFrame) -> DataFrame:
-    """Sum of branch lengths from the root to each node."""
-    d = tree.select(F.col("name").alias("anc"), "dist")
-    return ancestors(tree).join(d, "anc").groupBy("node").agg(F.sum("dist").alias("root_dist"))
+    """Sum of branch lengths from the root to each node: node, root_dist.
+
+    A branch counts from its node's place to the last one under it, so the sum is a
+    running sum over places of what begins less what has ended.
+    """
+    ends = tree.select(F.explode(F.array(F.struct(F.col("pre").alias("at"), F.col("dist").alias("d")), F.struct((F.col("post") + 1).alias("at"), (-F.col("dist")).alias("d")))).alias("e")).select("e.*")
+    upto = running(ends.groupBy("at").agg(F.sum("d").alias("d")), [], "at", {"root_dist": "d"}).select("at", "root_dist")
+    return tree.select(F.col("name").alias("node"), F.col("pre").alias("at")).join(upto, "at").select("node", "root_dist")
 
 
 def patristic(tree: DataFrame, source: str) -> DataFrame:
     """Distance along the tree from one node to every leaf."""
-    anc, far = ancestors(tree), root_distance(tree)
-    mine = F.broadcast(anc.filter(F.col("node") == source).select("anc"))
-    depth = tree.select(F.col("name").alias("anc"), "depth")
-    meet = anc.join(tree.filter("is_leaf").select(F.col("name").alias("node")), "node", "left_semi").join(mine, "anc").join(depth, "anc").groupBy("node").agg(F.max_by("anc", "depth").alias("anc"))
+    far = written(root_distance(tree), "root-distances")
+    met = contained(tree.filter("is_leaf").select(F.col("name").alias("node"), "pre"), "pre", shells(tree, source), "lo", "hi").select("node", "anc")
     own = far.filter(F.col("node") == source).select(F.col("root_dist").alias("d0"))
-    j = meet.join(far, "node").join(far.select(F.col("node").alias("anc"), F.col("root_dist").alias("da")), "anc").crossJoin(F.broadcast(own))
+    j = met.join(far, "node").join(far.select(F.col("node").alias("anc"), F.col("root_dist").alias("da")), "anc").crossJoin(F.broadcast(own))
     return j.select(F.col("node").alias("leaf"), (F.col("root_dist") + F.col("d0") - 2 * F.col("da")).alias("distance"))
 
 
-# -- Newick and rooting: one tree at a time --------------------------------------------
+# -- boundaries and named clades ---------------------------------------------------------
+
+
+def boundaries(tree: DataFrame, singletons: bool = False) -> DataFrame:
+    """node, left, right: two leaves whose lowest common ancestor is the node, the first
+    ones under its first and its last child (one child: its first leaf twice).
+
+    singletons: also leaves whose first sister is no leaf, as bounds of themselves.
+    """
+    places = written(tree.select("name", "parent", "pre", "is_leaf").join(leaf_ranges(tree), "name"), "leaf-ranges")
+    leaf = lambda c: places.filter("is_leaf").select(F.col("name").alias(c), F.col("lo").alias(f"_{c}"))
+    kids = places.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.min("lo").alias("_left"), F.max_by("lo", "pre").alias("_right"), F.min_by(F.struct("name", "is_leaf"), "pre").alias("one"))
+    out = kids.join(leaf("left"), "_left").join(leaf("right"), "_right").select("node", "left", "right")
+    if singletons:
+        # The first sister of the first child is the second one.
+        second = places.join(kids.select(F.col("node").alias("parent"), "one"), "parent").filter("name <> one.name").groupBy("parent").agg(F.min_by(F.struct("name", "is_leaf"), "pre").alias("two"))
+        j = places.filter("is_leaf").join(kids.select(F.col("node").alias("parent"), "one"), "parent").join(second, "parent")
+        sister = F.when(F.col("name") == F.col("one.name"), F.col("two.is_leaf")).otherwise(F.col("one.is_leaf"))
+        alone = j.filter(~sister).select(F.col("name").alias("node"), F.col("name").alias("left"), F.col("name").alias("right"))
+        out = out.unionByName(alone)
+    return out
+
+
+def named_clades(tree: DataFrame, bounds: DataFrame) -> DataFrame:
+    """leaf, clade: leaves of each named clade (clade, ord, left, right, out), the clade of greatest ord on overlaps.
+
+    left and right are nodes in the clade, ``out`` one that is not, or null. If the lowest
+    common ancestor of left and right holds ``out``, the clade is what is left of the
+    tree, rooted at ``out``: all leaves but those towards ``out`` from where the three
+    paths meet.
+    """
+    b = written(bounds.select("clade", "ord", "left", "right", "out"), "bounds")
+    three = [("left", "right"), ("left", "out"), ("right", "out")]
+    sets = b.select(F.col("clade").alias("_c"), F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.array(x, y).alias("nodes")) for i, (x, y) in enumerate(three)])).alias("s"))
+    sets = sets.select(F.struct("_c", "s.k").alias("set_id"), F.explode("s.nodes").alias("node")).filter("node IS NOT NULL")
+    met = lca(tree, sets).select("set_id.*", "lca").join(tree.select(F.col("name").alias("lca"), "depth", "pre", "post"), "lca")
+    met = met.groupBy("_c").agg(F.max(F.when(F.col("k") == 0, F.struct("pre", "post"))).alias("own"), F.max_by(F.struct("lca", "pre", "post", "depth"), F.struct("depth", -F.col("k"))).alias("deep"))
+    places = tree.select("name", F.col("pre").alias("op"), F.col("post").alias("oq"))
+    j = b.join(met, F.col("clade") == F.col("_c")).join(places, F.col("out") == F.col("name"), "left").drop("name")
+    outside = F.col("out").isNull() | (F.col("op") < F.col("own.pre")) | (F.col("op") > F.col("own.post"))
+    plain = j.filter(outside).select("clade", "ord", F.col("own.pre").alias("lo"), F.col("own.post").alias("hi"))
+    kid = tree.select(F.col("parent").alias("_p"), F.col("pre").alias("kp"), F.col("post").alias("kq"))
+    turned = j.filter(~outside).join(kid, (F.col("deep.lca") == F.col("_p")) & (F.col("op") >= F.col("kp")) & (F.col("op") <= F.col("kq")))
+    last = tree.agg(F.max("pre")).first()[0] or 0
+    around = turned.select("clade", "ord", F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("lo"), (F.col("kp") - 1).alias("hi")), F.struct((F.col("kq") + 1).alias("lo"), F.lit(last).cast("bigint").alias("hi")))).alias("s")).select("clade", "ord", "s.lo", "s.hi")
+    pairs = contained(tree.filter("is_leaf").select(F.col("name").alias("leaf"), "pre"), "pre", plain.unionByName(around), "lo", "hi")
+    return pairs.groupBy("leaf").agg(F.max_by("clade", F.struct("ord", "clade")).alias("clade"))
+
+
+# -- labels and supports -----------------------------------------------------------------
+
+
+def label_facts(tree: DataFrame) -> DataFrame:
+    """One row: labelled (an inner node has a label), numeric (all of these are numbers), percent (a support is above 1).
+
+    tree: name (the label, or null), support, is_leaf."""
+    inner = tree.filter("NOT is_leaf")
+    label = F.col("name").isNotNull() & (F.col("name") != "")
+    number = F.expr("try_cast(name AS double)")
+    return inner.agg(
+        F.coalesce(F.max(label), F.lit(False)).alias("labelled"), F.coalesce(F.min(F.when(label, number.isNotNull())), F.lit(False)).alias("numeric"),
+        F.coalesce(F.max(F.greatest(F.col("support").cast("double"), F.when(label, number)) > 1), F.lit(False)).alias("percent"),
+    )
+
+
+def percent_supports(tree: DataFrame) -> DataFrame:
+    """The tree with supports from 0 to 100: those of a tree that has none above 1 are shares."""
+    top = tree.filter("NOT is_leaf").agg(F.coalesce(F.max("support"), F.lit(0)).alias("_top"))
+    s = F.col("support").cast("double")
+    return tree.crossJoin(F.broadcast(top)).withColumn("support", F.when(F.col("_top") > 1, s).otherwise(s * 100)).drop("_top")
+
+
+def splits(tree: DataFrame) -> DataFrame:
+    """name, split (a pair of numbers): the leaves on the two sides of the branch above each inner node.
+
+    Each leaf has a key of two 62-bit hashes; a node's is the sum over its leaves, a
+    difference of running sums along the leaves. Of the node and its complement the
+    lesser sum stands for the branch. All leaves on one side give no split.
+    """
+    big = "decimal(38,0)"
+    keys = [F.shiftrightunsigned(F.xxhash64(F.lit(i), "name"), 2).cast(big).alias(f"k{i}") for i in (1, 2)]
+    ranged = written(tree.select("name", "is_leaf").join(leaf_ranges(tree), "name"), "leaf-ranges")
+    upto = written(running(ranged.filter("is_leaf").select("lo", *keys), [], "lo", {"u1": "k1", "u2": "k2"}).select((F.col("lo") + 1).alias("at"), F.col("u1").cast(big), F.col("u2").cast(big)), "leaf-keys")
+    total = upto.agg(F.max_by("u1", "at").alias("t1"), F.max_by("u2", "at").alias("t2"), F.max("at").alias("n"))
+    zero = F.lit(0).cast(big)
+    inner = ranged.filter("NOT is_leaf").join(upto.select(F.col("at").alias("hi"), F.col("u1").alias("b1"), F.col("u2").alias("b2")), "hi").join(upto.select(F.col("at").alias("lo"), F.col("u1").alias("a1"), F.col("u2").alias("a2")), "lo", "left")
+    s = [(F.col(f"b{i}") - F.coalesce(f"a{i}", zero)).cast(big) for i in (1, 2)]
+    j = inner.crossJoin(F.broadcast(total)).filter("hi - lo < n")
+    return j.select("name", F.least(F.struct(s[0].alias("x"), s[1].alias("y")), F.struct((F.col("t1") - s[0]).cast(big).alias("x"), (F.col("t2") - s[1]).cast(big).alias("y"))).alias("split"))
+
+
+def transfer_supports(source: DataFrame, target: DataFrame) -> DataFrame:
+    """The target tree with the supports of the source's equal splits (null where it has none; leaves keep theirs).
+
+    Roots may differ: a split is the same from either side. Of two source nodes
+    with one split (the children of a root) the higher support counts."""
+    known = splits(source).join(source.select("name", "support"), "name").groupBy("split").agg(F.max("support").alias("_s"))
+    found = splits(target).join(known, "split").select("name", "_s")
+    kind = target.schema["support"].dataType
+    return target.join(found, "name", "left").withColumn("support", F.when(F.col("is_leaf"), F.col("support")).otherwise(F.col("_s").cast(kind))).drop("_s")
+
+
+# -- Newick: one text at a time ----------------------------------------------
 
 
 class Node:
-    """A tree node of the reader and the re-rooting functions."""
+    """A tree node of the reader."""
 
     def __init__(self, name: str = "", dist: float = 0.0, children: list["Node"] | None = None, support: float | None = None):
         self.name, self.dist, self.children, self.support = name, dist, children or [], support
@@ -224,90 +345,6 @@ def label_inner(root: Node) -> Node:
     return root
 
 
-def _edges(root: Node) -> dict[int, list[tuple[Node, float, float | None]]]:
-    out: dict[int, list] = {}
-    for n in root.walk():
-        for c in n.children:
-            out.setdefault(id(n), []).append((c, c.dist, c.support))
-            out.setdefault(id(c), []).append((n, c.dist, c.support))
-    return out
-
-
-def root_on_branch(root: Node, below: Node, at: float | None = None) -> Node:
-    """A new root on the branch above a node, ``at`` from the node (default: the middle)."""
-    if below is root:
-        return root
-    edges = _edges(root)
-    parent = next(n for n in root.walk() if below in n.children)
-    half = below.dist / 2 if at is None else at
-
-    def grown(start: Node, came: Node, dist: float, support) -> Node:
-        top = Node(start.name, dist, [], support)
-        todo = [(start, came, top)]
-        while todo:
-            n, c, new = todo.pop()
-            for m, d, s in edges.get(id(n), []):
-                if m is not c:
-                    new.children.append(Node(m.name, d, [], s))
-                    todo.append((m, n, new.children[-1]))
-        return top
-
-    new = Node("", 0.0, [grown(below, parent, half, below.support), grown(parent, below, below.dist - half, below.support)])
-    # The old root, left with one child, is passed over.
-    for n in new.walk():
-        for i, c in enumerate(n.children):
-            while len(c.children) == 1:
-                g = c.children[0]
-                g.dist += c.dist
-                c = n.children[i] = g
-    return new
-
-
-def common_ancestor(root: Node, names: set[str]) -> Node:
-    cur = root
-    while True:
-        nxt = [c for c in cur.children if names <= {x.name for x in c.leaves()}]
-        if not nxt:
-            return cur
-        cur = nxt[0]
-
-
-def outgroup_root(root: Node, names: set[str]) -> Node:
-    return root_on_branch(root, common_ancestor(root, names))
-
-
-def longest_branch_root(root: Node) -> Node:
-    return root_on_branch(root, max((n for n in root.walk() if n is not root and n.children), key=lambda n: n.dist, default=root))
-
-
-def midpoint_root(root: Node) -> Node:
-    """Root in the middle of the longest path between two leaves."""
-    edges = _edges(root)
-
-    def far(start: Node):
-        best, todo, came = (0.0, start), [(start, None, 0.0)], {}
-        while todo:
-            n, p, d = todo.pop()
-            came[id(n)] = (p, d)
-            if len(edges.get(id(n), [])) == 1 and d > best[0]:
-                best = (d, n)
-            todo += [(m, n, d + x) for m, x, _ in edges.get(id(n), []) if m is not p]
-        return best, came
-
-    (_, a), _ = far(root.leaves()[0])
-    (length, b), came = far(a)
-    n = b
-    while came[id(n)][0] is not None and came[id(came[id(n)][0])][1] > length / 2:
-        n = came[id(n)][0]
-    p, d = came[id(n)]
-    if p is None:
-        return root
-    parent_of = {id(c): x for x in root.walk() for c in x.children}
-    if parent_of.get(id(n)) is p:
-        return root_on_branch(root, n, d - length / 2)
-    return root_on_branch(root, p, length / 2 - came[id(p)][1])
-
-
 def neighbour_joining(names: list[str], dist) -> Node:
     """Tree of a small distance matrix (numpy, symmetric)."""
     import numpy as np

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.operators import aln, annots, chains, clusters, hits, holdout, profiles, robust, seqs, trees
+from cladewise.operators import aln, annots, chains, clusters, hits, holdout, profiles, robust, rooting, seqs, trees
 from cladewise.plans import iterate, views
 from cladewise.plans.views import sql
 from cladewise.session import table, written
@@ -418,6 +418,79 @@ def patristic(spark, d):
     return trees.patristic(views.tree(spark, d), "N7").select("leaf", r6("distance").alias("distance"))
 
 
+@query(sql("tree", """, kids AS (SELECT parent AS node, min(pre) AS a, max(pre) AS z FROM tree WHERE parent IS NOT NULL GROUP BY parent), lf AS (SELECT name, pre FROM tree WHERE is_leaf)
+SELECT node, x.name AS "left", y.name AS "right" FROM kids ASOF JOIN lf x ON x.pre >= a ASOF JOIN lf y ON y.pre >= z"""))
+def clade_boundaries(spark, d):
+    return trees.boundaries(views.tree(spark, d))
+
+
+@query(sql("tree", """SELECT l.name AS leaf, CASE WHEN n.parent <> (SELECT parent FROM tree WHERE name = 'N7') THEN 'rest' ELSE n.name END AS clade FROM tree l JOIN tree n ON l.parent = n.name WHERE l.is_leaf"""))
+def named_clades(spark, d):
+    """Nations by their boundaries, and the tree outside N7's region by its first and last leaf, seen from a leaf of N7."""
+    tree = views.tree(spark, d)
+    bounds = trees.boundaries(tree).filter("node LIKE 'N%'").select(F.col("node").alias("clade"), F.lit(1).alias("ord"), "left", "right", F.lit(None).cast("string").alias("out"))
+    leaf = tree.filter("is_leaf")
+    seven = leaf.filter("parent = 'N7'").agg(F.min_by("name", "pre").alias("out"))
+    rest = leaf.agg(F.min_by("name", "pre").alias("left"), F.max_by("name", "pre").alias("right")).crossJoin(seven)
+    return trees.named_clades(tree, bounds.unionByName(rest.select(F.lit("rest").alias("clade"), F.lit(2).alias("ord"), "left", "right", "out")))
+
+
+@query(sql("tree", "SELECT name, depth, is_leaf, pre, post FROM tree"))
+def numbered_tree(spark, d):
+    nodes = views.tree(spark, d).select("name", "parent", F.col("pre").alias("ord"), "support", "dist")
+    return rooting.numbered(nodes).select("name", "depth", "is_leaf", "pre", "post")
+
+
+@query(sql("tree", """, b AS (SELECT * FROM tree WHERE name = 'N7'), a AS (SELECT t.* FROM tree t JOIN b ON t.name = b.parent)
+SELECT t.name, CASE WHEN t.name = b.name OR t.name = a.name THEN 'rooted' WHEN t.name = 'root' THEN a.name ELSE t.parent END AS parent,
+  CASE WHEN t.name = b.name OR t.name = a.name THEN b.dist / 2 WHEN t.name = 'root' THEN a.dist ELSE t.dist END AS dist, CASE WHEN t.name = a.name THEN b.support WHEN t.name = 'root' THEN a.support ELSE t.support END AS support,
+  t.depth + CASE WHEN t.pre BETWEEN b.pre AND b.post THEN -1 WHEN t.pre BETWEEN a.pre AND a.post THEN 0 ELSE 2 END AS depth FROM tree t, a, b UNION ALL SELECT 'rooted', NULL, 0.0, NULL, 0"""))
+def rooted_outgroup(spark, d):
+    return rooting.outgroup_root(views.tree(spark, d), ["N7"]).select("name", "parent", "dist", "support", "depth")
+
+
+@query(sql("tree", """, b AS (SELECT arg_max(name, struct_pack(a := dist, b := -pre)) AS name, max(dist) / 2 AS half FROM tree WHERE NOT is_leaf AND parent IS NOT NULL), e AS (SELECT t.* FROM tree t JOIN b USING (name)),
+anc AS (SELECT n.name AS node, a.name AS anc, a.depth, a.dist FROM tree n JOIN tree a ON n.pre BETWEEN a.pre AND a.post), rd AS (SELECT node, sum(dist) AS d FROM anc GROUP BY node), up AS (SELECT anc FROM anc JOIN b ON node = name),
+meet AS (SELECT node, arg_max(anc, depth) AS anc FROM anc SEMI JOIN up USING (anc) GROUP BY node)
+SELECT t.name AS leaf, round(CASE WHEN t.pre BETWEEN e.pre AND e.post THEN r1.d - r0.d + half ELSE r1.d + r0.d - 2 * r2.d - half END, 6) AS root_dist FROM tree t JOIN meet ON t.name = meet.node JOIN rd r1 ON r1.node = t.name JOIN rd r2 ON r2.node = meet.anc CROSS JOIN e CROSS JOIN b JOIN rd r0 ON r0.node = b.name WHERE t.is_leaf"""))
+def rooted_longest(spark, d):
+    return _leaf_heights(rooting.longest_branch_root(views.tree(spark, d)))
+
+
+def _leaf_heights(tree):
+    far = trees.root_distance(tree)
+    return far.join(tree.filter("is_leaf").select(F.col("name").alias("node")), "node", "left_semi").select(F.col("node").alias("leaf"), r6("root_dist").alias("root_dist"))
+
+
+@query(sql("tree", """, l AS (SELECT l.name, l.dist AS d1, n.name AS n, n.dist AS d2, r.name AS r, r.dist AS d3 FROM tree l JOIN tree n ON l.parent = n.name JOIN tree r ON n.parent = r.name WHERE l.is_leaf),
+ecc AS (SELECT a.name, max(a.d1 + b.d1 + CASE WHEN a.n <> b.n THEN a.d2 + b.d2 ELSE 0 END + CASE WHEN a.r <> b.r THEN a.d3 + b.d3 ELSE 0 END) AS e FROM l a JOIN l b ON a.name <> b.name GROUP BY a.name)
+SELECT name AS leaf, round(e - (SELECT max(e) FROM ecc) / 2, 6) AS root_dist FROM ecc"""))
+def rooted_midpoint(spark, d):
+    return _leaf_heights(rooting.midpoint_root(views.tree(spark, d)))
+
+
+@query(sql("tree", """, inner1 AS (SELECT name, support, pre, post FROM tree WHERE NOT is_leaf), lv AS (SELECT t.name, t.pre, CAST(substr(n.name, 2) AS INT) AS n FROM tree t JOIN tree n ON t.parent = n.name WHERE t.is_leaf),
+s1 AS (SELECT support, (SELECT string_agg(name, ',' ORDER BY name) FROM lv WHERE lv.pre BETWEEN i.pre AND i.post) AS a, (SELECT string_agg(name, ',' ORDER BY name) FROM lv WHERE lv.pre NOT BETWEEN i.pre AND i.post) AS b FROM inner1 i),
+groups AS (SELECT DISTINCT concat('Q', n % 4) AS name, n, n % 4 AS q FROM lv UNION SELECT DISTINCT concat('N', n), n, -1 FROM lv UNION SELECT 'root', n, -2 FROM lv),
+s2 AS (SELECT name, (SELECT string_agg(lv.name, ',' ORDER BY lv.name) FROM lv WHERE lv.n IN (SELECT n FROM groups h WHERE h.name = g.name)) AS a, (SELECT string_agg(lv.name, ',' ORDER BY lv.name) FROM lv WHERE lv.n NOT IN (SELECT n FROM groups h WHERE h.name = g.name)) AS b FROM (SELECT DISTINCT name FROM groups) g)
+SELECT s2.name, max(support) AS support FROM s2 LEFT JOIN s1 ON s1.b IS NOT NULL AND s2.b IS NOT NULL AND least(s1.a, s1.b) = least(s2.a, s2.b) GROUP BY s2.name"""))
+def moved_supports(spark, d):
+    """Supports of the tree on another one over the same leaves, whose upper groups differ."""
+    tree = views.tree(spark, d)
+    number = F.substring_index("parent", "N", -1).cast("int")
+    leaves = tree.filter("is_leaf").select("name", "parent", F.col("pre").alias("ord"), "dist")
+    nations = leaves.select("parent").distinct().select(F.col("parent").alias("name"), F.concat(F.lit("Q"), (number % 4).cast("string")).alias("parent"), number.cast("bigint").alias("ord"), F.lit(1.0).alias("dist"))
+    upper = nations.select("parent").distinct().select(F.col("parent").alias("name"), F.lit("root").alias("parent"), F.lit(0).cast("bigint").alias("ord"), F.lit(1.0).alias("dist"))
+    top = upper.select("parent").distinct().select(F.col("parent").alias("name"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("ord"), F.lit(0.0).alias("dist"))
+    other = rooting.numbered(written(leaves.unionByName(nations).unionByName(upper).unionByName(top).withColumn("support", F.lit(None).cast("int")), "other-tree"))
+    return trees.transfer_supports(tree, written(other, "other-tree")).filter("NOT is_leaf").select("name", "support")
+
+
+@query(sql("tree", "SELECT true AS labelled, true AS \"numeric\", max(support) > 1 AS percent FROM tree WHERE NOT is_leaf"))
+def tree_labels(spark, d):
+    return trees.label_facts(views.tree(spark, d).withColumn("name", F.col("support").cast("string")))
+
+
 # -- robustness ---------------------------------------------------------------------------
 
 
