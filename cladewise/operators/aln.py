@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cladewise.operators.ranges import running
 from cladewise.operators.seqs import ALPHABET, worst_share
 from cladewise.session import written
 
@@ -241,10 +242,11 @@ def merge_on_reference(ref: DataFrame, subs: DataFrame) -> DataFrame:
     base = width.select(F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("ref_col"), F.lit("").alias("rep"), F.lit(0).alias("nth"))
     # New columns of different clusters stay apart; they follow the reference column they come after.
     slots = base.select("ref_col", "rep", "nth").union(placed.filter("nth > 0").select("ref_col", "rep", "nth").distinct())
-    slots = slots.withColumn("place", F.row_number().over(W.orderBy("ref_col", F.col("nth") > 0, "rep", "nth")) - 1)
+    slots = slots.select(F.col("ref_col").cast("int").alias("ref_col"), F.col("rep").cast("string").alias("rep"), "nth")
+    slots = running(slots.withColumns({"o": F.struct("ref_col", F.col("nth") > 0, "rep", "nth"), "one": F.lit(1)}), [], "o", {"upto": "one"}).select("ref_col", "rep", "nth", (F.col("upto") - 1).cast("int").alias("place"))
     chars = subs.select("rep", "seq_id", F.posexplode(F.split("aligned", "")).alias("col", "ch")).join(placed, ["rep", "col"])
     key = F.when(F.col("nth") > 0, F.col("rep")).otherwise(F.lit(""))
-    at = chars.select("seq_id", "ch", "ref_col", "nth", key.cast("string").alias("rep")).filter(F.col("ch") != GAP).join(slots.withColumn("rep", F.col("rep").cast("string")), ["ref_col", "rep", "nth"])
+    at = chars.select("seq_id", "ch", "ref_col", "nth", key.cast("string").alias("rep")).filter(F.col("ch") != GAP).join(slots, ["ref_col", "rep", "nth"])
     total = slots.agg(F.count("*").alias("total"))
     lists = at.groupBy("seq_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "ch"))).alias("m")).crossJoin(F.broadcast(total))
     return lists.select("seq_id", F.array_join(F.transform(F.sequence(F.lit(0), (F.col("total") - 1).cast("int")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(GAP))), "").alias("aligned"))

@@ -104,10 +104,11 @@ def priority_sets(preferred: DataFrame, mapped: DataFrame, wanted: DataFrame) ->
 
 
 def chain_lookup(first: DataFrame, *steps: DataFrame) -> DataFrame:
-    """Inner joins one after the other, each step (key, value), the least value of a key; misses drop out."""
+    """Inner joins one after the other, each step (key, value), the first value of a key
+    in the order of a column ord (without one, the least value); misses drop out."""
     cur = first
     for i, s in enumerate(steps):
-        one = s.groupBy("key").agg(F.min("value").alias("value"))
+        one = s.groupBy("key").agg(F.min_by("value", F.struct("ord", "value") if "ord" in s.columns else F.col("value")).alias("value"))
         cur = cur.join(one, F.col(cur.columns[-1]) == F.col("key")).drop("key").withColumnRenamed("value", f"step{i + 1}")
     return cur
 
@@ -170,7 +171,7 @@ def flat_record_fields(r: Column) -> dict[str, Column]:
         "length": F.nullif(F.regexp_extract(r, r"(?m)^ID.*;\s*(\d+)\s+AA", 1), F.lit("")),
         "fragment": F.when(F.exists(lines, lambda x: x.contains("DE") & x.contains("Fragment")), F.lit("True")),
         "organism": _line(r, "OS"),
-        "taxonomy": F.nullif(F.array_join(F.transform(F.filter(lines, lambda x: x.startswith("OC")), lambda x: F.trim(F.substring(x, 3, 10_000))), " "), F.lit("")),
+        "taxonomy": F.nullif(F.array_join(F.transform(F.filter(lines, lambda x: x.startswith("OC")), lambda x: F.trim(F.substring(x, F.lit(3), F.length(x)))), " "), F.lit("")),
         "tax_id": F.nullif(F.regexp_extract(r, r"(?m)^OX\s+NCBI_TaxID=([^;\s]+)", 1), F.lit("")),
         "gene_name": F.nullif(F.regexp_extract(r, r"(?m)^GN\s+[^=\n]*=([^\s;]+)", 1), F.lit("")),
         "protein_name": F.nullif(F.trim(F.regexp_extract(r, r"(?m)^DE[^=\n]*=([^{;\n]*)", 1)), F.lit("")),

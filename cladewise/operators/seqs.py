@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from cladewise.operators.ranges import running
 
 ALPHABET = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -82,8 +83,11 @@ def merge_between_only(*sources: DataFrame, excluded: DataFrame | None = None) -
 
 
 def worst_share(df: DataFrame, value: Column, share: float, by: list[str], tie: str, highest: bool = False) -> DataFrame:
-    """The int(n * share) rows with the lowest (highest) value in each group."""
-    w = W.partitionBy(*by)
-    order = value.desc() if highest else value.asc()
-    ranked = df.select("*", F.row_number().over(w.orderBy(order, tie)).alias("_rn"), F.count("*").over(w).alias("_n"))
-    return ranked.filter(F.col("_rn") <= F.floor(F.col("_n") * share)).drop("_rn", "_n")
+    """The int(n * share) rows with the lowest (highest) value in each group, by running counts, so no group is one task.
+
+    Nulls come first among the lowest and last among the highest; ``tie`` tells rows of a group apart.
+    """
+    order = F.struct(value.isNull().alias("a"), (-value).alias("b"), F.col(tie).alias("c")) if highest else F.struct(value.alias("b"), F.col(tie).alias("c"))
+    n = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    ranked = running(df.withColumns({"_order": order, "_one": F.lit(1)}), by, "_order", {"_rn": "_one"}).join(n, by)
+    return ranked.filter(F.col("_rn") <= F.floor(F.col("_n") * share)).select(*df.columns)

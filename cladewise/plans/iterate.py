@@ -8,7 +8,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.operators import clusters, hits, profiles
+from cladewise.operators import clusters, hits, profiles, search
 from cladewise.session import written
 
 LOG = logging.getLogger(__name__)
@@ -28,15 +28,14 @@ def convergence(iterations: DataFrame, share: float) -> DataFrame:
 
 
 def new_profiles(curated: DataFrame, sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Clusters of the curated domains, and a profile of each with its threshold: the
+    """Clusters of the curated domains, and a profile of each, whatever its size, with its threshold: the
     lowest score of its own members. A domain is aligned to its profile by its start, at
     its whole length; the end that a shorter one misses is gaps."""
     doms = written(hits.extract_domains(curated, sequences).select(F.col("target").alias("seq_id"), F.col("domain").alias("seq")), "domains")
     groups = written(clusters.greedy_cluster(doms), "domain-clusters")
-    big = groups.groupBy("rep").agg(F.count("*").alias("n")).filter("n >= 3").select("rep")
-    aln = groups.join(big, "rep").join(doms, F.col("member") == F.col("seq_id")).select(F.col("rep").alias("aln_id"), "seq_id", F.col("seq").alias("aligned"))
+    aln = groups.join(doms, F.col("member") == F.col("seq_id")).select(F.col("rep").alias("aln_id"), "seq_id", F.col("seq").alias("aligned"))
     built = written(profiles.build(aln), "profiles")
-    scores = profiles.search(built, doms)
+    scores = search.search(built, doms).groupBy("profile", "target").agg(F.max("score").alias("score"))
     own = scores.join(groups.select(F.col("member").alias("target"), F.col("rep").cast("string").alias("profile")), ["profile", "target"])
     return built, written(own.groupBy("profile").agg(F.min("score").alias("threshold")), "thresholds")
 
@@ -45,7 +44,7 @@ def run(spark: SparkSession, first_profiles: DataFrame, first_thresholds: DataFr
     """Iterate. Returns the table of hits by iteration and the last profiles and thresholds."""
     prof, thr, seen = first_profiles, first_thresholds, None
     for k in range(most if share is not None else iters):
-        found = written(profiles.search(prof, sequences).withColumn("ord", F.xxhash64("profile", "target")), f"hits-{k}")
+        found = written(search.search(prof, sequences).withColumn("ord", F.xxhash64("profile", "target", "env_s", "hmm_s")), f"hits-{k}")
         curated = written(hits.curate(found, thr), f"curated-{k}")
         now = curated.select(F.lit(k).alias("iter"), F.col("target").alias("seq_id"))
         seen = now if seen is None else seen.unionByName(now)

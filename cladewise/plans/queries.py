@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.operators import aln, annots, chains, clusters, hits, holdout, profiles, robust, rooting, seqs, trees
+from cladewise.operators import aln, annots, chains, clusters, hits, holdout, profiles, robust, rooting, search, seqs, trees
 from cladewise.plans import iterate, views
 from cladewise.plans.views import sql
 from cladewise.session import table, written
@@ -707,7 +707,7 @@ def chain_scores(spark, d):
 
 @query()
 def profile_search(spark, d):
-    a = views.turn_alignments(spark, d)
-    built = profiles.build(views.doc_alignments(spark, d).withColumn("aln_id", F.concat(F.lit("lang-"), "aln_id")), 0.4)
-    s = a.select((F.col("aln_id") * 1000 + F.col("seq_id")).alias("seq_id"), F.replace("aligned", F.lit("-"), F.lit("")).alias("seq"))
-    return profiles.search(built, s)
+    """Each item's profile on the letters of all documents: hits well above what chance gives."""
+    items = table(spark, d, "benchmark").select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("aln_id"), F.col("item_id").alias("seq_id"), views.letters().alias("aligned"))
+    options = search.Options(k=6, least=12.0, trigger=18.0, minimum=30.0)
+    return search.search(profiles.build(items), views.seqs(spark, d).repartition(spark.sparkContext.defaultParallelism), options=options)

@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.conf.get(key, None)
         if found:
             return found
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master + "[").startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     made = tempfile.mkdtemp(prefix="spark-cladewise-", dir="/tmp")
     spark.conf.set("spark.cladewise.work.dir", made)

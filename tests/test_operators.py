@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cladewise.operators import aln, annots, chains, clusters, hits, profiles, robust, seqs, trees
+from cladewise.operators import aln, annots, chains, clusters, hits, profiles, robust, search, seqs, trees
 from cladewise.plans import iterate
 from cladewise.sources import formats
 from cladewise.streaming import segments
@@ -186,7 +186,7 @@ def test_profiles(spark):
     prof = profiles.build(a)
     assert rows(profiles.consensus(prof)) == [("p", "MKVACDE")]
     s = spark.createDataFrame([("x", "WWWMKVACDEWW"), ("y", "WWWWW"), ("z", "")], "seq_id string, seq string")
-    got = profiles.search(prof, s).collect()
+    got = search.search(prof, s).collect()
     assert [(r.target, r.hmm_s, r.hmm_e, r.env_s, r.env_e) for r in got] == [("x", 1, 7, 4, 10)]
 
 

@@ -45,8 +45,19 @@ def test_chains(spark, data):
 
 
 def test_profile_search_finds_places(spark, data):
-    for r in QUERIES["profile_search"](spark, data).collect():
-        assert r.score > 0 and r.hmm_e - r.hmm_s == r.env_e - r.env_s and r.env_s >= 1
+    """Every item that stands in a document as it is has a hit there, over all its letters."""
+    from cladewise.plans import views
+
+    got = {(r.profile, r.target): r for r in QUERIES["profile_search"](spark, data).orderBy("score").collect()}
+    docs = views.seqs(spark, data).collect()
+    items = spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", views.letters().alias("seq")).collect()
+    n = 0
+    for i in items:
+        for t in docs:
+            if i.seq and i.seq in t.seq:
+                r, n = got[f"B{i.item_id}", t.seq_id], n + 1
+                assert r.hmm_e >= r.hmm_s + 0.9 * len("".join(c for c in i.seq if c in "ACDEFGHIKLMNPQRSTVWY")) - 2 and r.score > 50
+    assert n and all(r.env_s >= 1 and r.score > 30 for r in got.values())
 
 
 def test_smart_trim_columns(spark, data):
