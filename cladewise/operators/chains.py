@@ -95,3 +95,57 @@ def best_chain(chained: DataFrame) -> DataFrame:
     rest = ["chain_no", "span_s", "span_e", "coverage", "score"]
     got = chained.groupBy("profile", "target").agg(F.max_by(F.struct(*rest), F.struct(F.col("score"), -F.col("chain_no"))).alias("b"))
     return got.select("profile", "target", "b.*")
+
+
+def residues(hits: DataFrame, keys: list[str], path: str = "a2m", hmm: str = "hmm_s", start: str = "env_s") -> DataFrame:
+    """keys, hmm_pos, target_pos, aa of every matched residue of each hit's path
+    (matches upper case, insertions lower case, deletions as dashes)."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.select(keys)
+            paths = batch.column("_path").fill_null("").to_pylist()
+            ends = zip(paths, batch.column("_hmm").to_pylist(), batch.column("_start").to_pylist())
+            owner, hp, tp, aa = [], [], [], []
+            for k, (p, h, t) in enumerate(ends):
+                x = np.frombuffer(p.encode("ascii", "replace"), np.uint8)
+                gone, match = x == ord("-"), (x >= ord("A")) & (x <= ord("Z"))
+                some = np.flatnonzero(match)
+                owner.append(np.full(len(some), k))
+                hp.append(h - 1 + np.cumsum(match | gone)[some])
+                tp.append(t - 1 + np.cumsum(~gone)[some])
+                aa += [p[i] for i in some.tolist()]
+            if aa:
+                at = pa.array(np.concatenate(owner))
+                cols = [rows.column(c).take(at) for c in range(len(keys))] + [pa.array(np.concatenate(v).astype(np.int32)) for v in (hp, tp)] + [pa.array(aa)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keys, "hmm_pos", "target_pos", "aa"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hits.select(*keys).schema.fields)
+    got = hits.select(*keys, F.col(path).alias("_path"), F.col(hmm).alias("_hmm"), F.col(start).alias("_start"))
+    return got.mapInArrow(run, f"{kinds}, hmm_pos int, target_pos int, aa string")
+
+
+def residue_scores(hits: DataFrame, emissions: DataFrame, background: DataFrame, start: str = "env_s", end: str = "env_e") -> DataFrame:
+    """profile, target, chain_no, span_s, span_e, score of chains whose hits have paths.
+
+    hits: profile, target, chain_no, ord (tells a chain's hits apart), score, hmm_s, a2m
+    and the region columns. emissions: profile, pos, aa, nlp; background: profile, aa, nlp.
+    Each matched residue has the log-odds of its emission; a hit's residues are scaled
+    so that they add up to its score (all 0 if either sum is 0). Residues at one place
+    of the profile count by their mean, and likewise on the target; the score is half of
+    the sum over both. A residue without an emission counts as 0.
+    """
+    key = ["profile", "target", "chain_no"]
+    hit = [*key, "ord"]
+    r = residues(hits, hit, start=start)
+    odds = emissions.select("profile", F.col("pos").alias("hmm_pos"), "aa", "nlp").join(background.select("profile", "aa", F.col("nlp").alias("b")), ["profile", "aa"]).select("profile", "hmm_pos", "aa", (F.col("b") - F.col("nlp")).alias("raw"))
+    r = r.join(odds, ["profile", "hmm_pos", "aa"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
+    total = r.groupBy(*hit).agg(F.sum("raw").alias("total")).join(hits.select(*hit, "score"), hit)
+    scale = total.select(*hit, F.when(F.abs("total") > 1e-12, F.col("score") / F.col("total")).otherwise(0.0).alias("scale"))
+    part = r.join(scale, hit).select(*key, "hmm_pos", "target_pos", (F.col("raw") * F.col("scale")).alias("x"))
+    sides = part.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("hmm_pos").alias("pos")), F.struct(F.lit(1).alias("side"), F.col("target_pos").alias("pos")))).alias("p"), "x")
+    means = sides.groupBy(*key, "p").agg(F.avg("x").alias("x")).groupBy(*key).agg((F.sum("x") / 2).alias("score"))
+    spans = hits.groupBy(*key).agg(F.min(start).alias("span_s"), F.max(end).alias("span_e"))
+    return spans.join(means, key, "left").select(*key, "span_s", "span_e", F.coalesce("score", F.lit(0.0)).alias("score"))

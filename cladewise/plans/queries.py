@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.operators import aln, annots, chains, clusters, hits, holdout, profiles, robust, rooting, search, seqs, trees
+from cladewise.operators import aln, annots, chains, clusters, hits, holdout, levels, profiles, robust, rooting, search, seqs, trees
 from cladewise.plans import iterate, views
 from cladewise.plans.views import sql
 from cladewise.session import table, written
@@ -705,6 +705,70 @@ def chain_scores(spark, d):
     return chains.best_chain(_chains(spark, d))
 
 
+EMIT = "((pos * 7 + code * 13 + k * 5) % 50) / 10.0 + 0.3"
+
+
+def _paths(spark, d):
+    """Hits with paths made of the part's words, and tables of emissions and background."""
+    li, part = table(spark, d, "lineitem"), table(spark, d, "part")
+    path = F.regexp_replace(F.concat("p_type", F.lit("-"), F.lower("p_name"), F.lit("-"), F.upper("p_name")), "[^A-Za-z-]", "")
+    h = li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.concat(F.lit("P"), (F.col("l_suppkey") % 7).cast("string")).alias("profile"), F.col("l_orderkey").alias("target"), (F.col("l_linenumber") % 2).cast("int").alias("chain_no"),
+        (F.col("l_partkey") * 100000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("ord"), F.sqrt("l_extendedprice").alias("score"), (1 + (F.col("l_partkey") * 7 + F.col("l_linenumber") * 13) % 150).cast("int").alias("hmm_s"),
+        (1 + (F.col("l_partkey") * 11) % 20).cast("int").alias("env_s"), (40 + (F.col("l_partkey") * 11) % 20).cast("int").alias("env_e"), path.alias("a2m"),
+    )
+    letters = F.posexplode(F.split(F.lit("ACDEFGHIKLMNPQRSTVWY"), "")).alias("code", "aa")
+    grid = spark.range(7).select(F.col("id").alias("k")).select("k", F.explode(F.sequence(F.lit(1), F.lit(260))).alias("pos")).select("k", "pos", letters)
+    emit = grid.select(F.concat(F.lit("P"), F.col("k").cast("string")).alias("profile"), "pos", "aa", F.expr(EMIT).cast("double").alias("nlp"))
+    return h, emit, emit.select("profile", "aa").distinct().withColumn("nlp", F.lit(3.0))
+
+
+@query(f"""WITH h AS (SELECT concat('P', l_suppkey % 7) AS profile, l_orderkey AS target, CAST(l_linenumber % 2 AS INT) AS chain_no, l_partkey * 100000000 + l_suppkey * 100 + l_linenumber AS ord, sqrt(l_extendedprice) AS score,
+  CAST(1 + (l_partkey * 7 + l_linenumber * 13) % 150 AS INT) AS hmm_s, CAST(1 + (l_partkey * 11) % 20 AS INT) AS env_s, CAST(40 + (l_partkey * 11) % 20 AS INT) AS env_e, string_split(regexp_replace(concat(p_type, '-', lower(p_name), '-', upper(p_name)), '[^A-Za-z-]', '', 'g'), '') AS a FROM lineitem JOIN part ON l_partkey = p_partkey),
+e AS (SELECT concat('P', k) AS profile, pos, substr('ACDEFGHIKLMNPQRSTVWY', code + 1, 1) AS aa, CAST({EMIT} AS DOUBLE) AS nlp FROM (SELECT unnest(range(7)) AS k), (SELECT unnest(range(1, 261)) AS pos), (SELECT unnest(range(20)) AS code)),
+c AS (SELECT * EXCLUDE (a), unnest(a) AS ch, generate_subscripts(a, 1) AS i FROM h), q AS (SELECT *, ch BETWEEN 'A' AND 'Z' AS m, hmm_s - 1 + sum(CAST(ch BETWEEN 'A' AND 'Z' OR ch = '-' AS INT)) OVER w AS hp, env_s - 1 + sum(CAST(ch <> '-' AS INT)) OVER w AS tp FROM c WINDOW w AS (PARTITION BY profile, target, chain_no, ord ORDER BY i)),
+r AS (SELECT q.*, coalesce(3.0 - nlp, 0.0) AS raw FROM q LEFT JOIN e ON e.profile = q.profile AND pos = hp AND aa = ch WHERE m), t AS (SELECT profile, target, chain_no, ord, sum(raw) AS total FROM r GROUP BY ALL),
+x AS (SELECT profile, target, chain_no, hp, tp, CASE WHEN abs(total) > 1e-12 THEN raw * score / total ELSE 0.0 END AS x FROM r JOIN t USING (profile, target, chain_no, ord)),
+y AS (SELECT profile, target, chain_no, avg(x) AS x FROM x GROUP BY profile, target, chain_no, hp UNION ALL SELECT profile, target, chain_no, avg(x) FROM x GROUP BY profile, target, chain_no, tp)
+SELECT s.*, round(coalesce(v, 0.0), 6) AS score FROM (SELECT profile, target, chain_no, min(env_s) AS span_s, max(env_e) AS span_e FROM h GROUP BY ALL) s LEFT JOIN (SELECT profile, target, chain_no, sum(x) / 2 AS v FROM y GROUP BY ALL) USING (profile, target, chain_no)""")
+def residue_chain_scores(spark, d):
+    return chains.residue_scores(*_paths(spark, d)).withColumn("score", r6("score"))
+
+
+def _labels(spark, d):
+    """Four clusterings of the customers."""
+    c = table(spark, d, "customer")
+    kinds = [F.col("c_nationkey").cast("string"), F.col("c_mktsegment"), (F.col("c_nationkey") % 5).cast("string"), F.floor(F.col("c_acctbal") / 1000).cast("string")]
+    return c.select(F.col("c_custkey").alias("unit"), F.posexplode(F.array(*kinds)).alias("sample", "c"))
+
+
+LABELS = """l AS (SELECT c_custkey AS unit, 0 AS sample, CAST(c_nationkey AS VARCHAR) AS c FROM customer UNION ALL SELECT c_custkey, 1, c_mktsegment FROM customer UNION ALL SELECT c_custkey, 2, CAST(c_nationkey % 5 AS VARCHAR) FROM customer UNION ALL SELECT c_custkey, 3, CAST(CAST(floor(c_acctbal / 1000) AS BIGINT) AS VARCHAR) FROM customer),
+n AS (SELECT x.sample AS a, y.sample AS b, x.c AS ca, y.c AS cb, CAST(count(*) AS DOUBLE) AS n FROM l x JOIN l y ON x.unit = y.unit AND x.sample < y.sample GROUP BY ALL), t AS (SELECT a, b, sum(n) AS t FROM n GROUP BY ALL),
+na AS (SELECT a, b, ca, sum(n) AS k FROM n GROUP BY ALL), nb AS (SELECT a, b, cb, sum(n) AS k FROM n GROUP BY ALL),
+ha AS (SELECT a, b, -sum(k / t * ln(k / t)) AS h, sum(k * (k - 1) / 2) AS s FROM na JOIN t USING (a, b) GROUP BY ALL), hb AS (SELECT a, b, -sum(k / t * ln(k / t)) AS h, sum(k * (k - 1) / 2) AS s FROM nb JOIN t USING (a, b) GROUP BY ALL),
+mi AS (SELECT n.a, n.b, sum(n / t * ln(n * t / (na.k * nb.k))) AS mi, sum(n * (n - 1) / 2) AS s, max(t * (t - 1) / 2) AS every FROM n JOIN na ON na.a = n.a AND na.b = n.b AND na.ca = n.ca JOIN nb ON nb.a = n.a AND nb.b = n.b AND nb.cb = n.cb JOIN t ON t.a = n.a AND t.b = n.b GROUP BY ALL),
+pm AS (SELECT mi.a, mi.b, 2 * mi / (ha.h + hb.h) AS nmi, (mi.s - ha.s * hb.s / every) / ((ha.s + hb.s) / 2 - ha.s * hb.s / every) AS ari FROM mi JOIN ha ON ha.a = mi.a AND ha.b = mi.b JOIN hb ON hb.a = mi.a AND hb.b = mi.b)"""
+
+
+@query(f"WITH {LABELS} SELECT a, b, round(nmi, 6) AS nmi, round(ari, 6) AS ari FROM pm")
+def replicate_pairs(spark, d):
+    return levels.pair_metrics(_labels(spark, d)).select("a", "b", r6("nmi").alias("nmi"), r6("ari").alias("ari"))
+
+
+@query(f"""WITH {LABELS}, s AS (SELECT sample, avg(nmi) AS score FROM (SELECT a AS sample, nmi FROM pm UNION ALL SELECT b, nmi FROM pm) GROUP BY sample)
+SELECT sample, round(score, 6) AS score, round((SELECT avg(nmi) FROM pm), 6) AS overall, row_number() OVER (ORDER BY round(score, 9) DESC, sample) = 1 AS best FROM s""")
+def replicate_scores(spark, d):
+    return levels.sample_scores(_labels(spark, d)).select("sample", r6("score").alias("score"), r6("overall").alias("overall"), "best")
+
+
+@query()
+def cluster_levels(spark, d):
+    """Three levels over all documents, with three samples a level: clusters with their sequences."""
+    found = levels.cascade_levels(views.seqs(spark, d), (0.8, 0.8), [(0.5, 0.6), (0.3, 0.5)])
+    parts = [levels.expanded(found, k).select(F.lit(k).alias("level"), "rep", "member") for k in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query()
 def profile_search(spark, d):
     """Each item's profile on the letters of all documents: hits well above what chance gives."""
