@@ -8,7 +8,7 @@ Newick texts are read one text at a time, many of them in parallel.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -388,3 +388,43 @@ def node_rows(root: Node) -> list[tuple]:
 
 
 NODE_SCHEMA = "name string, parent string, depth int, support double, dist double, is_leaf boolean, pre bigint, post bigint"
+
+
+def read_newick(spark: SparkSession, path: str) -> DataFrame:
+    """Node tables of Newick files, one tree a file, many files in parallel: file and the columns of NODE_SCHEMA.
+
+    Inner nodes are named N0, N1, ... in preorder; numeric labels are supports, other labels are dropped."""
+
+    def rows(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for f, text in zip(pdf["file"], pdf["value"]):
+                got = node_rows(label_inner(parse_newick(text)))
+                yield pd.DataFrame([(f, *r) for r in got], columns=["file", *(x.split()[0] for x in NODE_SCHEMA.split(", "))])
+
+    texts = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    return texts.mapInPandas(rows, f"file string, {NODE_SCHEMA}")
+
+
+def relabelled_newick(texts: DataFrame, labels: dict[str, str], ignore_missing: bool = False) -> DataFrame:
+    """Newick texts (value) in which only the inner nodes that ``labels`` names have a label, the new one.
+
+    A label that a text lacks is an error, or is passed over. Leaves keep their names."""
+    if len(set(labels.values())) < len(labels):
+        raise ValueError("two nodes would have one label")
+
+    def run(batches):
+        import re
+
+        # A label stands between a closing bracket and what ends it.
+        inner = re.compile(r"\)([^:;,()]*)")
+        for pdf in batches:
+            for k, text in zip(pdf.index, pdf["value"]):
+                lost = set(labels) - set(inner.findall(text))
+                if lost and not ignore_missing:
+                    raise ValueError(f"not in the tree: {', '.join(sorted(lost))}")
+                pdf.loc[k, "value"] = inner.sub(lambda m: ")" + labels.get(m[1], ""), text)
+            yield pdf
+
+    return texts.select("value").mapInPandas(run, "value string")

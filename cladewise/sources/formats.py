@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from cladewise.operators.ranges import running
+from cladewise.session import written
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -120,20 +122,33 @@ def taxon_lineage(records: DataFrame) -> DataFrame:
 
 
 def cluster_file(spark: SparkSession, path: str) -> DataFrame:
-    """rep, member, ord of a double-header cluster file: two headers in a row begin a cluster.
+    """rep, member, ord of double-header cluster files: two headers in a row begin a cluster.
 
-    The file is one sequence of lines, so each file is numbered as a whole.
+    Records are split at headers in the reader, so several tasks read one file. Which
+    cluster a record is in, and what stood before it, follows from running counts
+    over the file's records, passed on from one split to the next.
     """
-    lines = spark.read.text(path).withColumn("file", F.input_file_name()).withColumn("ord", F.monotonically_increasing_id())
-    w = W.partitionBy("file").orderBy("ord")
-    head = F.col("value").startswith(">")
-    h = lines.withColumn("head", head).withColumn("next", F.lead(head, 1, False).over(w)).withColumn("prev", F.lag(head, 1, False).over(w))
-    h = h.withColumn("new", F.col("head") & F.col("next") & ~F.col("prev"))
-    h = h.withColumn("cluster", F.sum(F.col("new").cast("int")).over(w)).filter(F.col("head"))
-    name = F.regexp_extract("value", r"^>(\S*)", 1)
-    named = h.withColumn("name", name)
-    reps = named.filter("new").select("file", "cluster", F.col("name").alias("rep"))
-    return named.filter("NOT new").join(reps, ["file", "cluster"]).select("rep", F.col("name").alias("member"), "ord")
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ord"), F.regexp_replace("value", "^>", "").alias("r"))
+    bare = F.regexp_replace(F.regexp_replace("r", r"^[^\n]*", ""), r"\s", "") == ""
+    recs = raw.filter(F.trim("r") != "").select("file", "ord", F.regexp_extract("r", r"^(\S*)", 1).alias("name"), bare.alias("bare"), F.lit(1).alias("one"))
+    recs = written(running(recs, ["file"], "ord", {"nth": "one"}).drop("one"), "records")
+    before = recs.select("file", (F.col("nth") + 1).alias("nth"), F.col("bare").alias("was"))
+    after = recs.select("file", (F.col("nth") - 1).alias("nth"), F.lit(True).alias("more"))
+    j = recs.join(before, ["file", "nth"], "left").join(after, ["file", "nth"], "left")
+    new = F.col("bare") & F.coalesce("more", F.lit(False)) & ~F.coalesce("was", F.lit(False))
+    j = running(j.select("file", "ord", "name", new.cast("int").alias("new")), ["file"], "ord", {"cluster": "new"})
+    j = written(j, "clustered-records")
+    reps = j.filter("new = 1").select("file", "cluster", F.col("name").alias("rep"))
+    return j.filter("new = 0").join(reps, ["file", "cluster"]).select("rep", F.col("name").alias("member"), "ord")
+
+
+PARC_HITS = "signatureSequenceMatch array<struct<_database:string,_id:string,ipr:struct<_name:string,_id:string>,lcn:array<struct<_start:int,_end:int>>>>"
+
+
+def interpro_hits(records: DataFrame) -> DataFrame:
+    """acc, interpro_id, name, database, start, end: the signature matches of archive records (acc, body), one row for each place."""
+    m = records.select("acc", F.explode(F.from_xml("body", PARC_HITS).getField("signatureSequenceMatch")).alias("m")).filter("m.ipr IS NOT NULL")
+    return m.select("acc", F.col("m.ipr._id").alias("interpro_id"), F.col("m.ipr._name").alias("name"), F.col("m._database").alias("database"), F.explode("m.lcn").alias("l")).select("acc", "interpro_id", "name", "database", F.col("l._start").alias("start"), F.col("l._end").alias("end"))
 
 
 def profile_text(spark: SparkSession, path: str) -> DataFrame:
