@@ -5,34 +5,14 @@ Every query reads whole tables through the views of views.py.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladewise.operators import aln, annots, chains, clusters, hits, holdout, levels, profiles, robust, rooting, search, seqs, trees
-from cladewise.plans import iterate, views
+from cladewise.plans import files, iterate, views  # noqa: F401  (files registers its own queries)
+from cladewise.plans.registry import ORACLE_SQL, QUERIES, query, r6  # noqa: F401
 from cladewise.plans.views import sql
 from cladewise.session import table, written
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE_SQL[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def r6(c):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
-
-
 # -- hits ------------------------------------------------------------------------------
 
 BEST = "best AS (SELECT profile, target, arg_max(struct_pack(score := score, ord := ord, hmm_s := hmm_s, hmm_e := hmm_e, env_s := env_s, env_e := env_e), struct_pack(a := score, b := -ord)) AS b FROM hits GROUP BY profile, target),\nbest1 AS (SELECT profile, target, b.score AS score, b.ord AS ord, b.hmm_s AS hmm_s, b.hmm_e AS hmm_e, b.env_s AS env_s, b.env_e AS env_e FROM best)"
