@@ -14,20 +14,14 @@ from cladewise.operators.ranges import running
 
 
 def blocks(lo: str, hi: str) -> Column:
-    """Aligned blocks (size: power of two, at: number) that make up lo to hi, both inclusive."""
-    # From below the odd ends are taken while both bounds are halved.
-    none = F.array().cast("array<struct<size:int,at:bigint>>")
-    start = F.struct(F.col(lo).cast("bigint").alias("a"), (F.col(hi) + 1).cast("bigint").alias("b"), none.alias("got"))
-
-    def step(s: Column, k: Column) -> Column:
-        live = s["a"] < s["b"]
-        one = lambda at: F.array(F.struct(k.cast("int").alias("size"), at.alias("at")))
-        left, right = live & (s["a"] % 2 == 1), live & (s["b"] % 2 == 1)
-        got = F.concat(s["got"], F.when(left, one(s["a"])).otherwise(none), F.when(right & (s["a"] + left.cast("int") < s["b"]), one(s["b"] - 1)).otherwise(none))
-        half = lambda x: F.shiftright(x, 1)
-        return F.struct(half(s["a"] + left.cast("int")).cast("bigint").alias("a"), half(s["b"] - right.cast("int")).cast("bigint").alias("b"), got.alias("got"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), start, step, lambda s: s["got"])
+    """Aligned blocks (size: power of two, at: number) that make up lo to hi, both inclusive.
+
+    Of each size the first block not before lo, if its number is odd, and the last one not
+    beyond hi, if it is even: the others are halves of larger ones."""
+    a, b = f"shiftright({lo} + shiftleft(1L, k) - 1, k)", f"shiftright({hi} + 1, k)"
+    one = f"named_struct('size', k, 'at', CASE WHEN {a} < {b} AND {a} % 2 = 1 THEN {a} END)"
+    two = f"named_struct('size', k, 'at', CASE WHEN {a} < {b} AND {b} % 2 = 1 THEN {b} - 1 END)"
+    return F.expr(f"filter(flatten(transform(sequence(0, 61), k -> array({one}, {two}))), x -> x.at IS NOT NULL)")
 
 
 def contained(points: DataFrame, at: str, intervals: DataFrame, lo: str, hi: str) -> DataFrame:
