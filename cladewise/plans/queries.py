@@ -743,8 +743,9 @@ def replicate_scores(spark, d):
 
 @query()
 def cluster_levels(spark, d):
-    """Two levels over all documents, the upper one with three samples: clusters with their sequences."""
-    found = levels.cascade_levels(views.seqs(spark, d), (0.8, 0.8), [(0.4, 0.5)])
+    """Two levels over all turns of conversations, the upper one with three samples: clusters with their sequences."""
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq_id"), views.letters().alias("seq"))
+    found = levels.cascade_levels(turns, (0.8, 0.8), [(0.4, 0.5)])
     parts = [levels.expanded(found, k).select(F.lit(k).alias("level"), "rep", "member") for k in range(2)]
     return parts[0].unionByName(parts[1])
 
