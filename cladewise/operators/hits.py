@@ -53,6 +53,16 @@ def curate(hits: DataFrame, thresholds: DataFrame) -> DataFrame:
     return picked.select("target", "profile", "score", "env_s", "env_e", "n_profiles")
 
 
+def curate_chains(best: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Curation by chains: best (profile, target, score, span_s, span_e), thresholds (profile, threshold, ord).
+
+    A target stays if the best chain of some profile reaches that profile's threshold; its
+    interval is the span of the first such profile in the order of the thresholds."""
+    ok = over_threshold(best, thresholds)
+    got = ok.groupBy("target").agg(F.min_by(F.struct("profile", "score", F.col("span_s").alias("env_s"), F.col("span_e").alias("env_e")), F.struct("ord", "profile")).alias("b"), F.count("*").alias("n_profiles"))
+    return got.select("target", "b.*", "n_profiles")
+
+
 def extract_domains(curated: DataFrame, sequences: DataFrame) -> DataFrame:
     """Curated targets with their full sequence and the part inside their interval (1-based, inclusive)."""
     j = curated.join(sequences, F.col("target") == F.col("seq_id"))
@@ -115,6 +125,33 @@ def reciprocal_map(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return one.join(two.select(F.col(a).alias("_a"), F.col(b).alias("_b")), (F.col(a) == F.col("_a")) & (F.col(b) == F.col("_b"))).drop("_a", "_b")
 
 
+def bounded_pairs(best: DataFrame, min_id: float, min_cov: float) -> DataFrame:
+    """Best hits (query, target, identity, coverage, ...) within both bounds; a null figure is not."""
+    return best.filter((F.col("identity") >= min_id) & (F.col("coverage") >= min_cov))
+
+
+def tree_mapping(there: DataFrame, back: DataFrame, clades_there: DataFrame, clades_back: DataFrame, min_id: float = 80, min_cov: float = 80, label: str = "tree_mapping", prefix: str = "map", clade_prefix: str = "") -> tuple[DataFrame, DataFrame]:
+    """Annotations (seq_id, field, value) of the sequences of two trees by each other's.
+
+    there: best hits of the first tree's sequences in the second's (query, target,
+    identity, coverage, ord); back: the other way. clades: clade, seq_id on either
+    side. For the second tree: each hit within the bounds names its query as
+    ``label``, and as ``prefix``_clade for each clade of the query; of several queries
+    the last one (by ord, then query) stands. Its own clades are "True".
+    """
+
+    def marks(best: DataFrame, clades: DataFrame, own: DataFrame) -> DataFrame:
+        good = bounded_pairs(best, min_id, min_cov)
+        last = F.max_by(F.col("query").cast("string"), F.struct("ord", "query")).alias("value")
+        every = good.groupBy(F.col("target").alias("seq_id")).agg(last).select("seq_id", F.lit(label).alias("field"), "value")
+        field = F.concat(F.lit(f"{prefix}_"), "clade")
+        by_clade = good.join(clades.distinct(), F.col("query") == F.col("seq_id")).drop("seq_id").groupBy(F.col("target").alias("seq_id"), field.alias("field")).agg(last)
+        name = F.concat(F.lit(f"{clade_prefix}_" if clade_prefix else ""), "clade")
+        return every.unionByName(by_clade).unionByName(own.distinct().select("seq_id", name.alias("field"), F.lit("True").alias("value")))
+
+    return marks(back, clades_back, clades_there), marks(there, clades_there, clades_back)
+
+
 def shared_words(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 5) -> DataFrame:
     """Pairs of texts by the number of distinct k-word sequences they share.
 

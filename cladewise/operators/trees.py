@@ -358,7 +358,7 @@ def neighbour_joining(names: list[str], dist) -> Node:
         np.fill_diagonal(q, np.inf)
         i, j = sorted(np.unravel_index(int(np.argmin(q)), q.shape))
         di = max(0.0, 0.5 * d[i, j] + (s[i] - s[j]) / (2 * (n - 2)))
-        nodes[i].dist, nodes[j].dist = di, max(0.0, d[i, j] - di)
+        nodes[i].dist, nodes[j].dist = float(di), max(0.0, float(d[i, j] - di))
         new = 0.5 * (d[i] + d[j] - d[i, j])
         keep = [k for k in range(n) if k not in (i, j)]
         d = np.block([[d[np.ix_(keep, keep)], new[keep][:, None]], [new[keep][None, :], np.zeros((1, 1))]])

@@ -1,4 +1,4 @@
-"""From a tree and its alignment to profiles with thresholds, for the clades that stand on their own."""
+"""Between profiles and trees: profiles of the clades of a tree that stand on their own, and a tree of what profiles find."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladewise.operators import clades, holdout, rooting, search, trees
+from cladewise.operators import aln, chains, clades, clusters, hits, holdout, levels, rooting, search, trees
 from cladewise.session import written
 
 
@@ -62,6 +62,92 @@ def tree_to_profiles(
     return Clades(tree, kept, passed, good.select("clade", F.col("name").alias("seq_id")), made, bounds)
 
 
+@dataclass
+class Tree:
+    """curated: target, profile, score, env_s, env_e, n_profiles. domains: target, seq, domain.
+    found: the levels of clustering, level: the one whose representatives are in the tree.
+    unaligned: representatives (seq_id) that the leading profile does not hit. rejected: seq_id, why.
+    alignment: seq_id, aligned (trimmed). tree: its node table; newick: its text."""
+
+    curated: DataFrame
+    domains: DataFrame
+    found: levels.Levels
+    level: int
+    unaligned: DataFrame
+    rejected: DataFrame
+    alignment: DataFrame
+    tree: DataFrame
+    newick: str
+
+
+def curated_chains(found: DataFrame, profiles: DataFrame, thresholds: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """Curation by best chains of hits; thresholds stand in order of their names unless they have an ord."""
+    lengths = profiles.groupBy("profile").agg(F.max("pos").alias("len"))
+    order = thresholds if "ord" in thresholds.columns else thresholds.withColumn("ord", F.lit(0))
+    numbered = found.withColumn("ord", F.xxhash64("env_s", "env_e", "hmm_s", "hmm_e"))
+    return hits.curate_chains(chains.best_chain(chains.chains(numbered, lengths, tolerance)), order)
+
+
+def on_profile(profile: DataFrame, domains: DataFrame, options: search.Options | None = None) -> DataFrame:
+    """Domains (seq_id, seq) by the columns of one profile: seq_id, aligned. Insertions are left out,
+    columns before and after the best hit are gaps; a domain without a hit has no row."""
+    found = search.search(profile, domains, options=options)
+    best = found.groupBy("target").agg(F.max_by(F.struct("hmm_s", "a2m"), F.struct("score", -F.col("hmm_s"), -F.col("env_s"))).alias("b"))
+    width = profile.agg(F.max("pos").alias("width"))
+    row = F.rpad(F.concat(F.repeat(F.lit("-"), F.col("b.hmm_s") - 1), F.regexp_replace("b.a2m", "[a-z]", "")), F.col("width"), F.lit("-"))
+    return best.crossJoin(F.broadcast(width)).select(F.col("target").alias("seq_id"), row.alias("aligned"))
+
+
+def profiles_to_tree(
+    profiles: DataFrame, thresholds: DataFrame, sequences: DataFrame, mode: str = "dom", bounds: tuple[tuple[float, float], ...] = ((0.99, 0.95), (0.9, 0.9), (0.7, 0.8), (0.5, 0.8)),
+    samples: int = 3, most: int = 500, level: int | None = None, share: float = 0.01, gt: float = 0.1, options: search.Options | None = None,
+) -> Tree:
+    """Search, curate (best domains or chains), cluster the domains in levels, take the representatives of the
+    first level with at most ``most`` clusters (or of ``level``), align them by the columns of the profile
+    with most targets, drop odd rows and sparse columns, and join neighbours.
+
+    The tree is made on the driver, so more than ``most`` representatives are refused
+    before anything of them is collected. sequences: seq_id (string), seq. Pairs without a common
+    column have distance 1.
+    """
+    if mode not in ("dom", "chain"):
+        raise ValueError(f"no such way of curation: {mode}")
+    found = written(search.search(profiles, sequences, options=options), "hits")
+    if mode == "dom":
+        curated = hits.curate(found.withColumn("ord", F.xxhash64("env_s", "env_e", "hmm_s")), thresholds)
+    else:
+        curated = curated_chains(found, profiles, thresholds)
+    curated = written(curated, "curated")
+    domains = written(hits.extract_domains(curated, sequences), "domains")
+    given = domains.select(F.col("target").alias("seq_id"), F.col("domain").alias("seq"))
+    cascade = levels.cascade_levels(given, bounds[0], list(bounds[1:]), samples)
+    k = clusters.level_pick(cascade.clusters, most).first().level if level is None else level
+    if k is None:
+        raise ValueError("nothing was found that reaches its threshold")
+    reps = written(cascade.clusters.filter(F.col("level") == k).select(F.col("rep").alias("seq_id")).distinct(), "reps")
+    n = reps.count()
+    if n > most:
+        raise ValueError(f"level {k} has {n} clusters, more than {most}")
+    lead = curated.groupBy("profile").agg(F.count("*").alias("n")).agg(F.min_by("profile", F.struct(-F.col("n"), F.col("profile"))).alias("profile"))
+    placed = written(on_profile(profiles.join(F.broadcast(lead), "profile", "left_semi"), given.join(reps, "seq_id", "left_semi"), options), "placed")
+    one = placed.withColumn("aln_id", F.lit("tree"))
+    rejected = written(aln.qc_rejects(one, gt, share).select("seq_id", "why"), "rejected")
+    good = one.join(rejected, "seq_id", "left_anti")
+    kept = aln.kept_columns(good, gt)
+    gone = aln.occupancy(good).join(kept, ["aln_id", "col"], "left_anti").select("aln_id", "col")
+    trimmed = written(aln.without_columns(good, gone).select("aln_id", "seq_id", "aligned"), "trimmed")
+    names = [r.seq_id for r in trimmed.select("seq_id").orderBy("seq_id").collect()]
+    at = {x: i for i, x in enumerate(names)}
+    dist = [[0.0 if i == j else 1.0 for j in range(len(names))] for i in range(len(names))]
+    for r in aln.pair_stats(trimmed).select("a", "b", "identity").filter("identity IS NOT NULL").toLocalIterator():
+        dist[at[r.a]][at[r.b]] = dist[at[r.b]][at[r.a]] = 1.0 - r.identity
+    if not names:
+        raise ValueError("no representative is left for the tree")
+    root = trees.label_inner(trees.neighbour_joining(names, dist))
+    nodes = sequences.sparkSession.createDataFrame(trees.node_rows(root), trees.NODE_SCHEMA)
+    return Tree(curated, domains, cascade, k, reps.join(placed, "seq_id", "left_anti"), rejected, trimmed.select("seq_id", "aligned"), nodes, trees.to_newick(root, supports=False))
+
+
 def main(argv: list[str] | None = None) -> None:
     from cladewise.sources import formats
 

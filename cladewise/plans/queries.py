@@ -5,9 +5,10 @@ Every query reads whole tables through the views of views.py.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladewise.operators import aln, annots, chains, clusters, hits, holdout, levels, profiles, robust, rooting, search, seqs, trees
+from cladewise.operators import aln, annots, chains, clusters, hits, holdout, levels, profiles, realign, robust, rooting, search, seqs, trees
 from cladewise.plans import files, iterate, views  # noqa: F401  (files registers its own queries)
 from cladewise.plans.registry import ORACLE_SQL, QUERIES, query, r6  # noqa: F401
 from cladewise.plans.views import sql
@@ -94,6 +95,42 @@ def reciprocal_map(spark, d):
     return hits.reciprocal_map(_pairs(spark, d), "doc_id", "item_id")
 
 
+BOTH_WAYS = """f AS (SELECT l_orderkey AS o, l_partkey AS p, l_extendedprice AS price, l_quantity * 2 AS identity, l_discount * 1000 AS coverage, l_partkey * 100000000 + l_suppkey * 100 + l_linenumber AS ord FROM lineitem),
+t1 AS (SELECT o AS q, p AS t, identity, coverage, ord FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY price DESC, ord DESC, p DESC) AS rn FROM f) WHERE rn = 1), t2 AS (SELECT p AS q, o AS t, identity, coverage, ord FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY price DESC, ord DESC, o DESC) AS rn FROM f) WHERE rn = 1),
+c1 AS (SELECT o_orderpriority AS clade, o_orderkey AS s FROM orders), c2 AS (SELECT p_brand AS clade, p_partkey AS s FROM part)"""
+
+
+def _marks_sql(best: str, clades: str, own: str, tree: int) -> str:
+    last = "CAST(arg_max(q, struct_pack(a := ord, b := q)) AS VARCHAR)"
+    good = f"(SELECT * FROM {best} WHERE identity >= 40 AND coverage >= 40)"
+    return f"""SELECT {tree} AS tree, t AS seq_id, 'tree_mapping' AS field, {last} AS value FROM {good} GROUP BY t UNION ALL SELECT {tree}, t, concat('map_', clade), {last} FROM {good} JOIN {clades} ON q = s GROUP BY t, clade
+UNION ALL SELECT {tree}, s, concat('own_', clade), 'True' FROM {own}"""
+
+
+@query(f"WITH {BOTH_WAYS} {_marks_sql('t2', 'c2', 'c1', 1)} UNION ALL {_marks_sql('t1', 'c1', 'c2', 2)}")
+def tree_mapping(spark, d):
+    li = table(spark, d, "lineitem")
+    ord_ = F.col("l_partkey") * 100000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")
+
+    def best(query: str, target: str) -> DataFrame:
+        one = F.struct(F.col(target).alias("target"), (F.col("l_quantity") * 2).alias("identity"), (F.col("l_discount") * 1000).alias("coverage"), ord_.alias("ord"))
+        return li.groupBy(F.col(query).alias("query")).agg(F.max_by(one, F.struct("l_extendedprice", ord_, target)).alias("b")).select("query", "b.*")
+
+    one = table(spark, d, "orders").select(F.col("o_orderpriority").alias("clade"), F.col("o_orderkey").alias("seq_id"))
+    two = table(spark, d, "part").select(F.col("p_brand").alias("clade"), F.col("p_partkey").alias("seq_id"))
+    first, second = hits.tree_mapping(best("l_orderkey", "l_partkey"), best("l_partkey", "l_orderkey"), one, two, 40, 40, clade_prefix="own")
+    return first.select(F.lit(1).alias("tree"), "seq_id", "field", "value").union(second.select(F.lit(2), "seq_id", "field", "value"))
+
+
+@query(sql("hits thr", """, c AS (SELECT profile, target, CAST(ord % 2 AS INT) AS chain_no, sum(score) AS score, min(env_s) AS span_s, max(env_e) AS span_e FROM hits GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY profile, target ORDER BY score DESC, chain_no) AS rn FROM c), ok AS (SELECT b.*, row_number() OVER (PARTITION BY target ORDER BY profile) AS i, count(*) OVER (PARTITION BY target) AS n_profiles FROM b JOIN thr USING (profile) WHERE rn = 1 AND score >= threshold)
+SELECT target, profile, round(score, 6) AS score, span_s AS env_s, span_e AS env_e, n_profiles FROM ok WHERE i = 1"""))
+def curate_chains(spark, d):
+    c = views.hits(spark, d).groupBy("profile", "target", (F.col("ord") % 2).cast("int").alias("chain_no")).agg(F.sum("score").alias("score"), F.min("env_s").alias("span_s"), F.max("env_e").alias("span_e")).withColumn("coverage", F.lit(0))
+    thr = views.thresholds(spark).withColumn("ord", F.substring("profile", 2, 1).cast("int"))
+    return hits.curate_chains(chains.best_chain(c), thr).withColumn("score", r6("score"))
+
+
 # -- sequences ---------------------------------------------------------------------------
 
 
@@ -207,6 +244,14 @@ def pair_identity(spark, d):
     return aln.pair_stats(views.turn_alignments(spark, d)).select("aln_id", "a", "b", F.col("n_both").cast("bigint").alias("n_both"), F.col("n_same").cast("bigint").alias("n_same"), r6("identity").alias("identity"))
 
 
+@query()
+def pair_realigned(spark, d):
+    """The rows of each conversation without their gaps, every pair aligned anew."""
+    t = views.turn_alignments(spark, d).select(F.struct("aln_id", "seq_id").alias("seq_id"), F.col("aln_id").alias("grp"), F.replace("aligned", F.lit("-"), F.lit("")).alias("seq"))
+    got = realign.pair_identities(t, realign.within(t))
+    return got.select(F.col("a.aln_id").alias("aln_id"), F.col("a.seq_id").alias("a"), F.col("b.seq_id").alias("b"), "n_same", "n_both", r6("identity").alias("identity"))
+
+
 @query(sql("turns", f", {PAIRS} SELECT aln_id, a, b, round(coverage, 6) AS coverage FROM ps"))
 def pair_coverage(spark, d):
     return aln.pair_stats(views.turn_alignments(spark, d)).select("aln_id", "a", "b", r6("coverage").alias("coverage"))
@@ -318,6 +363,24 @@ def cluster_metrics_customers(spark, d):
     return _compared(c.select(F.col("c_custkey").alias("member"), F.col("c_mktsegment").alias("c")), c.select(F.col("c_custkey").alias("member"), F.col("c_nationkey").alias("c")))
 
 
+@query("""WITH n AS (SELECT c_mktsegment AS c1, c_nationkey AS c2, CAST(count(*) AS DOUBLE) AS n FROM customer GROUP BY ALL), t AS (SELECT sum(n) AS t FROM n), x AS (SELECT c1, sum(n) AS a FROM n GROUP BY c1), y AS (SELECT c2, sum(n) AS b FROM n GROUP BY c2),
+mi AS (SELECT sum(n / t * ln(n * t / (a * b))) AS mi FROM n JOIN x USING (c1) JOIN y USING (c2), t), h AS (SELECT (SELECT -sum(a / t * ln(a / t)) FROM x, t) AS h1, (SELECT -sum(b / t * ln(b / t)) FROM y, t) AS h2),
+k AS (SELECT a, b, t, CAST(unnest(range(CAST(greatest(1, a + b - t) AS BIGINT), CAST(least(a, b) AS BIGINT) + 1)) AS DOUBLE) AS k FROM x, y, t),
+e AS (SELECT sum(k / t * ln(t * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(t - a - b + k + 1))) AS emi FROM k)
+SELECT CAST(t AS BIGINT) AS n, round(mi, 6) AS mi, round(emi, 6) AS emi, round((mi - emi) / ((h1 + h2) / 2 - emi), 6) AS ami FROM mi, h, e, t""")
+def adjusted_information(spark, d):
+    c = table(spark, d, "customer")
+    one, two = (c.select(F.col("c_custkey").alias("member"), F.col(k).alias("c")) for k in ("c_mktsegment", "c_nationkey"))
+    return clusters.adjusted_information(one, two).select("n", r6("mi").alias("mi"), r6("emi").alias("emi"), r6("ami").alias("ami"))
+
+
+@query(sql("clusters", "SELECT c.rep, o_orderkey AS seq_id, o_orderstatus AS seq FROM (SELECT rep, member FROM clusters WHERE level = 0 AND rep IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')) c JOIN orders ON o_orderkey = c.member"))
+def cluster_seqs(spark, d):
+    o = table(spark, d, "orders")
+    s = o.select(F.col("o_orderkey").alias("seq_id"), F.col("o_orderstatus").alias("seq"))
+    return clusters.cluster_seqs(views.clusters(spark, d), s, o.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("rep")))
+
+
 @query("""WITH s AS (SELECT concat('N', c_nationkey) AS a, c_mktsegment AS b, avg(c_acctbal) AS score FROM customer GROUP BY c_nationkey, c_mktsegment), l AS (SELECT a AS name, score FROM s UNION ALL SELECT b, score FROM s), m AS (SELECT name, avg(score) AS mean FROM l GROUP BY name)
 SELECT name, round(mean, 6) AS mean, row_number() OVER (ORDER BY round(mean, 9) DESC, name) = 1 AS best FROM m""")
 def best_clustering(spark, d):
