@@ -99,4 +99,12 @@ QUERIES = {
     "op12_prefix_trie": op12_prefix_trie,
     "op13_sentencepiece": op13_sentencepiece,
 }
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.ORACLE, "op2_mixing": mixing.ORACLE, "op11_ranked_search": ranked_search.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}
+ORACLE_SQL = {
+    "op1_exact_dedup": exact_dedup.ORACLE,
+    "op2_mixing": mixing.ORACLE,
+    "op4_jaccard_join": jaccard_join.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
+    "op9_sharding": sharding.ORACLE,
+    "op11_ranked_search": ranked_search.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
+}

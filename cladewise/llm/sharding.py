@@ -49,3 +49,21 @@ def byte_shards(docs: DataFrame, shards: int = 24, overhead: int = 8, id_col: st
     # A shard's first row is the least over the partitions it meets: one row per shard.
     firsts = placed.groupBy("shard").agg(F.min("row").alias("first_row"))
     return placed.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", "start_byte", "shard", (F.col("row") - F.col("first_row")).cast("bigint").alias("slot"))
+
+
+def _nibble(c: int) -> int:
+    """Four steps of the checksum's shift register."""
+    for _ in range(4):
+        c = c >> 1 ^ 0xEDB88320 * (c & 1)
+    return c
+
+
+#: SQL: crc32 of half-bytes (``parts``), the lower half of each byte first.
+_CRC = f"xor(list_reduce(parts, lambda c, x: xor(c >> 4, {[_nibble(i) for i in range(16)]}[xor(c, x) % 16 + 1]), 4294967295), 4294967295)"
+#: DuckDB SQL for the rows of 24 shards with 8 bytes beside each text.
+ORACLE = f"""WITH b AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, string_split(hex(encode(coalesce(text, ''))), '') AS h FROM documents),
+l AS (SELECT doc_id, size, list_transform(range(2 * size - 16), lambda i: CAST(strpos('0123456789ABCDEF', h[i + 2 - 2 * (i % 2)]) - 1 AS BIGINT)) AS parts FROM b),
+r AS (SELECT doc_id, size, {_CRC} AS text_crc32 FROM l),
+p AS (SELECT *, CAST(sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start_byte, CAST(sum(size) OVER () AS BIGINT) AS every FROM r),
+s AS (SELECT *, CAST(least(23, (2 * start_byte + size) * 24 // (2 * every)) AS INT) AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s"""

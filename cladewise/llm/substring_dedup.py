@@ -259,3 +259,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = marked.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("runs")).withColumnRenamed("doc_id", "key")
     rows = docs.join(runs, F.coalesce("doc_id", F.lit(_NULL_ID).cast("bigint")) == F.col("key"), "left").select("doc_id", "text", "runs")
     return rows.mapInArrow(_cleaned(keep_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * keep_text)
+
+
+#: DuckDB SQL for the rows, where each doc_id has one row.
+ORACLE = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+f AS (SELECT k, min(struct_pack(a := doc_id, b := i)) AS f FROM v GROUP BY k HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM v JOIN f USING (k) WHERE struct_pack(a := doc_id, b := i) > f),
+x AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+y AS (SELECT doc_id, count(*) AS n, count(g.i) AS gone, string_agg(CASE WHEN g.i IS NULL THEN w[x.i] END, ' ' ORDER BY x.i) AS kept FROM x LEFT JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN y USING (doc_id)"""
