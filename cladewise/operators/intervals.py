@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladewise.operators.ranges import running
+from cladewise.session import written
+
+#: Blocks of intervals that are broadcast, at most.
+FEW = 1 << 16
 
 
 def blocks(lo: str, hi: str) -> Column:
@@ -25,14 +29,30 @@ def blocks(lo: str, hi: str) -> Column:
 
 
 def contained(points: DataFrame, at: str, intervals: DataFrame, lo: str, hi: str) -> DataFrame:
-    """All pairs of a point and an interval that holds it. Column names of both sides must differ."""
+    """All pairs of a point and an interval that holds it. Column names of both sides must differ.
+
+    A point is repeated for each size of block, which Spark's estimates do not see: the
+    points are never the side that is broadcast. Blocks of the sizes with the fewest
+    rows, up to FEW in all, are broadcast; those of the other sizes meet by a shuffle.
+    """
     cut = intervals.filter(F.col(lo) <= F.col(hi)).withColumn("_b", F.explode(blocks(lo, hi))).select(*intervals.columns, F.col("_b.size").alias("_size"), F.col("_b.at").alias("_at"))
-    # At most 63 sizes.
-    sizes = sorted(r[0] for r in cut.select("_size").distinct().collect())
-    if not sizes:
+    cut = written(cut, "interval-blocks")
+    # At most 62 sizes.
+    counts = sorted(cut.groupBy("_size").count().collect(), key=lambda r: (r["count"], r["_size"]))
+    few, many, total = [], [], 0
+    for size, n in counts:
+        total += n
+        (few if total <= FEW else many).append(size)
+    if not counts:
         return points.join(intervals, F.lit(False))
-    spread = points.withColumn("_size", F.explode(F.array(*[F.lit(s) for s in sizes]))).withColumn("_at", F.expr(f"shiftright(CAST({at} AS BIGINT), _size)"))
-    return spread.join(cut, ["_size", "_at"]).drop("_size", "_at")
+
+    def met(sizes: list[int], side: DataFrame) -> DataFrame:
+        spread = points.withColumn("_size", F.explode(F.array(*[F.lit(s) for s in sizes]))).withColumn("_at", F.expr(f"shiftright(CAST({at} AS BIGINT), _size)"))
+        return spread.join(side, ["_size", "_at"]).drop("_size", "_at")
+
+    parts = [met(few, F.broadcast(cut.filter(F.col("_size").isin(few))))] if few else []
+    parts += [met(many, cut.filter(F.col("_size").isin(many)).hint("merge"))] if many else []
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def leaf_ranges(tree: DataFrame) -> DataFrame:

@@ -213,3 +213,19 @@ def test_labels_and_supports(spark):
     share = table(spark, [("r", None, 0.0, 0.0), ("x", "r", 1.0, 0.5), ("a", "x", 1.0, 0.0), ("b", "x", 1.0, 0.0), ("c", "r", 1.0, 0.0)])
     assert {r.name: r.support for r in trees.percent_supports(share).collect()}["x"] == 50.0
     assert {r.name: r.support for r in trees.percent_supports(share.withColumn("support", F.col("support") * 100)).collect()}["x"] == 50.0
+
+
+def test_contained_never_broadcasts_points(spark, monkeypatch):
+    """Points are repeated for each size of block: only blocks of intervals may go through the driver."""
+    from cladewise.operators import intervals
+    from cladewise.session import written
+
+    points = written(spark.range(200).select(F.col("id").alias("at")), "points")
+    spans = written(spark.createDataFrame([(f"a long name {i}", i, 3 * i) for i in range(60)], "name string, lo bigint, hi bigint"), "spans")
+    want = sorted((p, f"a long name {i}") for i in range(60) for p in range(i, 3 * i + 1))
+    for few in (1 << 16, 20, 0):
+        monkeypatch.setattr(intervals, "FEW", few)
+        got = intervals.contained(points, "at", spans, "lo", "hi")
+        assert sorted((r.at, r.name) for r in got.select("at", "name").collect()) == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in plan and ("SortMergeJoin" in plan) == (few < 1 << 16)
