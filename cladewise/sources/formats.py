@@ -126,17 +126,21 @@ def cluster_file(spark: SparkSession, path: str) -> DataFrame:
 
     Records are split at headers in the reader, so several tasks read one file. Which
     cluster a record is in, and what stood before it, follows from running counts
-    over the file's records, passed on from one split to the next.
+    over the file's records, passed on from one split to the next. The part files of a
+    folder are one file, in the order of their numbers: a cluster may go on in the next one.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ord"), F.regexp_replace("value", "^>", "").alias("r"))
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("from"), F.monotonically_increasing_id().alias("ord"), F.regexp_replace("value", "^>", "").alias("r"))
+    # A part's number has five digits or more. The reader keeps the splits of one file in order, but not the files.
+    part = F.regexp_extract("from", r"/part-(\d+)[^/]*$", 1)
+    raw = raw.withColumns({"file": F.regexp_replace("from", r"/part-\d+[^/]*$", "/"), "at": F.struct(F.coalesce(part.try_cast("bigint"), F.lit(0)).alias("part"), F.col("from"), F.col("ord"))})
     bare = F.regexp_replace(F.regexp_replace("r", r"^[^\n]*", ""), r"\s", "") == ""
-    recs = raw.filter(F.trim("r") != "").select("file", "ord", F.regexp_extract("r", r"^(\S*)", 1).alias("name"), bare.alias("bare"), F.lit(1).alias("one"))
-    recs = written(running(recs, ["file"], "ord", {"nth": "one"}).drop("one"), "records")
+    recs = raw.filter(F.trim("r") != "").select("file", "at", F.regexp_extract("r", r"^(\S*)", 1).alias("name"), bare.alias("bare"), F.lit(1).alias("one"))
+    recs = written(running(recs, ["file"], "at", {"nth": "one"}).drop("one"), "records")
     before = recs.select("file", (F.col("nth") + 1).alias("nth"), F.col("bare").alias("was"))
     after = recs.select("file", (F.col("nth") - 1).alias("nth"), F.lit(True).alias("more"))
     j = recs.join(before, ["file", "nth"], "left").join(after, ["file", "nth"], "left")
     new = F.col("bare") & F.coalesce("more", F.lit(False)) & ~F.coalesce("was", F.lit(False))
-    j = running(j.select("file", "ord", "name", new.cast("int").alias("new")), ["file"], "ord", {"cluster": "new"})
+    j = running(j.select("file", "nth", F.col("at.ord").alias("ord"), "name", new.cast("int").alias("new")), ["file"], "nth", {"cluster": "new"})
     j = written(j, "clustered-records")
     reps = j.filter("new = 1").select("file", "cluster", F.col("name").alias("rep"))
     return j.filter("new = 0").join(reps, ["file", "cluster"]).select("rep", F.col("name").alias("member"), "ord")

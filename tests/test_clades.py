@@ -153,3 +153,20 @@ def test_interpro_hits(spark):
     body = '<entry><signatureSequenceMatch database="Pfam" id="PF1"><ipr name="dom" id="IPR1"/><lcn start="3" end="9"/><lcn start="20" end="30"/></signatureSequenceMatch><signatureSequenceMatch database="CDD" id="c"><lcn start="1" end="2"/></signatureSequenceMatch></entry>'
     got = formats.interpro_hits(spark.createDataFrame([("U1", body), ("U2", "<entry/>")], "acc string, body string"))
     assert sorted(map(tuple, got.collect())) == [("U1", "IPR1", "dom", "Pfam", 3, 9), ("U1", "IPR1", "dom", "Pfam", 20, 30)]
+
+
+def test_cluster_file_goes_on_in_the_next_part(spark, tmp_path):
+    """A cluster cut between part files is one cluster; files of other names stand alone."""
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    parts = [">r1\n>r1\nAC\n", ">m1\n" + "GT" * 400 + "\n>r2\n", ">r2\nGG\n>m2\nCC\n", "", ">m3\nTT\n"]
+    for k, text in enumerate(parts):
+        (folder / f"part-{k:05d}-x-c000.txt").write_text(text)
+    got = formats.cluster_file(spark, str(folder)).select("rep", "member").collect()
+    assert sorted(map(tuple, got)) == [("r1", "m1"), ("r1", "r1"), ("r2", "m2"), ("r2", "m3"), ("r2", "r2")]
+    alone = tmp_path / "alone"
+    alone.mkdir()
+    (alone / "a.txt").write_text(">r1\n>r1\nAC\n>m1\n")
+    (alone / "b.txt").write_text(">r2\n>r2\nGG\n")
+    got = formats.cluster_file(spark, str(alone)).select("rep", "member").collect()
+    assert sorted(map(tuple, got)) == [("r1", "m1"), ("r1", "r1"), ("r2", "r2")]
