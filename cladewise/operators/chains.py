@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladewise.session import written
+
 HIT = "struct<start:int,ord:bigint,end:int,hmm_s:int,hmm_e:int,score:double>"
 
 
@@ -81,10 +83,11 @@ def chains(hits: DataFrame, lengths: DataFrame, tolerance: float = 0.1, start: s
     hits: profile, target, score, hmm_s, hmm_e, ord and the region columns.
     lengths: profile, len. Each chain's score is the sum of its hits' scores,
     each hit's share at a profile or target position dealt among the chain's
-    hits there, as the mean of the two deals.
+    hits there, as the mean of the two deals. The lengths are written, as Spark
+    broadcasts a table whose size it knows; chaining keeps the tasks of the targets then.
     """
     one = F.struct(F.col(start).alias("start"), "ord", F.col(end).alias("end"), "hmm_s", "hmm_e", "score").cast(HIT)
-    groups = hits.groupBy("profile", "target").agg(F.array_sort(F.collect_list(one)).alias("hits")).join(lengths, "profile")
+    groups = hits.groupBy("profile", "target").agg(F.array_sort(F.collect_list(one)).alias("hits")).join(written(lengths, "profile-lengths"), "profile")
     each = groups.select("profile", "target", F.posexplode(chained(F.col("hits"), F.lit(float(tolerance)) * F.col("len"))).alias("chain_no", "hits"))
     span_s, span_e = F.array_min(F.transform("hits", lambda h: h["start"])), F.array_max(F.transform("hits", lambda h: h["end"]))
     return each.select("profile", "target", "chain_no", "hits", span_s.alias("span_s"), span_e.alias("span_e"), covered(F.col("hits")).alias("coverage"), weighted(F.col("hits")).alias("score"))

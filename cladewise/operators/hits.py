@@ -1,8 +1,9 @@
 """Selection of profile hits: thresholds, best rows, medians, bounds.
 
 Hits are long tables (profile, target, score, ...). Threshold tables have one
-row per profile; they are joined, and Spark broadcasts them while they are
-below its own size limit.
+row per profile; they are written before they are joined, so that Spark knows
+their size and broadcasts them while it is below its own limit. Without, a join
+by profile would bring all hits of a profile to one task.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from cladewise.session import filtered_joins, written
 def over_threshold(hits: DataFrame, thresholds: DataFrame, strict: bool = False) -> DataFrame:
     """Hits at or above (strictly above) the threshold of their profile."""
     keep = F.col("score") > F.col("threshold") if strict else F.col("score") >= F.col("threshold")
-    return hits.join(thresholds, "profile").filter(keep)
+    return hits.join(written(thresholds, "thresholds"), "profile").filter(keep)
 
 
 def first_row(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
