@@ -8,6 +8,8 @@ chaining is a fold over it: everything stays in DataFrame functions.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,37 +102,69 @@ def best_chain(chained: DataFrame) -> DataFrame:
     return got.select("profile", "target", "b.*")
 
 
-def residues(hits: DataFrame, keys: list[str], path: str = "a2m", hmm: str = "hmm_s", start: str = "env_s") -> DataFrame:
-    """keys, hmm_pos, target_pos, aa of every matched residue of each hit's path
-    (matches upper case, insertions lower case, deletions as dashes)."""
-    import numpy as np
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            rows = batch.select(keys)
-            paths = batch.column("_path").fill_null("").to_pylist()
-            ends = zip(paths, batch.column("_hmm").to_pylist(), batch.column("_start").to_pylist())
-            owner, hp, tp, aa = [], [], [], []
-            for k, (p, h, t) in enumerate(ends):
-                x = np.frombuffer(p.encode("ascii", "replace"), np.uint8)
-                gone, match = x == ord("-"), (x >= ord("A")) & (x <= ord("Z"))
-                some = np.flatnonzero(match)
-                owner.append(np.full(len(some), k))
-                hp.append(h - 1 + np.cumsum(match | gone)[some])
-                tp.append(t - 1 + np.cumsum(~gone)[some])
-                aa += [p[i] for i in some.tolist()]
-            if aa:
-                at = pa.array(np.concatenate(owner))
-                cols = [rows.column(c).take(at) for c in range(len(keys))] + [pa.array(np.concatenate(v).astype(np.int32)) for v in (hp, tp)] + [pa.array(aa)]
-                yield pa.RecordBatch.from_arrays(cols, names=[*keys, "hmm_pos", "target_pos", "aa"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hits.select(*keys).schema.fields)
-    got = hits.select(*keys, F.col(path).alias("_path"), F.col(hmm).alias("_hmm"), F.col(start).alias("_start"))
-    return got.mapInArrow(run, f"{kinds}, hmm_pos int, target_pos int, aa string")
-
-
-def residue_scores(hits: DataFrame, emissions: DataFrame, background: DataFrame, start: str = "env_s", end: str = "env_e") -> DataFrame:
+def _matched(paths: list[str], hmm: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Path, place on the profile, place on the target and letter (a byte) of every matched residue of the paths."""
+    raw = [(p or "").encode("ascii", "replace") for p in paths]
+    n = np.array([len(p) for p in raw], np.int64)
+    x = np.frombuffer(b"".join(raw), np.uint8)
+    owner, first = np.repeat(np.arange(len(raw)), n), np.cumsum(n) - n
+    gone, match = x == ord("-"), (x >= ord("A")) & (x <= ord("Z"))
+    some = np.flatnonzero(match)
+    at = owner[some]
+
+    def place(step: np.ndarray, before: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([[0], np.cumsum(step)])
+        return before[at] - 1 + upto[some + 1] - upto[first[at]]
+
+    return at, place(match | gone, hmm), place(~gone, start), x[some]
+
+
+def _numbers(x: pa.Table, column: str) -> np.ndarray:
+    """A number for each different value (null is one)."""
+    return x.column(column).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _chain_scores(x: pa.Table, odds: pa.Table) -> pa.Table:
+    """target, chain_no, span_s, span_e, score of the chains of one profile that x holds whole; odds: pos, aa, raw (lists) in one row, or none."""
+    if not x.num_rows:
+        return x.select(["profile", "target", "chain_no", "start", "end", "score"]).rename_columns(["profile", "target", "chain_no", "span_s", "span_e", "score"])
+    no = _numbers(x, "chain_no")
+    _, first, chain = np.unique(_numbers(x, "target") * (int(no.max(initial=0)) + 1) + no, return_index=True, return_inverse=True)
+    owner, hp, tp, aa = _matched(x.column("a2m").to_pylist(), x.column("hmm_s").to_numpy(), x.column("start").to_numpy())
+    pos, letter, value = (odds.column(c).combine_chunks().flatten() for c in ("pos", "aa", "raw")) if odds.num_rows else ([], [], [])
+    raw = np.zeros(len(owner))
+    if len(pos):
+        pos, letter = pos.to_numpy(), np.array([ord(a) if len(a) == 1 else 0 for a in letter.to_pylist()], np.int64)
+        place = pos.astype(np.int64) * 256 + np.minimum(letter, 255)
+        order = np.argsort(place)
+        want = hp * 256 + aa
+        at = np.minimum(np.searchsorted(place[order], want), len(place) - 1)
+        raw = np.where(place[order][at] == want, value.to_numpy(zero_copy_only=False)[order][at], 0.0)
+    # Hits of a chain that share an ord are one: one sum of odds, the mean of their scores, and each residue for each of them.
+    ord_ = _numbers(x, "ord")
+    _, hit = np.unique(chain * (int(ord_.max()) + 1) + ord_, return_inverse=True)
+    same = np.bincount(hit)
+    total, mean = np.bincount(hit[owner], raw, len(same)), np.bincount(hit, x.column("score").to_numpy()) / same
+    some = np.abs(total) > 1e-12
+    scale = np.where(some, mean / np.where(some, total, 1.0), 0.0)
+    part, of, weight, score = raw * scale[hit[owner]], chain[owner], same[hit[owner]], np.zeros(len(first))
+    known = ~np.isnan(part)  # a hit without a score
+    hp, tp, part, of, weight = hp[known], tp[known], part[known], of[known], weight[known]
+    for side in (hp, tp):
+        low = int(side.min(initial=1 << 31))
+        width = max(int(side.max(initial=0)) - low + 1, 1)
+        spot, inverse = np.unique(of * width + (side - low), return_inverse=True)
+        score += np.bincount(spot // width, np.bincount(inverse, part * weight, len(spot)) / np.bincount(inverse, weight, len(spot)), len(first))
+    spans = pa.table({"c": chain, "s": x.column("start"), "e": x.column("end")}).group_by("c").aggregate([("s", "min"), ("e", "max")]).sort_by("c")
+    head = x.select(["profile", "target", "chain_no"]).take(pa.array(first))
+    return head.append_column("span_s", spans.column("s_min")).append_column("span_e", spans.column("e_max")).append_column("score", pa.array(score / 2))
+
+
+#: Bytes of hits that are scored at once.
+GROUP_BYTES = 2 << 20
+
+
+def residue_scores(hits: DataFrame, emissions: DataFrame, background: DataFrame, start: str = "env_s", end: str = "env_e", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """profile, target, chain_no, span_s, span_e, score of chains whose hits have paths.
 
     hits: profile, target, chain_no, ord (tells a chain's hits apart), score, hmm_s, a2m
@@ -139,16 +173,21 @@ def residue_scores(hits: DataFrame, emissions: DataFrame, background: DataFrame,
     so that they add up to its score (all 0 if either sum is 0). Residues at one place
     of the profile count by their mean, and likewise on the target; the score is half of
     the sum over both. A residue without an emission counts as 0.
+
+    What travels is hits with their paths, once, in groups of some whole chains of one
+    profile, and the profile's odds to each of its groups. Residues are made and used inside a group.
     """
     key = ["profile", "target", "chain_no"]
-    hit = [*key, "ord"]
-    r = residues(hits, hit, start=start)
-    odds = emissions.select("profile", F.col("pos").alias("hmm_pos"), "aa", "nlp").join(background.select("profile", "aa", F.col("nlp").alias("b")), ["profile", "aa"]).select("profile", "hmm_pos", "aa", (F.col("b") - F.col("nlp")).alias("raw"))
-    r = r.join(odds, ["profile", "hmm_pos", "aa"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
-    total = r.groupBy(*hit).agg(F.sum("raw").alias("total")).join(hits.select(*hit, "score"), hit)
-    scale = total.select(*hit, F.when(F.abs("total") > 1e-12, F.col("score") / F.col("total")).otherwise(0.0).alias("scale"))
-    part = r.join(scale, hit).select(*key, "hmm_pos", "target_pos", (F.col("raw") * F.col("scale")).alias("x"))
-    sides = part.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("hmm_pos").alias("pos")), F.struct(F.lit(1).alias("side"), F.col("target_pos").alias("pos")))).alias("p"), "x")
-    means = sides.groupBy(*key, "p").agg(F.avg("x").alias("x")).groupBy(*key).agg((F.sum("x") / 2).alias("score"))
-    spans = hits.groupBy(*key).agg(F.min(start).alias("span_s"), F.max(end).alias("span_e"))
-    return spans.join(means, key, "left").select(*key, "span_s", "span_e", F.coalesce("score", F.lit(0.0)).alias("score"))
+    odds = emissions.select("profile", "pos", "aa", "nlp").join(background.select("profile", "aa", F.col("nlp").alias("b")), ["profile", "aa"])
+    odds = odds.groupBy("profile").agg(F.collect_list(F.struct(F.col("pos").cast("bigint").alias("pos"), "aa", (F.col("b") - F.col("nlp")).alias("raw"))).alias("o"))
+    odds = odds.select("profile", "o.pos", "o.aa", "o.raw")
+    size = F.coalesce(F.length("a2m"), F.lit(0)) + 64
+    # Few rows, written so that Spark knows their size.
+    parts = written(hits.groupBy("profile").agg(F.ceil(F.sum(size) / group_bytes).cast("int").alias("parts")), "chain-groups")
+    rest = ["ord", F.col("hmm_s").cast("bigint").alias("hmm_s"), F.col(start).alias("start"), F.col(end).alias("end"), "a2m", F.col("score").cast("double").alias("score")]
+    dealt = hits.select(*key, *rest).join(parts.withColumnRenamed("profile", "_p"), F.col("profile").eqNullSafe(F.col("_p")))
+    dealt = dealt.select(*key, "ord", "hmm_s", "start", "end", "a2m", "score", F.pmod(F.xxhash64("target", "chain_no"), F.col("parts")).cast("int").alias("part"))
+    given = odds.join(parts, "profile").select("profile", "pos", "aa", "raw", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    kinds = hits.select(*key, F.col(start).alias("span_s"), F.col(end).alias("span_e")).schema
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds.fields) + ", score double"
+    return dealt.groupBy("profile", "part").cogroup(given.groupBy("profile", "part")).applyInArrow(_chain_scores, schema)

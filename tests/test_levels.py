@@ -85,3 +85,17 @@ def test_residue_scores(spark):
     assert got["t", 0].score == pytest.approx((profile + target) / 2) and (got["t", 0].span_s, got["t", 0].span_e) == (1, 5)
     assert got["t", 1].score == 0 and got["u", 0].score == 0
     assert got["v", 0].score == pytest.approx(5.0)
+
+
+def test_residue_scores_move_hits_only(spark):
+    """Residues are never shuffled, and groups of any size give the same chains."""
+    kind = "profile string, target string, chain_no int, ord bigint, score double, hmm_s int, env_s int, env_e int, a2m string"
+    hits = [(p, f"t{k % 5}", k % 2, k, 1.0 + k, 1 + k % 4, 2 + k % 3, 9 + k, "ACx-EAC"[k % 3 :]) for p in ("p", "q", "r") for k in range(20)] + [("p", "u", 0, 99, 3.0, 1, 1, 4, None)]
+    e = spark.createDataFrame([(p, i, a, 0.5 + i * 0.25 + ord(a) * 0.01) for p in ("p", "q") for i in range(1, 9) for a in "ACE"], "profile string, pos int, aa string, nlp double")
+    b = spark.createDataFrame([(p, a, 3.0) for p in ("p", "q") for a in "ACE"], "profile string, aa string, nlp double")
+    h = spark.createDataFrame(hits, kind)
+    whole = chains.residue_scores(h, e, b)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "target_pos" not in plan and "explode(array" not in plan
+    got, parts = (sorted((r.profile, r.target, r.chain_no, r.span_s, r.span_e, round(r.score, 9)) for r in df.collect()) for df in (whole, chains.residue_scores(h, e, b, group_bytes=100)))
+    assert got == parts and len(got) == 31 and all(r[5] == 0 for r in got if r[0] == "r" or r[1] == "u") and any(r[5] > 0 for r in got)
