@@ -207,7 +207,10 @@ def extract_mapped_cols(aln: DataFrame, positions: DataFrame) -> DataFrame:
 
     positions: aln_id, ref_id, pos (0-based residue index of the reference).
     """
-    ref = map_cols(aln).join(positions.withColumnRenamed("ref_id", "seq_id"), ["aln_id", "seq_id", "pos"])
+    # Only reference rows are taken apart.
+    wish = positions.withColumnRenamed("ref_id", "seq_id")
+    refs = aln.join(wish.select("aln_id", "seq_id").distinct(), ["aln_id", "seq_id"], "left_semi")
+    ref = map_cols(refs).join(wish, ["aln_id", "seq_id", "pos"])
     lists = ref.groupBy("aln_id").agg(F.array_sort(F.collect_list(F.struct("pos", "col"))).alias("at"))
     pick = F.transform("at", lambda p: F.when(p["col"] < F.length("aligned"), F.substring(F.col("aligned"), p["col"] + 1, F.lit(1))).otherwise(GAP))
     return aln.join(lists, "aln_id").select("aln_id", "seq_id", F.array_join(pick, "").alias("residues"))

@@ -307,3 +307,12 @@ def test_thresholds_do_not_gather_profiles(spark):
         assert "BroadcastHashJoin [profile" in plan and "SortMergeJoin" not in plan
     assert over.count() == 25 + 5 and chained.count() == 100
     assert sorted(map(tuple, passed.collect())) == [(k, 1) for k in range(10, 100)]
+
+
+def test_mapped_columns_take_references_apart_only(spark):
+    a = spark.createDataFrame([(1, 1, "-AC-D"), (1, 2, "WY"), (2, 5, "AC"), (2, 6, "")], "aln_id int, seq_id int, aligned string")
+    wish = spark.createDataFrame([(1, 1, 0), (1, 1, 2), (2, 5, 1)], "aln_id int, ref_id int, pos int")
+    got = aln.extract_mapped_cols(a, wish)
+    assert rows(got) == [(1, 1, "AD"), (1, 2, "Y-"), (2, 5, "C"), (2, 6, "-")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan[plan.index("Generate posexplode") :]
