@@ -10,14 +10,18 @@ joined with; no residue is shuffled for them.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cladewise.operators.ranges import running
 from cladewise.operators.seqs import ALPHABET, worst_share
-from cladewise.session import written
+from cladewise.session import bounded_batches, written
 
 GAP = "-"
 
@@ -31,9 +35,67 @@ def rows_of(aln: DataFrame) -> DataFrame:
     return aln.groupBy("aln_id").agg(F.count("*").alias("n"), F.max(F.length("aligned")).alias("width"))
 
 
+#: Letters that are counted by name; any other written character is ODD, and ABSENT is none.
+_CODE = np.full(128, len(ALPHABET), np.int64)
+for _i, _a in enumerate(ALPHABET):
+    _CODE[ord(_a)] = _i
+_CODE[ord(GAP)] = len(ALPHABET) + 1
+_KINDS = len(ALPHABET) + 2
+#: Counts that a task holds at once; columns of one piece of a row; residues of one group of pieces.
+HELD, PIECE, GROUP = 1 << 23, 4096, 1 << 24
+
+
+def _codes(aligned: str) -> np.ndarray:
+    """The characters of a row as numbers: letters of the alphabet by place, then any other one, then the gap."""
+    x = np.frombuffer(aligned.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(x < 128, _CODE[np.minimum(x, 127)], len(ALPHABET))
+
+
+def column_counts(aln: DataFrame) -> DataFrame:
+    """aln_id, col (from 0), counts: written cells by letter, then other characters, then gaps.
+
+    Every task counts its own rows, so only columns travel."""
+    kind = aln.schema["aln_id"].dataType.simpleString()
+    none = np.zeros((0, _KINDS), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (of, start), n in held.items():
+                some = np.flatnonzero(n.any(axis=1))
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(n[some].ravel()), _KINDS).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([of] * len(some), ids.type), pa.array((some + start).astype(np.int32)), lists], names=["aln_id", "col", "counts"])
+            held.clear()
+
+        for batch in batches:
+            ids = batch.column("aln_id")
+            for of, text in zip(ids.to_pylist(), batch.column("aligned").to_pylist()):
+                code = _codes(text)
+                for at in range(0, len(code), PIECE):
+                    part = code[at : at + PIECE]
+                    n = held.get((of, at), none)
+                    if len(n) < len(part):
+                        if size > HELD:
+                            yield from out()
+                            n, size = none, 0
+                        wider = np.zeros((1 << (len(part) - 1).bit_length(), _KINDS), np.int64)
+                        wider[: len(n)] = n
+                        size += wider.size - n.size
+                        held[of, at] = n = wider
+                    n[np.arange(len(part)), part] += 1
+        if held:
+            yield from out()
+
+    bounded_batches(aln.sparkSession)
+    got = aln.filter(F.length("aligned") > 0).select("aln_id", "aligned").mapInArrow(run, f"aln_id {kind}, col int, counts array<bigint>")
+    sums = got.groupBy("aln_id", "col").agg(*[F.sum(F.col("counts")[i]).alias(f"_{i}") for i in range(_KINDS)])
+    return sums.select("aln_id", "col", F.array(*[f"_{i}" for i in range(_KINDS)]).alias("counts"))
+
+
 def occupancy(aln: DataFrame) -> DataFrame:
     """Per column of each alignment: residues, rows and the share of rows with a residue."""
-    filled = cells(aln).groupBy("aln_id", "col").agg(F.sum(F.when(F.col("ch") != GAP, 1).otherwise(0)).alias("filled"))
+    filled = column_counts(aln).select("aln_id", "col", F.aggregate(F.slice("counts", 1, _KINDS - 1), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("filled"))
     return filled.join(rows_of(aln), "aln_id").select("aln_id", "col", "filled", "n", (F.col("filled") / F.col("n")).alias("occupancy"))
 
 
@@ -75,22 +137,46 @@ def trim_stats(aln: DataFrame, gt: float) -> DataFrame:
 
 
 def mean_col_agreement(aln: DataFrame, min_occupancy: float = 0.5, letters: str = ALPHABET) -> DataFrame:
-    """Per row: mean frequency of its residue over columns that are full enough; null where there is none."""
-    known = cells(aln).filter(F.translate("ch", letters, "") == "")
-    counts = known.groupBy("aln_id", "col", "ch").agg(F.count("*").alias("k"))
-    full = counts.groupBy("aln_id", "col").agg(F.sum("k").alias("all")).join(rows_of(aln), "aln_id").filter(F.col("all") / F.col("n") >= min_occupancy)
-    freq = counts.join(full, ["aln_id", "col"]).groupBy("aln_id", "col").agg(F.map_from_entries(F.collect_list(F.struct("ch", F.col("k") / F.col("all")))).alias("m"))
-    columns = written(freq.select("aln_id", "col", F.array(*[F.try_element_at("m", F.lit(x)) for x in letters]).alias("fs")), "column-shares")
-    # Full columns are at most mean row length / min_occupancy; one array for each alignment, with nulls for other columns.
-    slots = columns.groupBy("aln_id").agg(F.max("col").alias("last")).select("aln_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("col"))
-    none = F.array(*[F.lit(None).cast("double") for _ in letters])
-    dense = slots.join(columns, ["aln_id", "col"], "left").groupBy("aln_id").agg(F.array_sort(F.collect_list(F.struct("col", F.coalesce("fs", none).alias("fs")))).alias("c"))
-    dense = written(dense.select("aln_id", F.flatten("c.fs").alias("shares")), "letter-shares")
-    share = lambda c, i: F.when((c != "") & (F.instr(F.lit(letters), c) > 0), F.get("shares", i * len(letters) + F.instr(F.lit(letters), c) - 1))
-    nothing = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
-    add = lambda a, x: F.struct((a["s"] + F.coalesce(x, F.lit(0.0))).alias("s"), (a["n"] + F.when(x.isNull(), 0).otherwise(1)).alias("n"))
-    mean = F.aggregate(F.transform(F.split("aligned", ""), share), nothing, add, lambda a: F.when(a["n"] > 0, a["s"] / a["n"]))
-    return aln.join(dense, "aln_id", "left").select("aln_id", "seq_id", mean.alias("agreement"))
+    """Per row: mean frequency of its residue over columns that are full enough; null where there is none.
+
+    Rows are cut into pieces of some columns; pieces of one place meet the shares of
+    these columns in groups of bounded size, and a piece leaves as a sum and a count.
+    """
+    counts = column_counts(aln).select("aln_id", "col", F.array(*[F.col("counts")[ALPHABET.index(x)] for x in letters]).alias("ks"))
+    counts = counts.withColumn("all", F.aggregate("ks", F.lit(0).cast("bigint"), lambda a, x: a + x)).filter("all > 0")
+    sizes = written(rows_of(aln), "row-counts")
+    full = counts.join(sizes, "aln_id").filter(F.col("all") / F.col("n") >= min_occupancy)
+    full = written(full.withColumn("place", F.expr(f"col div {PIECE}").cast("int")), "column-shares")
+    # No piece beyond the last full column is asked for.
+    ends = written(full.groupBy("aln_id", "n").agg(F.max("place").alias("last")), "last-places")
+    # Pieces of a place, dealt over groups by row.
+    deal = lambda n: F.ceil(n * PIECE / GROUP).cast("int")
+    shares = full.select("aln_id", "place", "col", "ks", "all", F.explode(F.sequence(F.lit(0), deal(F.col("n")) - 1)).alias("part"))
+    cut = aln.filter(F.length("aligned") > 0).join(ends, "aln_id")
+    cut = cut.select("aln_id", "seq_id", "aligned", F.pmod(F.xxhash64("seq_id"), deal(F.col("n"))).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.least("last", F.expr(f"CAST((length(aligned) - 1) div {PIECE} AS INT)")))).alias("place"))
+    cut = cut.select("aln_id", "seq_id", "part", "place", F.substring(F.col("aligned"), F.col("place") * PIECE + 1, F.lit(PIECE)).alias("piece"))
+    code = np.full(_KINDS, len(letters), np.int64)
+    code[[ALPHABET.index(x) for x in letters]] = np.arange(len(letters))
+
+    def sums(pieces: pa.Table, shares: pa.Table) -> pa.Table:
+        s, n = np.zeros(pieces.num_rows), np.zeros(pieces.num_rows, np.int64)
+        if pieces.num_rows and shares.num_rows:
+            col = shares.column("col").to_numpy() % PIECE
+            value, used = np.zeros((PIECE, len(letters) + 1)), np.zeros((PIECE, len(letters) + 1), np.int64)
+            ks = shares.column("ks").combine_chunks().flatten().to_numpy().reshape(len(col), len(letters))
+            value[col, :-1] = ks / shares.column("all").to_numpy()[:, None]
+            used[col, :-1] = ks > 0
+            for i, text in enumerate(pieces.column("piece").to_pylist()):
+                x = code[_codes(text)]
+                at = np.arange(len(x))
+                s[i], n[i] = value[at, x].sum(), used[at, x].sum()
+        return pieces.select(["aln_id", "seq_id"]).append_column("s", pa.array(s)).append_column("n", pa.array(n))
+
+    key = ["aln_id", "place", "part"]
+    kinds = ", ".join(f"{c} {aln.schema[c].dataType.simpleString()}" for c in ("aln_id", "seq_id"))
+    got = cut.groupBy(*key).cogroup(shares.groupBy(*key)).applyInArrow(sums, f"{kinds}, s double, n bigint")
+    means = got.groupBy("aln_id", "seq_id").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return aln.select("aln_id", "seq_id").join(means, ["aln_id", "seq_id"], "left").select("aln_id", "seq_id", F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("agreement"))
 
 
 def qc_rejects(aln: DataFrame, gt: float = 0.1, share: float = 0.01, letters: str = ALPHABET + GAP) -> DataFrame:

@@ -309,6 +309,26 @@ def test_thresholds_do_not_gather_profiles(spark):
     assert sorted(map(tuple, passed.collect())) == [(k, 1) for k in range(10, 100)]
 
 
+def test_column_counts_of_odd_rows(spark):
+    """Counts hold for rows of any length and any character, however many alignments a task has."""
+    rng = random.Random(4)
+    data = [(k % 7, k, "".join(rng.choices("ACDW-xé𝄞", k=rng.choice((0, 1, 70, 4095, 4096, 4097, 9000))))) for k in range(60)] + [(8, 99, None)]
+    want = {}
+    for a, _, t in data:
+        for i, c in enumerate(t or ""):
+            want.setdefault((a, i), []).append(c)
+    a = spark.createDataFrame(data, "aln_id int, seq_id int, aligned string")
+    n = {a: sum(1 for r in data if r[0] == a) for a, _, _ in data}
+    assert {(r.aln_id, r.col): (r.filled, r.n) for r in aln.occupancy(a).collect()} == {k: (sum(c != "-" for c in v), n[k[0]]) for k, v in want.items()}
+    share = {k: {c: v.count(c) / sum(x in "ACDW" for x in v) for c in "ACDW" if c in v} for k, v in want.items() if sum(x in "ACDW" for x in v) >= 0.4 * n[k[0]]}
+    got = {r.seq_id: r.agreement for r in aln.mean_col_agreement(a, 0.4).collect()}
+    for al, s, t in data:
+        f = [share[al, i][c] for i, c in enumerate(t or "") if c in share.get((al, i), {})]
+        assert got[s] == (pytest.approx(sum(f) / len(f)) if f else None)
+    plan = aln.mean_col_agreement(a)._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(transform" not in plan and "posexplode" not in aln.occupancy(a)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mapped_columns_take_references_apart_only(spark):
     a = spark.createDataFrame([(1, 1, "-AC-D"), (1, 2, "WY"), (2, 5, "AC"), (2, 6, "")], "aln_id int, seq_id int, aligned string")
     wish = spark.createDataFrame([(1, 1, 0), (1, 1, 2), (2, 5, 1)], "aln_id int, ref_id int, pos int")
