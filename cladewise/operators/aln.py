@@ -182,7 +182,8 @@ def mean_col_agreement(aln: DataFrame, min_occupancy: float = 0.5, letters: str
 def qc_rejects(aln: DataFrame, gt: float = 0.1, share: float = 0.01, letters: str = ALPHABET + GAP) -> DataFrame:
     """Rows to drop: foreign characters, or among the worst by retention or gaps."""
     odd = aln.filter(F.translate("aligned", letters, "") != "").select("aln_id", "seq_id", F.lit("alphabet").alias("why"))
-    stats = trim_stats(aln, gt)
+    # Written once, as both choices read it several times.
+    stats = written(trim_stats(aln, gt), "trim-stats")
     low = worst_share(stats, F.round("retention", 6), share, ["aln_id"], "seq_id").select("aln_id", "seq_id", F.lit("retention").alias("why"))
     high = worst_share(stats, F.round("gap_pc", 6), share, ["aln_id"], "seq_id", highest=True).select("aln_id", "seq_id", F.lit("gaps").alias("why"))
     return odd.union(low).union(high)

@@ -336,3 +336,12 @@ def test_mapped_columns_take_references_apart_only(spark):
     assert rows(got) == [(1, 1, "AD"), (1, 2, "Y-"), (2, 5, "C"), (2, 6, "-")]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" in plan[plan.index("Generate posexplode") :]
+
+
+def test_rejects_make_the_figures_once(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(aln, "written", lambda df, name, f=aln.written: names.append(name) or f(df, name))
+    a = spark.createDataFrame([(1, k, "AC"[: k % 3] + "-" * (k % 4)) for k in range(20)], "aln_id int, seq_id int, aligned string")
+    got = aln.qc_rejects(a, 0.1, 0.2)
+    assert names.count("trim-stats") == 1 and got.filter("why = 'gaps'").count() == 4
+    assert "zip_with" not in got._jdf.queryExecution().executedPlan().toString()
