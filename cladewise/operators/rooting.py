@@ -19,18 +19,27 @@ def numbered(nodes: DataFrame) -> DataFrame:
     """Node table of a tree given by parents: nodes has name, parent, ord (place among
     siblings; ties by name), support, dist.
 
-    The walk around the tree enters and leaves each node once; each of these steps
-    knows the next one. Steps are ranked by pointer doubling: a round joins each step
-    with the one it points at and adds up what lies between, so rounds are as many as
-    the walk's length has binary digits, whatever the depth.
+    The walk around the tree enters and leaves each node with children once; each of these
+    steps knows the next one and the leaves between. Steps are ranked by pointer doubling: a
+    round joins each step with the one it points at and adds up what lies between, so rounds
+    are as many as the walk's length has binary digits, whatever the depth. Leaves are then
+    placed after their parent, or their last elder sibling with children.
     """
-    kids = written(running(nodes.select("name", "parent", F.struct("ord", "name").alias("o"), F.lit(1).alias("one")), ["parent"], "o", {"nth": "one"}).select("name", "parent", "nth"), "siblings")
-    first = kids.filter("nth = 1").select(F.col("parent").alias("_p"), F.col("name").alias("first"))
-    after = kids.select(F.col("parent").alias("_q"), (F.col("nth") - 1).alias("_n"), F.col("name").alias("next"))
-    j = kids.join(first, F.col("name") == F.col("_p"), "left").join(after, (F.col("parent") == F.col("_q")) & (F.col("nth") == F.col("_n")), "left")
+    above = nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("_h")).distinct()
+    flagged = nodes.join(above, F.col("name") == F.col("_h"), "left")
+    flagged = flagged.select("name", "parent", F.struct("ord", "name").alias("o"), F.lit(1).alias("one"), (F.col("_h").isNotNull() | F.col("parent").isNull()).cast("int").alias("inner"))
+    kids = written(running(flagged, ["parent"], "o", {"nth": "one", "inth": "inner"}).select("name", "parent", "inner", "nth", "inth"), "siblings")
+    counts = kids.groupBy(F.col("parent").alias("_c")).agg(F.max("nth").alias("kids"))
+    inner = written(kids.filter("inner = 1").join(counts, F.col("name") == F.col("_c"), "left").select("name", "parent", "nth", "inth", F.coalesce("kids", F.lit(0)).alias("kids")), "inner-nodes")
+    first = inner.filter("inth = 1").select(F.col("parent").alias("_p"), F.col("name").alias("first"), F.col("nth").alias("first_nth"))
+    after = inner.select(F.col("parent").alias("_q"), (F.col("inth") - 1).alias("_n"), F.col("name").alias("next"), F.col("nth").alias("next_nth"))
+    up = inner.select(F.col("name").alias("_u"), F.col("kids").alias("up_kids"))
+    j = inner.join(first, F.col("name") == F.col("_p"), "left").join(after, (F.col("parent") == F.col("_q")) & (F.col("inth") == F.col("_n")), "left").join(up, F.col("parent") == F.col("_u"), "left")
     mark = lambda side, c: F.concat(F.lit(side), F.col(c))
-    enter = F.struct(mark("+", "name").alias("step"), F.coalesce(mark("+", "first"), mark("-", "name")).alias("to"), F.lit(1).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("d"))
-    leave = F.struct(mark("-", "name").alias("step"), F.coalesce(mark("+", "next"), mark("-", "parent")).alias("to"), F.lit(0).cast("bigint").alias("n"), F.lit(-1).cast("bigint").alias("d"))
+    # A step counts what is entered with it: its node, and the leaves before the next step.
+    down, on = 1 + F.coalesce(F.col("first_nth") - 1, "kids"), F.coalesce(F.col("next_nth") - F.col("nth") - 1, F.col("up_kids") - F.col("nth"), F.lit(0))
+    enter = F.struct(mark("+", "name").alias("step"), F.coalesce(mark("+", "first"), mark("-", "name")).alias("to"), down.cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("d"))
+    leave = F.struct(mark("-", "name").alias("step"), F.coalesce(mark("+", "next"), mark("-", "parent")).alias("to"), on.cast("bigint").alias("n"), F.lit(-1).cast("bigint").alias("d"))
     walk = written(j.select(F.explode(F.array(enter, leave)).alias("s")).select("s.*"), "walk")
     while not walk.filter("to IS NOT NULL").isEmpty():
         then = walk.select(F.col("step").alias("to"), F.col("to").alias("_to"), F.col("n").alias("_n"), F.col("d").alias("_d"))
@@ -42,6 +51,12 @@ def numbered(nodes: DataFrame) -> DataFrame:
     total = at.agg(F.max("n").alias("total"))
     pre = F.col("total") - F.col("n")
     got = at.crossJoin(F.broadcast(total)).select("name", F.col("depth").cast("int").alias("depth"), (F.col("n") - F.col("rest") == 1).alias("is_leaf"), pre.alias("pre"), (F.col("total") - F.col("rest") - 1).alias("post"))
+    got = written(got.join(inner.select("name", "parent", "nth", "inth"), "name"), "inner-places")
+    over = got.select(F.col("name").alias("parent"), F.col("pre").alias("_pre"), (F.col("depth") + 1).alias("depth"))
+    elder = got.select(F.col("parent").alias("_q"), F.col("inth").alias("_i"), (F.col("post") - F.col("nth")).alias("_post"))
+    leaves = kids.filter("inner = 0").join(over, "parent").join(elder, (F.col("parent") == F.col("_q")) & (F.col("inth") == F.col("_i")), "left")
+    place = F.coalesce("_post", "_pre") + F.col("nth")
+    got = got.select("name", "depth", "is_leaf", "pre", "post").unionByName(leaves.select("name", "depth", F.lit(True).alias("is_leaf"), place.alias("pre"), place.alias("post")))
     return nodes.select("name", "parent", "support", "dist").join(got, "name").select("name", "parent", "depth", "support", "dist", "is_leaf", "pre", "post")
 
 

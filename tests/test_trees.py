@@ -229,3 +229,17 @@ def test_contained_never_broadcasts_points(spark, monkeypatch):
         assert sorted((r.at, r.name) for r in got.select("at", "name").collect()) == want
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "BuildLeft" not in plan and ("SortMergeJoin" in plan) == (few < 1 << 16)
+
+
+def test_leaves_take_no_rounds(spark, monkeypatch):
+    """Rounds of numbering go by the nodes with children, not by their leaves."""
+    names = []
+    monkeypatch.setattr(rooting, "written", lambda df, name, f=rooting.written: names.append(name) or f(df, name))
+    rows = [("r", None, 0, 0.0, 0.0)] + [(f"l{k:03}", "r" if k % 3 else "m", k, 0.0, 1.0) for k in range(300)] + [("m", "r", 150, 1.0, 1.0)]
+    got = {r.name: (r.depth, r.is_leaf, r.pre, r.post) for r in rooting.numbered(spark.createDataFrame(rows, "name string, parent string, ord int, support double, dist double")).collect()}
+    assert names.count("walk") <= 4
+    order = ["r", *(f"l{k:03}" for k in range(150) if k % 3), "m", *(f"l{k:03}" for k in range(0, 300, 3))]
+    # Equal places go by name: l150 is m's, so m is alone at its place.
+    order += [f"l{k:03}" for k in range(150, 300) if k % 3]
+    ends = {"r": len(order) - 1, "m": order.index("m") + 100}
+    assert got == {n: (0 if n == "r" else 1 + (n not in ("r", "m") and int(n[1:]) % 3 == 0), n not in ("r", "m"), i, ends.get(n, i)) for i, n in enumerate(order)}
