@@ -237,6 +237,38 @@ def test_greedy_cluster_is_exact(spark):
         assert sorted((r.member, r.rep) for r in got.collect()) == sorted(want.items())
 
 
+@pytest.mark.parametrize(("rows", "mers"), [(9, 1 << 20), (1000, 500), (50, 1 << 20)])
+def test_greedy_cluster_in_rounds(spark, rows, mers):
+    """Rounds of any size give the same clusters; no written table has more rows than there are sequences, though all are near copies."""
+    rng = random.Random(6)
+    base = ["".join(rng.choices("ACDEFGHIKL", k=80)) for _ in range(3)]
+    texts = []
+    for i in range(50):
+        t = list(base[i % 3])
+        for _ in range(2 + i % 7 * 4):
+            t[rng.randrange(80)] = rng.choice("MNPQ")
+        texts.append("".join(t[: 80 - i % 5 * 9]))
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    want, centres = {}, []
+    for i in sorted(range(50), key=lambda i: (-len(texts[i]), i)):
+        want[i] = next((c for c in centres if len(sets[c] & sets[i]) >= max(1, len(sets[i]) * 0.4) and len(texts[i]) >= len(texts[c]) * 0.7), i)
+        centres += [i] * (want[i] == i)
+    written, most = clusters.written, []
+
+    def counted(df, name):
+        out = written(df, name)
+        most.append((out.count(), name))
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(clusters, "written", counted)
+        m.setattr(clusters, "ROWS", rows)
+        m.setattr(clusters, "MERS", mers)
+        got = clusters.greedy_cluster(spark.createDataFrame(list(enumerate(texts)), "seq_id bigint, seq string"), 0.4, 0.7)
+        assert {r.member: r.rep for r in got.collect()} == want
+    assert max(most)[0] <= 50, max(most)
+
+
 def test_iterations(spark):
     base = "MKVACDEFGHIKLMNPQRSTVWYACDEFGHIK"
     db = spark.createDataFrame([(i, base[: 20 + i % 5] + "AC" * (i % 3)) for i in range(12)] + [(99, "W" * 30)], "seq_id bigint, seq string")
