@@ -216,6 +216,27 @@ def test_empty_tables(spark):
     assert robust.fold_losses(f, th).count() == 0
 
 
+def test_fold_losses_of_equal_scores_are_dealt_out(spark):
+    """Equal scores, nulls, NaN and own folds against brute force; pairs of one range of scores are not one task's."""
+    nan = float("nan")
+    h = [(i % 3, i, (None, nan, 4.0, 5.0)[i % 101] if i % 101 < 4 else float(i % 4)) for i in range(1500)]
+    t = [(i, i % 4 if i % 50 else None, (None, nan, 1.0)[i % 301] if i % 301 < 3 else 5.0) for i in range(2100)]
+    got = robust.fold_losses(spark.createDataFrame(h, "fold int, int_seq bigint, score double"), spark.createDataFrame(t, "thr_seq bigint, own_fold int, score double"))
+    per_task = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in per_task) < 0.3 * sum(r["count"] for r in per_task)
+    more = lambda x, y: x is not None and y is not None and (x > y or (x != x and y == y))
+    by = {}
+    for i, f, x in t:
+        by.setdefault((f, x if x == x else "nan", x is None), []).append(i)
+    want = {}
+    for f, i, s in h:
+        for (own, x, _), seqs in by.items():
+            if own is not None and own != f and more(nan if x == "nan" else x, s):
+                want[f, i] = [*want.get((f, i), []), *seqs]
+    found = {(r.fold, r.int_seq): r.n for r in got.groupBy("fold", "int_seq").agg(F.sort_array(F.collect_list("thr_seq")).alias("n")).collect()}
+    assert found == {k: sorted(v) for k, v in want.items()}
+
+
 def test_greedy_cluster_is_exact(spark):
     """Against brute force; short texts lie anywhere in long ones, and chains of centres take many rounds."""
     rng = random.Random(5)
