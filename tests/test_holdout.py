@@ -170,3 +170,17 @@ def test_equal_rows_are_one_wherever_they_lie(spark, monkeypatch):
     hard = {t: sum(t in b for b in beat.values()) / 24 for t in range(24, n)}
     assert got == {f"l{i}": (len(b), round(1 - sum(1 - hard[t] for t in b) / 14, 9)) for i, b in beat.items()}
     assert any(beat.values())
+
+
+@pytest.mark.parametrize("most", [1 << 16, 700])
+def test_fold_losses_stay_small(spark, tmp_path, monkeypatch, most):
+    """Thresholds in one part or several; files hold a pair in less than 3/4 byte, as pairs come in runs."""
+    monkeypatch.setattr(robust, "THRESHOLDS", most, raising=False)
+    rng = random.Random(8)
+    h = [(rng.randrange(25), i, rng.choice([None, rng.random() * 9])) for i in range(2000)]
+    t = [(i, rng.randrange(25), rng.choice([float("nan"), *[rng.random() * 9 for _ in range(20)]])) for i in range(3000)]
+    got = robust.fold_losses(spark.createDataFrame(h, "fold int, int_seq bigint, score double"), spark.createDataFrame(t, "thr_seq bigint, own_fold bigint, score double"))
+    got.coalesce(4).write.parquet(str(tmp_path / "out"))
+    want = sum(f != g and (x > s or x != x) for f, _, s in h if s is not None for _, g, x in t)
+    assert spark.read.parquet(str(tmp_path / "out")).distinct().count() == spark.read.parquet(str(tmp_path / "out")).count() == want
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < want * 0.75
