@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from cladewise.operators import chains, clusters, levels
@@ -99,3 +100,25 @@ def test_residue_scores_move_hits_only(spark):
     assert "target_pos" not in plan and "explode(array" not in plan
     got, parts = (sorted((r.profile, r.target, r.chain_no, r.span_s, r.span_e, round(r.score, 9)) for r in df.collect()) for df in (whole, chains.residue_scores(h, e, b, group_bytes=100)))
     assert got == parts and len(got) == 31 and all(r[5] == 0 for r in got if r[0] == "r" or r[1] == "u") and any(r[5] > 0 for r in got)
+
+
+def test_common_words_are_not_counted(monkeypatch):
+    """Heads that fit are those of the definition, though words that most heads have are looked up for few of them."""
+    rng = np.random.default_rng(9)
+    common, sets = np.arange(100), []
+    for i in range(300):
+        own = 1000 + 200 * (i % 40) + rng.choice(200, 90, replace=False)
+        sets.append(np.unique(np.concatenate([rng.choice(common, 80, replace=False), own])))
+    lens = np.array([400 - i // 2 for i in range(300)])
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    heads, counted, bincount = clusters._Heads(lens, starts, np.concatenate(sets)), [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **k: counted.append(len(x)) or bincount(x, *a, **k))
+    for identity, coverage in ((0.5, 0.6), (0.7, 0.9), (0.0, 0.0), (1.0, 0.5)):
+        counted.clear()
+        upto = np.arange(300)
+        got = heads.within(lens, starts, np.concatenate(sets), upto, identity, coverage)
+        for i, x in enumerate(got):
+            want = [c for c in range(i) if lens[i] >= lens[c] * coverage and (n := len(np.intersect1d(sets[c], sets[i]))) and n >= len(sets[i]) * identity]
+            assert (np.flatnonzero(x) if x.dtype == bool else x).tolist() == want
+        if identity > 0.6:
+            assert sum(counted) < 300 * 150 * 20, sum(counted)
